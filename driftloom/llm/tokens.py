@@ -36,14 +36,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, modulo 2 ** 64."""
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, U(base), U)
-        p[0] = U(1)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """The first n powers of BASE and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        size = max(n, STRIDE)
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(size, U(base), U)
+            p[0] = U(1)
+            _powers[i] = np.multiply.accumulate(p)
+    return _powers[0][:n], _powers[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
