@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_join, secret_scan, token_files, topk, url_filter
+from . import line_dedup, ngram_join, secret_scan, token_files, topk, url_filter
 
 QUERIES = {
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_token_files": token_files.op4_token_files,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op10_top_k": topk.op10_top_k,
 }
