@@ -32,7 +32,7 @@ from . import common
 
 BLOCK, QUERY_BLOCK = 4096, 1024
 #: Depths of the sorted reads, as shares of a block; candidates are pruned at each.
-STEPS = (0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0)
+STEPS = (0.5, 0.7, 0.85, 1.0)
 PACKED = "n int, dim int, ids binary, rows binary"
 
 
@@ -56,53 +56,48 @@ def _pack(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
             yield block(dim, rows)
 
 
-def top_of_block(q: np.ndarray, lists: tuple, floor: float, k: int, skip: np.ndarray) -> np.ndarray:
-    """Row numbers of one block that may be among the best k of query ``q``: all that reach the k-th best score, or ``floor`` if that is more.
+def survivors(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray, k: int) -> np.ndarray:
+    """Which rows of a block may be among the best k of each query: a boolean matrix, rows by queries.
 
-    ``lists`` holds the block's rows, each row's place in each sorted list and the lists' values.
+    ``skip`` marks the pairs that take no part.  A row that was read in a list counts with
+    its value there, else with the list's last value (lower bound) or the value at the
+    list's front (upper bound).  Positive components read downwards and negative ones
+    upwards, so both bounds of all pairs are sums over two halves of a query.
     """
-    rows, place, values = lists
     n = len(rows)
-    used = np.flatnonzero(q)
-    if not len(used):
-        return np.flatnonzero(~skip)
-    w, up = q[used].astype(np.float64), q[used] > 0
-    left = np.flatnonzero(~skip)
-    ends = np.where(up, values[0, used], values[-1, used]) * w  # a list's last value for this query
+    order = rows.argsort(0, kind="stable")
+    place = np.empty(rows.shape, np.int32)
+    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], 0)
+    values = np.take_along_axis(rows, order, 0)
+    up, down = np.maximum(queries, 0).T.copy(), np.minimum(queries, 0).T.copy()
+    bar = np.full(len(queries), -np.inf)
     for share in STEPS:
         depth = min(n, max(1, round(n * share)))
-        if depth < n:
-            front = np.where(up, values[n - depth, used], values[depth - 1, used]) * w
-            at = place[left][:, used]
-            seen = np.where(up, at >= n - depth, at < depth)
-            got = rows[left][:, used] * w
-            low = np.where(seen, got, ends).sum(1)
-            high = np.where(seen, got, front).sum(1)
-        else:
-            low = high = rows[left][:, used] @ w
-        bar = max(floor, np.partition(low, -k)[-k]) if len(left) >= k else floor
-        left = left[high >= bar]
-        if len(left) <= k:
-            break
-    return left
+        top, bottom = place >= n - depth, place < depth
+        low = np.where(top, rows, values[0]) @ up + np.where(bottom, rows, values[-1]) @ down
+        low[skip] = -np.inf
+        if n > k:
+            bar = np.maximum(bar, np.partition(low, n - k, axis=0)[n - k])
+        high = low if depth == n else np.where(top, rows, values[n - depth]) @ up + np.where(bottom, rows, values[depth - 1]) @ down
+        alive = (high >= bar) & ~skip
+        if depth == n or np.count_nonzero(alive) <= 4 * k * len(queries):
+            return alive
+    return alive
 
 
 def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples():
-            ids, rows = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.rows, "<i4").reshape(row.n, row.dim).astype(np.float64)
-            order = rows.argsort(0, kind="stable")
-            place = np.empty((row.n, row.dim), np.int32)
-            np.put_along_axis(place, order, np.arange(row.n, dtype=np.int32)[:, None], 0)
-            lists = rows, place, np.take_along_axis(rows, order, 0)
+            ids, rows = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.rows, "<i4").reshape(row.n, row.dim)
             q_ids, queries = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.q_rows, "<i4").reshape(row.q_n, row.dim)
-            exact, found = rows.astype(np.int64), []
-            for q_id, q in zip(q_ids, queries, strict=True):
-                left = top_of_block(q, lists, -np.inf, k, ids == q_id)
-                score = exact[left] @ q.astype(np.int64)
-                best = np.lexsort((ids[left], -score))[:k]
-                found.append((np.full(len(best), q_id), ids[left][best], score[best]))
-            yield pd.DataFrame({name: np.concatenate([f[i] for f in found]).astype(np.int64) for i, name in enumerate(("query_id", "vec_id", "score"))})
+            alive = survivors(queries.astype(np.float64), rows.astype(np.float64), ids[:, None] == q_ids[None, :], k)
+            q, i = np.nonzero(alive.T)
+            score = np.concatenate([np.einsum("ij,ij->i", rows[i[a : a + BLOCK]].astype(np.int64), queries[q[a : a + BLOCK]].astype(np.int64)) for a in range(0, len(i), BLOCK)] or [np.zeros(0, np.int64)])
+            best = np.lexsort((ids[i], -score, q))
+            q, i, score = q[best], i[best], score[best]
+            first = np.searchsorted(q, np.arange(len(q_ids)))
+            keep = np.arange(len(q)) - first[q] < k if len(q) else np.zeros(0, bool)
+            yield pd.DataFrame({"query_id": q_ids[q[keep]], "vec_id": ids[i[keep]], "score": score[keep]})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
