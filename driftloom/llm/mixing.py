@@ -29,6 +29,8 @@ BUCKETS = 65_536
 GOOD, BAD, UNKNOWN = 1.0, 0.25, 0.7
 #: Sources are broadcast to the documents up to this many.
 BROADCAST_SOURCES = 10_000
+#: Documents of a mix (some 40 bytes each) are broadcast to the texts up to this many, else joined by a shuffle.
+BROADCAST_TAKEN = 500_000
 
 
 def targets(sizes: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
@@ -87,16 +89,16 @@ def sizes_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, labels: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """The mix itself: rows of ``docs``, a row for each time a document is taken whole, and one with its first words where it is taken in part.
 
-    Documents are found again by id, source and size; rows equal in these three are taken
-    for one another.
+    Documents are found again by id, source and size; rows equal in these three share
+    what they take evenly, rounded down.
     """
     taken = mix_sizes(sizes_of(docs, labels), weights, share, most, seed)
-    order = Window.partitionBy("doc_id", "source", "size").orderBy(F.col("taken").desc())
-    taken = taken.withColumn("copy", F.row_number().over(order)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), "taken")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken")).where("_taken > 0")
+    taken = common.stored(taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken"), "taken")
+    side = F.broadcast(taken) if taken.count() <= BROADCAST_TAKEN else taken
     own = docs.withColumn("_n", common.n_words(F.col("text")))
-    own = own.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "source", "_n").orderBy("text")))
-    both = own.join(taken.where("taken > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_copy")))
-    whole, rest = F.floor(F.col("taken") / F.col("_n")), F.col("taken") % F.col("_n")
+    both = own.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    whole, rest = F.floor(F.col("_taken") / F.col("_n")), F.col("_taken") % F.col("_n")
     parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(parts).alias("_words"))
     first = F.array_join(F.slice(common.words(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
