@@ -245,8 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     return fit_rows([r["text"] or "" for r in got], np.array([r["toxic"] for r in got], bool), np.array([r["h"] for r in got], int))
 
 
-def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` from 0 to 1."""
+def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with the score, from 0 to 1, in column ``out``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -254,7 +254,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
         for texts in batches:
             yield pd.Series(shared.value.score(texts.tolist()), dtype="float64")
 
-    return docs.withColumn("score", score(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(out, score(F.coalesce(F.col(text), F.lit(""))))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
