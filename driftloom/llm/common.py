@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator, most: int = 1000) -> Iterator:
+    """Batches of at most ``most`` rows, so that what is made of them stays small."""
+    for pdf in batches:
+        for a in range(0, len(pdf), most):
+            yield pdf.iloc[a : a + most]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased; other letters stay."""
     return F.translate(text, UPPER, LOWER)

@@ -43,7 +43,7 @@ def _encode(path: str, end_id: int, window: int):
         end = np.array([end_id], enc.dtype)
         holds = np.zeros(max(enc.tokenizer.get_vocab_size(), end_id + 1), np.int64)
         n_docs, sequence = 0, (1 << 62) | (TaskContext.get().partitionId() << 32)
-        for pdf in batches:
+        for pdf in common.slices(batches):
             rows = []
             for doc, ids in zip(pdf["doc_id"].astype("Int64"), enc.encode_batch(pdf["text"].tolist()), strict=True):
                 ids = np.concatenate([ids, end])

@@ -167,7 +167,7 @@ def _writer(folder: str, path: str, end_id: int):
         enc = encoder(path)
         end = np.array([end_id], enc.dtype)
         names, n_null, sizes, blocks = [], 0, [], []
-        for pdf in batches:
+        for pdf in common.slices(batches):
             found = enc.encode_batch(pdf["text"].tolist())
             names.append(pdf["doc_id"].dropna().to_numpy(np.int64))
             n_null += int(pdf["doc_id"].isna().sum())
