@@ -57,13 +57,13 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.select("*", n.cast("long").alias("n_words"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.slice(triples, F.lit(1), F.greatest(n - 2, F.lit(0))).alias("_g"))
     repeated = F.size(F.array_distinct("_g")) < F.size("_g")
     # only texts with a repeated window sort theirs
-    placed = F.when(repeated, F.array_sort(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    placed = F.when(repeated, F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
     df = df.drop("_h", "_lines").withColumn("_s", placed).drop("_g")
     after = F.zip_with("_s", F.slice("_s", F.lit(2), F.size("_s")), lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False)))
     df = df.withColumn("_after", after)
     before = F.concat(F.array(F.lit(False)), F.slice("_after", F.lit(1), F.size("_after") - 1))
     flagged = F.zip_with(F.zip_with("_s", "_after", lambda s, e: F.struct(s["i"].alias("i"), e.alias("e"))), before, lambda s, p: F.when(s["e"] | p, s["i"]))
-    df = df.withColumn("_at", F.array_sort(F.filter(flagged, lambda i: i.isNotNull()))).drop("_s", "_after")
+    df = df.withColumn("_at", F.sort_array(F.filter(flagged, lambda i: i.isNotNull()))).drop("_s", "_after")
     steps = F.zip_with("_at", F.slice("_at", F.lit(2), F.size("_at")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
     covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
