@@ -1 +1 @@
-
+"""Column builders: distributions, distances, bins and text forms."""

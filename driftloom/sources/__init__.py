@@ -1 +1 @@
-
+"""Where observations and metric streams come from."""
