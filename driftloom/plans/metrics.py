@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import baseline as B
 from ..operators import detectors as D
 from ..sources import adapters as A
-from .registry import query
+from .registry import query, rounded
 from .sql import BINS, COV, HIST, OBS, OUT
 
 DIMS = 64
@@ -37,7 +37,7 @@ def _baseline(spark: SparkSession, d: str) -> B.Baseline:
 
 
 def r6(c, name: str):
-    return F.round(c, 6).alias(name)
+    return rounded(c, 6).alias(name)
 
 
 def _class_rows(df: DataFrame, *keys: str) -> DataFrame:
@@ -172,7 +172,7 @@ def baseline_embed_mean(spark, d):
 
 def _matrix(spark, m: np.ndarray, digits: int, name: str) -> DataFrame:
     rows = [(int(i), int(j), float(m[i, j])) for i in range(len(m)) for j in range(len(m))]
-    return spark.createDataFrame(rows, f"i int, j int, {name} double").select("i", "j", F.round(name, digits).alias(name))
+    return spark.createDataFrame(rows, f"i int, j int, {name} double").select("i", "j", rounded(name, digits).alias(name))
 
 
 @query("baseline_covariance", f"WITH RECURSIVE {COV} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(c, 6) AS c FROM cov")
@@ -244,12 +244,12 @@ def step_kl_js(spark, d):
 @query("mahalanobis_distance", f"WITH RECURSIVE {COV} SELECT vec_id, round(distance, 4) AS distance FROM mah")
 def mahalanobis_distance(spark, d):
     b = _baseline(spark, d)
-    return D.mahalanobis(_obs(spark, d), b.embed_mean, b.embed_precision).select("vec_id", F.round("distance", 4).alias("distance"))
+    return D.mahalanobis(_obs(spark, d), b.embed_mean, b.embed_precision).select("vec_id", rounded("distance", 4).alias("distance"))
 
 
 @query("embedding_mahalanobis_mean", f"WITH RECURSIVE {COV} SELECT step, round(avg(distance), 4) AS embedding_mahalanobis_mean FROM mah GROUP BY step")
 def embedding_mahalanobis_mean(spark, d):
-    return D.mahalanobis_steps(_obs(spark, d), _baseline(spark, d)).select("step", F.round("embedding_mahalanobis_mean", 4).alias("embedding_mahalanobis_mean"))
+    return D.mahalanobis_steps(_obs(spark, d), _baseline(spark, d)).select("step", rounded("embedding_mahalanobis_mean", 4).alias("embedding_mahalanobis_mean"))
 
 
 DECAY, EVERY = 0.99, 4
@@ -276,7 +276,7 @@ def embedding_running_mean(spark, d):
 
 @query("embedding_mean_shift", f"WITH RECURSIVE {COV}, {_STEPS} SELECT step, round(v, 4) AS embedding_mean_shift FROM shift")
 def embedding_mean_shift(spark, d):
-    return _running(spark, d).select("step", F.round("embedding_mean_shift", 4).alias("embedding_mean_shift"))
+    return _running(spark, d).select("step", rounded("embedding_mean_shift", 4).alias("embedding_mean_shift"))
 
 
 @query("embedding_cov_drift", f"""WITH RECURSIVE {COV}, {_STEPS},
@@ -284,4 +284,4 @@ row AS (SELECT step, i, list(c ORDER BY j) AS r FROM rc GROUP BY step, i),
 cell AS (SELECT step, sqrt(sum(pow(list_dot_product(r, prec.p[j]) - CASE WHEN i = j THEN 1 ELSE 0 END, 2))) AS v FROM row, prec, range(1, 65) b(j) GROUP BY step)
 SELECT t.step, round(c.v, 3) AS embedding_cov_drift FROM (SELECT DISTINCT step FROM e) t JOIN cell c ON c.step = t.step - t.step % {EVERY}""")
 def embedding_cov_drift(spark, d):
-    return _running(spark, d).select("step", F.round("embedding_cov_drift", 3).alias("embedding_cov_drift"))
+    return _running(spark, d).select("step", rounded("embedding_cov_drift", 3).alias("embedding_cov_drift"))
