@@ -1,28 +1,28 @@
 """Line dedup: an exact set-similarity join of lines, whose later matches are removed.
 
-A line's set holds its distinct words, A-Z lower-cased.  Lines match when the Jaccard
+A line's set holds its distinct words, lower-cased.  Lines match when the Jaccard
 similarity of their sets is at least 0.8, and a line goes if it matches an earlier one,
 whether that one stays or not.  Earlier means: smaller document id (null last), then
 order of text hash, then line number.  Lines of fewer than ``MIN_WORDS`` distinct words
 are left alone.
 
-Equal sets need no join: only a set's first line can stay.  Between sets the join orders
-tokens by rarity and indexes each set's prefix.  Rarity comes from counts of all tokens
-in ``CELLS`` cells, a table of fixed size that every task reads; a cell's count can only
-put a token later, and any order gives the same links.  Two semi-joins follow:
+1. One scan counts tokens in ``CELLS`` cells: a table of fixed size that orders tokens by
+   rarity (any order gives the same links).
+2. A second scan makes each line's set in that order, its prefix, and a parity word (bit i
+   is the parity of the tokens that hash to i), and keeps those, not the sets.  Of equal
+   sets the first line stands for all; its later lines go.
+3. Prefix tokens are joined with each other under length, positional and parity filter
+   (the latter bounds the symmetric difference from below).  It is a semi-join: a set
+   that may have a partner gives one row for a token at most, however large a group is.
+4. The lines of such sets alone are read once more and joined again, with their tokens,
+   by prefix token, place and filters, and verified.
 
-1. prefix tokens with length, positional and parity filter (the latter bounds the
-   symmetric difference of two sets from below by one 64-bit word) find the sets that may
-   have an earlier or a later partner,
-2. those sets alone are joined again, with their tokens, and verified.
-
-Semi-joins give at most one row for a posting, however large a group of matching lines
-is; adaptive execution splits frequent tokens.  Everything is DataFrame expressions.
+Adaptive execution splits frequent tokens.  Everything is DataFrame expressions.
 
 Defined results: null and empty texts stay as they are; rows that repeat both id and
 text are one document and stay equal; other columns are handed through unchanged, those
 named ``removed`` or ``n_lines`` are replaced; a document may end up with an empty text
-and is kept.  Words are compared by 64-bit hashes.
+and is kept.  Words are compared by 56-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,96 +34,109 @@ from . import common
 
 PERCENT, MIN_WORDS = 80, 5
 CELLS = 1 << 17
-#: Removed lines are broadcast to the texts up to this many, else joined by a shuffle.
+WHITE = " \t\n\x0b\x0c\r"
+#: Ids or removed lines are broadcast to the texts up to this many, else joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
 
-def tokens_of(line: Column) -> Column:
-    """Distinct words as sorted 64-bit hashes."""
-    words = F.filter(F.split(common.ascii_lower(line), common.SPACE), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
-
-
-def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Lines with enough words: their document, number, set and its hash."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    rows = rows.select("doc", "hash", "at", tokens_of(F.col("line")).alias("tokens"))
-    return rows.where(F.size("tokens") >= MIN_WORDS)
+def cell_of(token: Column) -> Column:
+    return F.pmod(token, F.lit(CELLS)).cast("int")
 
 
-def rarity(sets: DataFrame) -> DataFrame:
-    """One row, one binary column: for each cell of tokens, the logarithm of their count in eighths of an octave."""
-    cell = F.pmod(F.col("token"), F.lit(CELLS)).cast("int")
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy(cell.alias("cell")).count()
+def rarity(docs: DataFrame, text: str) -> bytes:
+    """One byte a cell: the logarithm of the count of its tokens in eighths of an octave, at most 126."""
+    word = docs.select(F.explode(F.split(F.lower(F.col(text)), common.SPACE)).alias("w"))
+    counts = word.groupBy(cell_of(F.xxhash64("w")).alias("cell")).count()
+    step = F.least(F.lit(126), F.floor(4 * F.log2(F.col("count")) + 1)).cast("int")
     # parts of 1024 cells, then the parts in order: fixed sizes
-    step = F.least(F.lit(255), F.floor(8 * F.log2(F.col("count")) + 1)).cast("int")
     part = counts.groupBy(F.floor(F.col("cell") / 1024).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("cell") % 1024).alias("k"), step.alias("v")))).alias("m"))
     byte = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0))), 2, "0"))
-    part = part.select("part", F.array_join(byte, "").alias("hex"))
-    whole = part.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("part", "hex"))).alias("m"))
-    empty = F.lit("00" * 1024)
-    return whole.select(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(CELLS // 1024 - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), empty)), "")).alias("table"))
+    rows = part.select("part", F.unhex(F.array_join(byte, "")).alias("bytes")).collect()
+    table = bytearray(CELLS)
+    for r in rows:
+        table[r["part"] * 1024 : (r["part"] + 1) * 1024] = r["bytes"]
+    return bytes(table)
 
 
-def postings(sets: DataFrame, table: bytes) -> DataFrame:
-    """Prefix tokens of sets, rarest first, with what the filters need."""
-    rank = F.lit(table)
-    order = F.array_sort(F.transform("tokens", lambda t: F.struct(F.substring(rank, F.pmod(t, F.lit(CELLS)).cast("int") + 1, F.lit(1)).alias("r"), t.alias("t"))))
-    n = F.size("tokens")
-    prefix = F.slice(order, F.lit(1), n - F.ceil(n * PERCENT / 100).cast("int") + 1)
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, 58).cast("int"))))
-    return sets.select("first", "key", n.alias("n"), parity.alias("parity"), F.posexplode(prefix).alias("pos", "p"), *(["tokens"] if "kept" in sets.columns else [])).withColumn("token", F.col("p.t")).drop("p")
+def ranked(line: Column, table: bytes) -> Column:
+    """A line's distinct words, rarest first: the cell's byte and 56 bits of the word's hash in one long."""
+    words = F.split(F.btrim(F.lower(line), F.lit(WHITE)), common.SPACE)
+    byte = lambda t: F.ascii(F.decode(F.substring(F.lit(table), cell_of(t) + 1, F.lit(1)), "ISO-8859-1"))
+    token = lambda t: F.shiftleft(byte(t).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), token))
 
 
-def _may_match(a: DataFrame, b: DataFrame) -> Column:
-    """Length, positional and parity filter on postings of one token."""
-    na, nb = a["n"], b["n"]
-    need = F.ceil((na + nb) * PERCENT / (100.0 + PERCENT))
-    rest = F.least(na - a["pos"], nb - b["pos"])
-    differ = F.bit_count(a["parity"].bitwiseXOR(b["parity"]))
-    return (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT) & (rest >= need) & (differ <= na + nb - 2 * need)
+def prefix_size(n: Column) -> Column:
+    return n - F.ceil(n * PERCENT / 100).cast("int") + 1
 
 
-def _partnered(rows: DataFrame, earlier: bool, verify: bool = False) -> DataFrame:
-    """Postings with an earlier (or later) partner in the same token's bucket."""
-    b, a = rows.alias("b"), rows.alias("a")
-    own, other = _Side("b"), _Side("a")
-    before = (other["first"] < own["first"]) if earlier else (other["first"] > own["first"])
-    fits = (own["token"] == other["token"]) & before & _may_match(other, own)
-    if verify:
-        same = F.size(F.array_intersect(own["tokens"], other["tokens"]))
-        fits = fits & (same * 100 >= (own["n"] + other["n"] - same) * PERCENT)
-    return b.join(a, fits, "left_semi")
+def parity(tokens: Column) -> Column:
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
-class _Side:
-    def __init__(self, name: str):
-        self.name = name
+def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Lines that may have enough words, with their document and number."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
+    return rows.where(F.length("line") >= 2 * MIN_WORDS - 1)
+
+
+def may_match(a: str, b: str) -> Column:
+    """Length, positional and parity filter on two postings of one token."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = F.ceil((na + nb) * PERCENT / (100.0 + PERCENT))
+    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT) & (rest >= need) & (differ <= na + nb - 2 * need)
+
 
-    def __getitem__(self, column: str) -> Column:
-        return F.col(f"{self.name}.{column}")
+def place() -> Column:
+    """Null ids come last."""
+    return F.struct(F.col("doc").isNull().alias("null"), F.col("doc"), F.col("hash"), F.col("at"))
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, hash, removed``: numbers of the lines to remove, a row for each document that loses some."""
-    lines = lines_of(docs, id_col, text)
-    place = F.struct(F.col("doc").isNull().alias("null"), F.col("doc"), F.col("hash"), F.col("at"))
-    table = bytes(rarity(lines).first()["table"])  # CELLS bytes, whatever the input
-    # null ids come last; of equal sets the first line stands for all
-    sets = lines.groupBy(F.xxhash64("tokens").alias("key"), "tokens").agg(F.min(place).alias("first"))
-    sets = common.stored(sets, "line_sets")
-    light = postings(sets.select("first", "key", "tokens"), table)
-    maybe = common.stored(_partnered(light, True).select("key").union(_partnered(light, False).select("key")).distinct(), "maybe")
-    heavy = postings(sets.join(maybe, "key", "left_semi").withColumn("kept", F.lit(True)), table)
-    gone = _partnered(heavy, True, verify=True).select("key", "first").distinct()
-    gone = gone.select("key", "first", F.lit(True).alias("gone"))
-    # a set's later lines always go, its first one if an earlier set matches
-    seen = lines.select("doc", "hash", "at", F.xxhash64("tokens").alias("key")).distinct()
-    first = sets.select("key", "first").join(gone.select("key", "gone"), "key", "left")
-    marked = seen.join(first.select("key", "first", "gone"), "key")
-    own = F.struct(F.col("doc").isNull().alias("null"), F.col("doc"), F.col("hash"), F.col("at"))
-    drop = marked.where(~own.eqNullSafe(F.col("first")) | F.coalesce(F.col("gone"), F.lit(False)))
-    return drop.groupBy("doc", "hash").agg(F.array_sort(F.collect_set("at")).alias("removed"))
+    table = rarity(docs, text)
+    lines = lines_of(docs, id_col, text).select("doc", "hash", "at", ranked(F.col("line"), table).alias("r"))
+    n = F.size("r")
+    lines = lines.where(n >= MIN_WORDS).select("doc", "hash", "at", F.xxhash64("r").alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), F.slice("r", F.lit(1), prefix_size(n)).alias("prefix"))
+    lines = common.stored(lines, "lines")
+    sets = lines.groupBy("key").agg(F.min(place()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    # a token's low half is enough to meet; what differs there only fails the filters or the verification
+    posting = sets.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "t"))
+    posting = posting.select("key", "n", "parity", "pos", F.col("t").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("token"))
+    # one condition for both sides and the same columns of both, so that one exchange serves the two
+    maybe = posting.alias("b").join(posting.alias("a"), may_match("a", "b") & (F.col("a.key") != F.col("b.key")), "left_semi").select("key").distinct()
+    maybe = common.stored(maybe, "maybe")
+
+    gone = _verified(docs, lines, maybe, table, id_col, text)
+    firsts = lines.groupBy("key").agg(F.min(place()).alias("first")).join(gone, "key", "left")
+    marked = lines.select("doc", "hash", "at", "key").join(firsts, "key")
+    drop = marked.where((place() != F.col("first")) | F.coalesce(F.col("gone"), F.lit(False)))
+    return drop.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("at")).alias("removed"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
+
+
+def _verified(docs: DataFrame, lines: DataFrame, maybe: DataFrame, table: bytes, id_col: str, text: str) -> DataFrame:
+    """``key, gone`` of the sets that an earlier set matches."""
+    # where each such set stands first; only those documents are read again, and only those lines of them
+    firsts = lines.join(_small(maybe), "key", "left_semi").groupBy("key").agg(F.min(place()).alias("first"))
+    wanted = firsts.groupBy(F.col("first.doc").alias("_doc"), F.col("first.hash").alias("_hash")).agg(F.collect_set("first.at").alias("_ats"))
+    wanted = common.stored(wanted, "wanted")
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    rows = rows.join(_small(wanted), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
+    parts = F.split("text", "\n")
+    picked = rows.select("doc", "hash", F.explode(F.transform("_ats", lambda i: F.struct(i.alias("at"), F.get(parts, i).alias("line")))).alias("x")).select("doc", "hash", "x.at", "x.line")
+    heavy = picked.select(place().alias("first"), ranked(F.col("line"), table).alias("r"))
+    heavy = common.stored(heavy.select("first", "r", F.xxhash64("r").alias("key"), F.size("r").alias("n"), parity(F.col("r")).alias("parity")), "sets")
+    post = heavy.select("first", "key", "n", "parity", "r", F.posexplode(F.slice("r", F.lit(1), prefix_size(F.col("n")))).alias("pos", "token"))
+    same = F.size(F.array_intersect("a.r", "b.r"))
+    fits = may_match("a", "b") & (F.col("a.first") < F.col("b.first")) & (F.col("a.key") != F.col("b.key")) & (same * 100 >= (F.col("a.n") + F.col("b.n") - same) * PERCENT)
+    return post.alias("b").join(post.alias("a"), fits, "left_semi").select("key").distinct().select("key", F.lit(True).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -139,7 +139,7 @@ def test_rules_table(spark):
 
 def brute_removed(some, least=line_dedup.MIN_WORDS):
     def tokens(line):
-        return frozenset(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(WORD, line))
+        return frozenset(w.lower() for w in re.findall(WORD, line))
 
     order = sorted({(i is None, i or 0, t) for i, t in some if t is not None})
     kept, out = [], {}
