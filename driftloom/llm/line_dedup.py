@@ -22,7 +22,8 @@ Adaptive execution splits frequent tokens.  Everything is DataFrame expressions.
 Defined results: null and empty texts stay as they are; rows that repeat both id and
 text are one document and stay equal; other columns are handed through unchanged, those
 named ``removed`` or ``n_lines`` are replaced; a document may end up with an empty text
-and is kept.  Words are compared by 56-bit hashes.
+and is kept.  Words are told apart by 56-bit hashes, and by 32 bits of them in the
+verification of a pair.
 """
 
 from __future__ import annotations
@@ -107,8 +108,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     posting = sets.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "t"))
     posting = posting.select("key", "n", "parity", "pos", F.col("t").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("token"))
     # one condition for both sides and the same columns of both, so that one exchange serves the two
-    maybe = posting.alias("b").join(posting.alias("a"), may_match("a", "b") & (F.col("a.key") != F.col("b.key")), "left_semi").select("key").distinct()
-    maybe = common.stored(maybe, "maybe")
+    maybe = posting.alias("b").join(posting.alias("a"), may_match("a", "b") & (F.col("a.key") != F.col("b.key")), "left_semi")
+    maybe = common.stored(maybe.groupBy("key").agg(F.collect_set("token").alias("met")), "maybe")
 
     gone = _verified(docs, lines, maybe, table, id_col, text)
     firsts = lines.groupBy("key").agg(F.min(place()).alias("first")).join(gone, "key", "left")
@@ -124,21 +125,29 @@ def _small(df: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, lines: DataFrame, maybe: DataFrame, table: bytes, id_col: str, text: str) -> DataFrame:
     """``key, gone`` of the sets that an earlier set matches."""
     # where each such set stands first; only those documents are read again, and only those lines of them
-    firsts = lines.join(_small(maybe), "key", "left_semi").groupBy("key").agg(F.min(place()).alias("first"))
-    wanted = firsts.groupBy(F.col("first.doc").alias("_doc"), F.col("first.hash").alias("_hash")).agg(F.collect_set("first.at").alias("_ats"))
+    firsts = lines.join(_small(maybe), "key").groupBy("key").agg(F.min(place()).alias("first"), F.first("met").alias("met"))
+    wanted = firsts.groupBy(F.col("first.doc").alias("_doc"), F.col("first.hash").alias("_hash")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "met")).alias("_ats"))
     wanted = common.stored(wanted, "wanted")
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
     rows = rows.join(_small(wanted), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
     parts = F.split("text", "\n")
-    picked = rows.select("doc", "hash", F.explode(F.transform("_ats", lambda i: F.struct(i.alias("at"), F.get(parts, i).alias("line")))).alias("x")).select("doc", "hash", "x.at", "x.line")
-    heavy = picked.select(place().alias("first"), ranked(F.col("line"), table).alias("r"))
-    heavy = common.stored(heavy.select("first", "r", F.xxhash64("r").alias("key"), F.size("r").alias("n"), parity(F.col("r")).alias("parity")), "sets")
-    post = heavy.select("first", "key", "n", "parity", "r", F.posexplode(F.slice("r", F.lit(1), prefix_size(F.col("n")))).alias("pos", "token"))
+    picked = rows.select("doc", "hash", F.explode(F.transform("_ats", lambda x: F.struct(x["at"].alias("at"), x["met"].alias("met"), F.get(parts, x["at"]).alias("line")))).alias("x")).select("doc", "hash", "x.at", "x.met", "x.line")
+    heavy = picked.select(place().alias("first"), "met", ranked(F.col("line"), table).alias("r"))
+    sets = heavy.select("first", "met", F.xxhash64("r").alias("key"), F.size("r").alias("n"), parity(F.col("r")).alias("parity"), F.slice("r", F.lit(1), prefix_size(F.size("r"))).alias("prefix"), F.transform("r", half).alias("r"))
+    sets = common.stored(sets, "sets")
+    # a set's tokens travel with those prefix tokens alone where it met another
+    met = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), half(t).alias("token"))), lambda x: F.array_contains("met", x["token"].bitwiseAND(F.lit(0x7FFFFFFF))))
+    post = sets.select("first", "key", "n", "parity", "r", F.explode(met).alias("x")).select("first", "key", "n", "parity", "r", "x.pos", "x.token")
     same = F.size(F.array_intersect("a.r", "b.r"))
     fits = may_match("a", "b") & (F.col("a.first") < F.col("b.first")) & (F.col("a.key") != F.col("b.key")) & (same * 100 >= (F.col("a.n") + F.col("b.n") - same) * PERCENT)
     return post.alias("b").join(post.alias("a"), fits, "left_semi").select("key").distinct().select("key", F.lit(True).alias("gone"))
 
 
+def half(token: Column) -> Column:
+    """32 bits of a token, enough within one pair of lines (a pair of 50 words errs once in millions)."""
+    return F.when(token.bitwiseAND(F.lit(0x80000000)) == 0, token.bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(token.bitwiseAND(F.lit(0x7FFFFFFF)) - 2147483648).cast("int")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that match earlier ones, plus ``n_lines`` (before) and ``removed`` (their numbers from 0)."""
     gone = common.stored(later_matches(docs, id_col, text), "removed_lines")
