@@ -101,12 +101,13 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     table = rarity(docs, text)
     lines = lines_of(docs, id_col, text).select("doc", "hash", "at", ranked(F.col("line"), table).alias("r"))
     n = F.size("r")
-    lines = lines.where(n >= MIN_WORDS).select("doc", "hash", "at", F.xxhash64("r").alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), F.slice("r", F.lit(1), prefix_size(n)).alias("prefix"))
-    lines = common.stored(lines, "lines")
+    # half of a token is enough to meet; what differs in the rest only fails the filters or the verification
+    prefix = F.transform(F.slice("r", F.lit(1), prefix_size(n)), half)
+    lines = lines.select("doc", "hash", "at", F.xxhash64("r").alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), prefix.alias("prefix"))
+    # filtered as it is read, since a filter before would make every set twice
+    lines = common.stored(lines, "lines").where(F.col("n") >= MIN_WORDS)
     sets = lines.groupBy("key").agg(F.min(place()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    # a token's low half is enough to meet; what differs there only fails the filters or the verification
-    posting = sets.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "t"))
-    posting = posting.select("key", "n", "parity", "pos", F.col("t").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("token"))
+    posting = sets.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
     # one condition for both sides and the same columns of both, so that one exchange serves the two
     maybe = posting.alias("b").join(posting.alias("a"), may_match("a", "b") & (F.col("a.key") != F.col("b.key")), "left_semi")
     maybe = common.stored(maybe.groupBy("key").agg(F.collect_set("token").alias("met")), "maybe")
@@ -134,9 +135,8 @@ def _verified(docs: DataFrame, lines: DataFrame, maybe: DataFrame, table: bytes,
     picked = rows.select("doc", "hash", F.explode(F.transform("_ats", lambda x: F.struct(x["at"].alias("at"), x["met"].alias("met"), F.get(parts, x["at"]).alias("line")))).alias("x")).select("doc", "hash", "x.at", "x.met", "x.line")
     heavy = picked.select(place().alias("first"), "met", ranked(F.col("line"), table).alias("r"))
     sets = heavy.select("first", "met", F.xxhash64("r").alias("key"), F.size("r").alias("n"), parity(F.col("r")).alias("parity"), F.slice("r", F.lit(1), prefix_size(F.size("r"))).alias("prefix"), F.transform("r", half).alias("r"))
-    sets = common.stored(sets, "sets")
     # a set's tokens travel with those prefix tokens alone where it met another
-    met = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), half(t).alias("token"))), lambda x: F.array_contains("met", x["token"].bitwiseAND(F.lit(0x7FFFFFFF))))
+    met = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), half(t).alias("token"))), lambda x: F.array_contains("met", x["token"]))
     post = sets.select("first", "key", "n", "parity", "r", F.explode(met).alias("x")).select("first", "key", "n", "parity", "r", "x.pos", "x.token")
     same = F.size(F.array_intersect("a.r", "b.r"))
     fits = may_match("a", "b") & (F.col("a.first") < F.col("b.first")) & (F.col("a.key") != F.col("b.key")) & (same * 100 >= (F.col("a.n") + F.col("b.n") - same) * PERCENT)
