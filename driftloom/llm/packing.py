@@ -4,12 +4,16 @@
    sequences of their own; what is left of it, under a window, is its remainder.  The
    ids go to the shared folder, with each task's counts of documents for each token.
 2. Document frequencies of the whole corpus (a row for each token id at most) give BM25's
-   idf.  Remainders are dealt out in ranges of their most telling token, so that lexical
-   neighbours meet, and each range is cut into shards of ``SHARD`` remainders.
-3. A shard has a BM25 inverted index over its remainders.  The longest unused one is the
-   seed of a sequence, all of its tokens are the query, and unused neighbours fill the
-   window in order of score, the last one being cut to fit; what is cut off stays in the
-   shard.  So at most one sequence of a shard is not full.
+   idf.  Remainders are numbered from the longest on and stored in blocks of ``SHARD``.
+3. Packing goes in rounds.  A round's seeds are the longest unused remainders, all tokens
+   of a seed are its query, and every block scores every seed, so that a seed's list holds
+   the best unused remainders of the whole corpus.  Then seeds are served in order: unused
+   neighbours fill the window in order of score, the last one being cut to fit; what is cut
+   off stays.  A seed that was cut meanwhile, or whose list others have used up before its
+   window was full, waits for the next round.  So at most one sequence of all is not full.
+
+A score is a sum of BM25 impacts in whole 64ths, hence exact in any order; ties go to the
+next number after the seed's.  Scoring grows as the number of remainders squared.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows
 are documents of their own; every id lies in exactly one piece; an empty table gives no
@@ -30,6 +34,10 @@ from .tokens import encoder, tokenizer_path
 
 WINDOW, SHARD = 1024, 1024
 K1, B = 1.2, 0.75
+#: A round has at most ``SEEDS`` seeds, their lists ``LIST`` entries at first and ``ASKED`` in all; longer lists mean fewer seeds.
+SEEDS, LIST, ASKED = 2048, 64, 1 << 17
+SLICE, HELD, DENSE, PAIRS = 128, 1 << 20, 1024, 1 << 21
+REST = (1 << 32) - 1
 #: kind 0: a full window, 1: a remainder, 2: documents (n) that hold a token (start)
 ENCODED = "kind int, doc_id long, start long, doc_tokens long, sequence_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -118,46 +126,220 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
     return out
 
 
-def _pack(idf, width: int, window: int, shard: int):
-    dtype = f"<u{width}"
+def _blocks(shard: int):
+    """Remainders in the order of their rows, as one row for each ``shard`` of them."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        sequence, held = TaskContext.get().partitionId() << 32, []
+        block, held = TaskContext.get().partitionId() << 32, []
         for pdf in batches:
-            held += list(pdf[["doc_id", "start", "doc_tokens", "ids"]].astype({"doc_id": "Int64"}).itertuples(index=False))
+            held += list(pdf.astype({"doc_id": "Int64"}).itertuples(index=False))
             while len(held) >= shard:
-                yield packed(held[:shard], sequence)
-                sequence, held = sequence + shard + 1, held[shard:]
+                yield row(held[:shard], block)
+                block, held = block + 1, held[shard:]
         if held:
-            yield packed(held, sequence)
+            yield row(held, block)
+
+    def row(rows: list, block: int) -> pd.DataFrame:
+        null = np.array([r.doc_id is pd.NA for r in rows])
+        known = np.array([0 if r.doc_id is pd.NA else r.doc_id for r in rows], "<i8")
+        place = np.array([(r.start, r.doc_tokens) for r in rows], "<i8")
+        sizes = np.array([r.n for r in rows], "<i4")
+        return pd.DataFrame({"block": [block], "sizes": [sizes.tobytes()], "null": [null.tobytes()], "docs": [known.tobytes()], "place": [place.tobytes()], "ids": [b"".join(r.ids for r in rows)]})
+
+    return make
+
+
+def impacts(term: np.ndarray, owner: np.ndarray, sizes: np.ndarray, mean: float, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, owner), sorted, and each one's BM25 impact in whole 64ths."""
+    n = max(1, len(sizes))
+    key, tf = np.unique(term.astype(np.int64) * n + owner, return_counts=True)
+    term, owner = np.divmod(key, n)
+    norm = K1 * (1 - B + B * sizes / max(1.0, mean))
+    return term, owner, np.rint(64 * idf[term] * tf * (K1 + 1) / (tf + norm[owner]))
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges ``first .. first + size`` one after another."""
+    upto = np.cumsum(size)
+    return np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def score_all(q_term: np.ndarray, q_owner: np.ndarray, n_q: int, term: np.ndarray, owner: np.ndarray, impact: np.ndarray, n: int) -> np.ndarray:
+    """Scores of all queries (distinct tokens, sorted by token) against all of a block's remainders."""
+    terms, first, count = np.unique(term, return_index=True, return_counts=True)
+    q_terms, q_first, q_count = np.unique(q_term, return_index=True, return_counts=True)
+    both, at, q_at = np.intersect1d(terms, q_terms, assume_unique=True, return_indices=True)
+    # tokens of many pairs as a matrix product (whole numbers below 2**24: exact), the others pair by pair
+    pairs = count[at] * q_count[q_at]
+    dense = np.argsort(-pairs, kind="stable")[:DENSE]
+    dense = dense[pairs[dense] * 16 > n * n_q]
+    rare = np.setdiff1d(np.arange(len(both)), dense)
+    left, right = np.zeros((n_q, len(dense)), np.float32), np.zeros((len(dense), n), np.float32)
+    where = _spans(q_first[q_at[dense]], q_count[q_at[dense]])
+    left[q_owner[where], np.repeat(np.arange(len(dense)), q_count[q_at[dense]])] = 1
+    where = _spans(first[at[dense]], count[at[dense]])
+    right[np.repeat(np.arange(len(dense)), count[at[dense]]), owner[where]] = impact[where]
+    score = (left @ right).ravel()
+    upto = np.cumsum(pairs[rare])
+    cut = 0
+    while cut < len(rare):  # some million pairs at a time
+        to = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + PAIRS, side="right")))
+        some, cut = rare[cut:to], to
+        c, qc = count[at[some]], q_count[q_at[some]]
+        posting = _spans(first[at[some]], c)
+        each = np.repeat(qc, c)  # a posting meets all queries of its token
+        asks = _spans(np.repeat(q_first[q_at[some]], c), each)
+        flat = q_owner[asks] * n + np.repeat(owner[posting], each)
+        score += np.bincount(flat, weights=np.repeat(impact[posting], each), minlength=n_q * n).astype(np.float32)
+    return score.reshape(n_q, n)
+
+
+def best_keys(keys: np.ndarray, most: int) -> np.ndarray:
+    return keys if keys.shape[1] <= most else np.partition(keys, keys.shape[1] - most, axis=1)[:, -most:]
+
+
+def _ask(state, idf, mean: float, width: int):
+    """A task's best remainders for each seed: keys of score and place after the seed."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = state.value
+        seeds, most, best = s["seeds"], s["most"], None
+        for pdf in batches:
+            for row in pdf.itertuples():
+                sizes = np.frombuffer(row.sizes, "<i4").astype(np.int64)
+                live = np.unpackbits(s["live"][row.block], count=len(sizes)).astype(bool)
+                if not live.any():
+                    continue
+                term, own = np.frombuffer(row.ids, f"<u{width}"), np.repeat(live, sizes)
+                owner = np.repeat(np.arange(live.sum()), sizes[live])
+                score = score_all(s["term"], s["owner"], len(seeds), *impacts(term[own], owner, sizes[live], mean, idf.value), int(live.sum()))
+                number = s["base"][row.block] + np.flatnonzero(live)
+                after = (number[None, :] - seeds[:, None]) & REST
+                keys = best_keys((score.astype(np.int64) << 32) | (REST - after), most)
+                best = keys if best is None else best_keys(np.concatenate([best, keys], 1), most)
+        if best is not None:
+            for a in range(0, len(seeds), SLICE):
+                yield pd.DataFrame({"slice": [a], "keys": [best[a : a + SLICE].tobytes()], "k": [best.shape[1]]})
+
+    return make
+
 
-    def packed(rows: list, sequence: int) -> pd.DataFrame:
-        docs, out = [np.frombuffer(r.ids, dtype) for r in rows], []
-        # remainders are shorter than a window, so a shard has no more sequences than remainders
-        for k, pieces in enumerate(pack_shard(docs, idf.value, window)):
-            offset = 0
+def _merge(most: int):
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = best_keys(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, k) for x, k in zip(pdf["keys"], pdf["k"], strict=True)], 1), most)
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "keys": [keys.tobytes()], "k": [keys.shape[1]]})
+
+    return make
+
+
+def serve(seeds: np.ndarray, lists: list[np.ndarray], whole: bool, size: np.ndarray, begin: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (number, first token, number of tokens) of a round; ``begin`` moves on.  ``whole``: the lists name all that is unused."""
+    out, at_first = [], begin[seeds].copy()
+    for seed, first, names in zip(seeds.tolist(), at_first.tolist(), lists, strict=True):
+        left = int(size[seed]) - first
+        if begin[seed] != first or not left:
+            continue
+        room, pieces = window - left, [(seed, first, left)]
+        for d in names.tolist():
+            if not room:
+                break
+            if d != seed and (n := min(int(size[d] - begin[d]), room)) > 0:
+                pieces.append((d, int(begin[d]), n))
+                room -= n
+        if room and not whole:
+            continue
+        for d, _, n in pieces:
+            begin[d] += n
+        out.append(pieces)
+    return out
+
+
+def _rounds(blocks: DataFrame, idf, width: int, window: int) -> DataFrame:
+    """``block, pieces`` (binary: place in the block, first token, number of tokens, sequence, offset), several rows a block."""
+    spark = blocks.sparkSession
+    path = common.work_path(spark, "sequences")
+    found = sorted((r["block"], np.frombuffer(r["sizes"], "<i4")) for r in blocks.select("block", "sizes").collect())
+    names = [b for b, _ in found]
+    base = np.cumsum([0, *[len(s) for _, s in found]])
+    size = np.concatenate([np.zeros(0, np.int32), *[s for _, s in found]])
+    begin, mean = np.zeros(len(size), np.int32), float(size.mean()) if len(size) else 1.0
+    sequence, held, n_held, most, written = 0, [], 0, LIST, False
+
+    def flush() -> None:
+        rows = np.array([p for part in held for p in part], np.int64).reshape(-1, 5)
+        block = np.searchsorted(base, rows[:, 0], side="right") - 1
+        rows[:, 0] -= base[block]
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        table = [(names[block[part[0]]], rows[part].tobytes()) for part in np.split(order, cuts) if len(part)]
+        spark.createDataFrame(table, "block long, pieces binary").coalesce(1).write.mode("append").parquet(path)
+
+    while (left := size - begin).any():
+        n_live = int((left > 0).sum())
+        n_seeds = max(1, min(SEEDS, ASKED // most))
+        seeds = np.sort(np.lexsort((np.arange(len(left)), -left))[: min(n_seeds, n_live)])
+        seeds = seeds[np.lexsort((seeds, -left[seeds]))]
+        at = np.searchsorted(base, seeds, side="right") - 1
+        texts, of = {}, dict(zip(names, base.tolist(), strict=False))
+        for r in blocks.where(F.col("block").isin([names[b] for b in np.unique(at)])).mapInPandas(_texts({names[b]: np.sort(seeds[at == b] - base[b]) for b in np.unique(at)}, width), "block long, i int, ids binary").collect():
+            texts[of[r["block"]] + r["i"]] = np.frombuffer(r["ids"], f"<u{width}")
+        tokens = [np.unique(texts[s]).astype(np.int64) for s in seeds.tolist()]
+        term, owner = np.concatenate(tokens), np.repeat(np.arange(len(seeds)), [len(t) for t in tokens])
+        order = np.argsort(term, kind="stable")
+        live = {b: np.packbits(left[base[k] : base[k + 1]] > 0) for k, b in enumerate(names)}
+        state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "term": term[order], "owner": owner[order], "live": live, "base": of})
+        lists = {}
+        asked = blocks.select("block", "sizes", "ids").mapInPandas(_ask(state, idf, mean, width), "slice int, keys binary, k int")
+        for r in asked.groupBy("slice").applyInPandas(_merge(most), "slice int, keys binary, k int").collect():
+            keys = -np.sort(-np.frombuffer(r["keys"], np.int64).reshape(-1, r["k"]), axis=1)
+            for i, row in enumerate(keys):
+                lists[r["slice"] + i] = (seeds[r["slice"] + i] + (REST - (row & REST))) & REST
+        state.unpersist()
+        done = serve(seeds, [lists[i] for i in range(len(seeds))], most >= n_live, size, begin, window)
+        for pieces in done:
+            offset, rows = 0, []
             for d, a, n in pieces:
-                out.append((rows[d].doc_id, rows[d].start + a, n, docs[d][a : a + n].astype("<u4").tobytes(), rows[d].doc_tokens, sequence + k, offset))
+                rows.append((d, a, n, sequence, offset))
                 offset += n
-        cols = list(zip(*out, strict=True))
-        names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-        return pd.DataFrame({name: pd.array(c, dtype="Int64") if name == "doc_id" else list(c) for name, c in zip(names, cols, strict=True)})
+            held.append(rows)
+            n_held += len(rows)
+            sequence += 1
+        if n_held >= HELD:
+            flush()
+            held, n_held, written = [], 0, True
+        if 4 * len(done) < len(seeds):  # lists too short for what seeds have in common
+            most *= 2
+    if held or not written:
+        flush()
+    return spark.read.schema("block long, pieces binary").parquet(path)
+
+
+def _texts(wanted: dict, width: int):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                end = np.cumsum(np.frombuffer(row.sizes, "<i4").astype(np.int64)) * width
+                at = wanted[row.block]
+                yield pd.DataFrame({"block": row.block, "i": at, "ids": [row.ids[end[i - 1] if i else 0 : end[i]] for i in at]})
 
     return make
 
 
-def _route(idf, width: int):
-    """The token of a remainder with the highest tf * idf, as a routing key."""
+def _cut(width: int):
+    """The pieces of a block's remainders, as rows."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = []
-            for raw in pdf["ids"]:
-                token, tf = np.unique(np.frombuffer(raw, f"<u{width}"), return_counts=True)
-                keys.append(int(token[(tf / (tf + K1) * idf.value[token]).argmax()]))
-            yield pdf.assign(route=keys)
+            for row in pdf.itertuples():
+                sizes = np.frombuffer(row.sizes, "<i4").astype(np.int64)
+                term, first = np.frombuffer(row.ids, f"<u{width}"), np.cumsum(sizes) - sizes
+                d, a, n, sequence, offset = np.frombuffer(row.pieces, np.int64).reshape(-1, 5).T
+                docs = pd.Series(np.frombuffer(row.docs, "<i8")[d], dtype="Int64").mask(np.frombuffer(row.null, bool)[d])
+                place = np.frombuffer(row.place, "<i8").reshape(-1, 2)[d]
+                ids = [term[f : f + k].astype("<u4").tobytes() for f, k in zip((first[d] + a).tolist(), n.tolist(), strict=True)]
+                yield pd.DataFrame({"doc_id": docs, "start": place[:, 0] + a, "length": n, "ids": ids, "doc_tokens": place[:, 1], "sequence_id": sequence, "offset": offset})
 
     return make
 
@@ -177,10 +359,13 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     idf = spark.sparkContext.broadcast(np.log1p((n - holds + 0.5) / (holds + 0.5)))
     width = enc.dtype.itemsize
     full = encoded.where("kind = 0").mapInPandas(_widen(width), PIECES)
-    rest = encoded.where("kind = 1").select("doc_id", "start", "doc_tokens", "ids")
-    rest = rest.mapInPandas(_route(idf, width), "doc_id long, start long, doc_tokens long, ids binary, route int")
-    rest = rest.repartitionByRange("route", F.xxhash64("ids"), "doc_id").sortWithinPartitions("route", F.xxhash64("ids"), "doc_id", "start")
-    return full.union(rest.drop("route").mapInPandas(_pack(idf, width, window, shard), PIECES))
+    rest = encoded.where("kind = 1").select("doc_id", "start", "doc_tokens", "n", "ids")
+    order = (F.col("n").desc(), F.xxhash64("ids"), F.col("doc_id"), F.col("start"))
+    rest = rest.repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = rest.mapInPandas(_blocks(shard), "block long, sizes binary, null binary, docs binary, place binary, ids binary")
+    blocks = common.stored(blocks.repartition(2 * spark.sparkContext.defaultParallelism), "blocks")
+    pieces = _rounds(blocks, idf, width, window).join(blocks, "block")
+    return full.union(pieces.mapInPandas(_cut(width), PIECES))
 
 
 def _widen(width: int):

@@ -106,3 +106,39 @@ def test_empty(spark):
     none = docs(spark, [])
     assert packing.pack(none).count() == 0
     assert token_files.write_tokens(none, "file:///tmp/none").count() == 0
+
+
+def test_scores_of_a_block_are_exact(monkeypatch):
+    r = np.random.default_rng(2)
+    docs_ = [r.zipf(1.3, r.integers(1, 60)) % 50 for _ in range(40)]
+    queries, idf = docs_[::3], r.random(50) * 9
+    size = np.array([len(d) for d in docs_])
+    posting = packing.impacts(np.concatenate(docs_), np.repeat(np.arange(40), size), size, size.mean(), idf)
+    asks = np.unique(np.concatenate([np.unique(q) * 100 + i for i, q in enumerate(queries)]))
+    want = [[sum(np.rint(64 * idf[t] * (d == t).sum() * 2.2 / ((d == t).sum() + 1.2 * (0.25 + 0.75 * len(d) / size.mean()))) for t in set(q.tolist()) & set(d.tolist())) for d in docs_] for q in queries]
+    for dense, pairs in ((1024, 1 << 21), (3, 7), (0, 1)):
+        monkeypatch.setattr(packing, "DENSE", dense)
+        monkeypatch.setattr(packing, "PAIRS", pairs)
+        assert packing.score_all(asks // 100, asks % 100, len(queries), *posting, 40).tolist() == want
+
+
+@pytest.mark.parametrize(("seeds", "most"), [(2048, 64), (3, 1)])
+def test_neighbours_are_found_in_the_whole_corpus(spark, enc, monkeypatch, seeds, most):
+    monkeypatch.setattr(packing, "SEEDS", seeds)
+    monkeypatch.setattr(packing, "LIST", most)
+    r = random.Random(7)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(900)]
+    some = []
+    for pair in range(30):  # a long and a short text of the same 25 words, and a word of higher idf each
+        own = vocab[25 * pair : 25 * pair + 25]
+        some += [(pair, " ".join([*own, *own, *own, f"only{pair} " * 9])), (100 + pair, " ".join([*own, f"other{pair} " * 9]))]
+    r.shuffle(some)
+    docs_ = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    with_all = packing.pack(docs_, window=512, shard=4).collect()
+    at = {}
+    for p in with_all:
+        at.setdefault(p["doc_id"], []).append((p["offset"], p["sequence_id"]))
+    seed_of = {min(at[i])[1]: i for i in range(30) if min(at[i])[0] == 0}
+    used_first = {s: min((p["offset"], p["doc_id"]) for p in with_all if p["sequence_id"] == s and p["offset"] > 0)[1] for s in seed_of}
+    assert len(seed_of) > 10 and all(used_first[s] == 100 + i for s, i in seed_of.items())
+    assert sum(n < 512 for n in [sum(p["length"] for p in with_all if p["sequence_id"] == s) for s in {p["sequence_id"] for p in with_all}]) <= 1
