@@ -4,7 +4,8 @@ A line's set holds its distinct words, lower-cased.  Lines match when the Jaccar
 similarity of their sets is at least 0.8, and a line goes if it matches an earlier one,
 whether that one stays or not.  Earlier means: smaller document id (null last), then
 order of text hash, then line number.  Lines of fewer than ``MIN_WORDS`` distinct words
-are left alone.
+are left alone, or, with ``short_lines``, go if an earlier line has the same words in the
+same order (lower-cased; white space does not count).  Lines without words stay.
 
 1. One scan counts tokens in ``CELLS`` cells: a table of fixed size that orders tokens by
    rarity (any order gives the same links).
@@ -76,10 +77,10 @@ def parity(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
-def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Lines that may have enough words, with their document and number."""
+def lines_of(docs: DataFrame, id_col: str, text: str, short_lines: bool = False) -> DataFrame:
+    """Lines that may have enough words, or any with ``short_lines``, with their document and number."""
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    return rows.where(F.length("line") >= 2 * MIN_WORDS - 1)
+    return rows.where(F.btrim("line", F.lit(WHITE)) != "" if short_lines else F.length("line") >= 2 * MIN_WORDS - 1)
 
 
 def may_match(a: str, b: str) -> Column:
@@ -96,16 +97,26 @@ def place() -> Column:
     return F.struct(F.col("doc").isNull().alias("null"), F.col("doc"), F.col("hash"), F.col("at"))
 
 
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def as_written(line: Column) -> Column:
+    """Key of a short line: its words in order, apart from the keys of sets."""
+    words = F.regexp_replace(F.btrim(F.lower(line), F.lit(WHITE)), common.SPACE, " ")
+    return F.xxhash64(words, F.lit("short"))
+
+
+def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
     """``doc, hash, removed``: numbers of the lines to remove, a row for each document that loses some."""
     table = rarity(docs, text)
-    lines = lines_of(docs, id_col, text).select("doc", "hash", "at", ranked(F.col("line"), table).alias("r"))
+    lines = lines_of(docs, id_col, text, short_lines).select("doc", "hash", "at", "line", ranked(F.col("line"), table).alias("r"))
     n = F.size("r")
+    key = F.xxhash64("r")
+    if short_lines:
+        key = F.when(n >= MIN_WORDS, key).otherwise(as_written(F.col("line")))
     # half of a token is enough to meet; what differs in the rest only fails the filters or the verification
     prefix = F.transform(F.slice("r", F.lit(1), prefix_size(n)), half)
-    lines = lines.select("doc", "hash", "at", F.xxhash64("r").alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), prefix.alias("prefix"))
+    lines = lines.select("doc", "hash", "at", key.alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), prefix.alias("prefix"))
     # filtered as it is read, since a filter before would make every set twice
-    lines = common.stored(lines, "lines").where(F.col("n") >= MIN_WORDS)
+    every = common.stored(lines, "lines")
+    lines = every.where(F.col("n") >= MIN_WORDS)
     sets = lines.groupBy("key").agg(F.min(place()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     posting = sets.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
     # one condition for both sides and the same columns of both, so that one exchange serves the two
@@ -113,6 +124,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     maybe = common.stored(maybe.groupBy("key").agg(F.collect_set("token").alias("met")), "maybe")
 
     gone = _verified(docs, lines, maybe, table, id_col, text)
+    # short lines have met no other set, so only those behind the first of their key go
+    lines = every if short_lines else lines
     firsts = lines.groupBy("key").agg(F.min(place()).alias("first")).join(gone, "key", "left")
     marked = lines.select("doc", "hash", "at", "key").join(firsts, "key")
     drop = marked.where((place() != F.col("first")) | F.coalesce(F.col("gone"), F.lit(False)))
@@ -148,9 +161,9 @@ def half(token: Column) -> Column:
     return F.when(token.bitwiseAND(F.lit(0x80000000)) == 0, token.bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(token.bitwiseAND(F.lit(0x7FFFFFFF)) - 2147483648).cast("int")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
     """``docs`` without the lines that match earlier ones, plus ``n_lines`` (before) and ``removed`` (their numbers from 0)."""
-    gone = common.stored(later_matches(docs, id_col, text), "removed_lines")
+    gone = common.stored(later_matches(docs, id_col, text, short_lines), "removed_lines")
     few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= BROADCAST_LINES
     gone = gone.select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("removed").alias("_removed"))
     rows = docs.drop("removed", "n_lines").withColumn("_own", F.xxhash64(F.col(text)))
@@ -163,5 +176,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"), "text")

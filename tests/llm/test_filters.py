@@ -173,6 +173,47 @@ def test_line_dedup(spark, monkeypatch, few):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+SHORT = [
+    (300, "All rights reserved.\n\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002\n" + "the " * 60), (301, "ALL  rights\treserved. \n}\n\n \nreserved. all rights"), (302, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002\n" + "the " * 60 + "\nthe the\n}\n\n \n}"),
+    (303, "one two three four five\none two three four\nfive four three two one\none two three four"),
+]
+
+
+def brute_with_short(some):
+    """Sets as in ``brute_removed``, and lines of fewer words that equal an earlier one."""
+    out, seen = brute_removed(some), set()
+    for null, i, t in sorted({(i is None, i or 0, t) for i, t in some if t is not None}):
+        for k, line in enumerate(t.split("\n")):
+            words = tuple(w.lower() for w in re.findall(WORD, line))
+            if words and len(set(words)) < line_dedup.MIN_WORDS:
+                if words in seen:
+                    out[None if null else i, t] = sorted([*out[None if null else i, t], k])
+                seen.add(words)
+    return out
+
+
+@pytest.mark.parametrize("few", [line_dedup.BROADCAST_LINES, -1])
+def test_short_lines_go_when_equal(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", few)
+    some = [(r[0], r[1]) for r in rows()] + SHORT
+    want = brute_with_short(some)
+    assert want[301, SHORT[1][1]] == [0] and want[302, SHORT[2][1]] == [0, 1, 3, 6] and want[303, SHORT[3][1]] == [2, 3]
+    table = docs(spark, rows() + [(i, t, "en", "s", 0, "", "", "", "") for i, t in SHORT])
+    got = line_dedup.dedup_lines(table.withColumn("whole", F.col("text")), short_lines=True).collect()
+    assert len(got) == len(some)
+    for r in got:
+        gone = want.get((r["doc_id"], r["whole"]), [])
+        assert r["removed"] == gone
+        assert r["text"] == (None if r["whole"] is None else "\n".join(x for k, x in enumerate(r["whole"].split("\n")) if k not in gone))
+
+
+def test_query_removes_short_lines(spark, tmp_path):
+    docs(spark, [(i, t, "en", "s", 0, "", "", "", "") for i, t in SHORT]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_with_short(SHORT)
+    got = line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == {i: ",".join(map(str, want[i, t])) for i, t in SHORT}
+
+
 def test_targets(spark):
     df = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 300), ("é", 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(df, [5, 2, 1], 1.5, 2.0).collect()}
