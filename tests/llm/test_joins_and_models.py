@@ -93,6 +93,15 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(docs(spark, [])).count() == 0
 
 
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    some = [(3, a), (7, a + " end"), (7, b), (9, b + " end"), (None, c), (None, c), (None, c + " end"), (11, a + " fin"), (None, a), (None, None), (None, ""), (5, None), (5, None)]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(spark, [(i, t, "", "", 0, "", "", "", "") for i, t in some])).collect()]
+    rest = [k for k in kept if k[0] is None and k[1] and k[1].startswith("c")]
+    assert len(rest) == 1 and rest[0][1] in (c, c + " end")
+    assert sorted([k for k in kept if k not in rest], key=repr) == sorted([(3, a), (7, b), (None, None), (None, ""), (5, None)], key=repr)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (None, 3)]
