@@ -38,6 +38,8 @@ from .tokens import encoder, tokenizer_path
 MAGIC, VERSION = b"DLEF", 1
 HEAD = struct.Struct("<4sHHIxxxxqqqqqq")
 SAMPLE = 512
+#: Documents that are decoded at a time.
+MOST_DOCS = 1 << 16
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -96,6 +98,15 @@ class EliasFano:
         place = int(np.flatnonzero(np.unpackbits(self.high[byte + k : byte + k + 1], bitorder="little"))[inside])
         return (((byte + k) * 8 + place - i) << self.low_bits) | int(self._low(i, 1)[0])
 
+    def run(self, i: int, n: int) -> np.ndarray:
+        """``n`` values from the i-th on, decoded from the directory's entry before them."""
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        a, last = int(self.directory[i // SAMPLE]), (i + n - 1) // SAMPLE + 1
+        z = int(self.directory[last]) + 1 if last < len(self.directory) else len(self.high)
+        place = np.flatnonzero(np.unpackbits(self.high[a:z], bitorder="little"))[i - int(self.before[i // SAMPLE]) :][:n] + a * 8
+        return ((place - np.arange(i, i + n)) << self.low_bits) | self._low(i, n)
+
     def decoded(self, most: int = 1 << 16) -> Iterator[np.ndarray]:
         """All values, in runs of bounded length."""
         first = 0
@@ -143,21 +154,43 @@ def read_shard(uri: str, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.
     """Documents of a shard in file order, some at a time: null flags, ids, starts in the shard, and token ids."""
     files, path = _fs(uri)
     with files.open_input_stream(path) as src:
-        magic, version, width, _, n, n_null, _, base, known, bounds = HEAD.unpack(src.read(HEAD.size))
-        if magic != MAGIC or version != VERSION:
-            raise ValueError(f"{uri} is no token file of version {VERSION}")
-        names, _ = EliasFano.from_bytes(src.read(known))
-        ends, _ = EliasFano.from_bytes(src.read(bounds))
-        dtype = np.dtype("<u2" if width == 2 else "<u4")
-        ids = np.concatenate([np.zeros(n_null, np.int64), *[(v.astype(np.uint64) + np.uint64(base & (1 << 64) - 1)).astype(np.int64) for v in names.decoded()]])
-        last = np.concatenate([np.zeros(0, np.int64), *ends.decoded()])
-        starts = np.concatenate([[0], last])[:n]
-        at = 0
+        n, n_null, base, width, names, ends, _ = _front(src, uri)
+        at, start = 0, 0
         while at < n:
-            to = max(at + 1, int(np.searchsorted(last, starts[at] + block // width, side="right")))
-            data = np.frombuffer(src.read(int(last[to - 1] - starts[at]) * width), dtype)
-            yield np.arange(at, to) < n_null, ids[at:to], starts[at:to], np.split(data, (last[at : to - 1] - starts[at]))
-            at = to
+            # the last document that ends within the block, by its offset in the coded form
+            to, most = at + 1, min(n, at + MOST_DOCS)
+            while to < most:
+                middle = (to + most + 1) // 2
+                to, most = (middle, most) if ends.select(middle - 1) <= start + block // width else (to, middle - 1)
+            last = ends.run(at, to - at)
+            data = np.frombuffer(src.read(int(last[-1] - start) * width), f"<u{width}")
+            null = np.arange(at, to) < n_null
+            known = names.run(max(0, at - n_null), to - max(at, n_null))
+            ids = np.concatenate([np.zeros(int(null.sum()), np.int64), (known.astype(np.uint64) + base).astype(np.int64)])
+            yield null, ids, np.concatenate([[start], last[:-1]]), np.split(data, last[:-1] - start)
+            at, start = to, int(last[-1])
+
+
+def read_document(uri: str, i: int) -> np.ndarray:
+    """Token ids of a shard's i-th document, found by its offset; no other document is read."""
+    files, path = _fs(uri)
+    with files.open_input_file(path) as src:
+        n, _, _, width, _, ends, ids = _front(src, uri)
+        if not 0 <= i < n:
+            raise IndexError(i)
+        start, end = ends.select(i - 1) if i else 0, ends.select(i)
+        src.seek(ids + start * width)
+        return np.frombuffer(src.read((end - start) * width), f"<u{width}")
+
+
+def _front(src, uri: str) -> tuple[int, int, np.uint64, int, EliasFano, EliasFano, int]:
+    """Numbers of documents and null ids, first id, id width, coded ids and boundaries, and the place of the token ids."""
+    magic, version, width, _, n, n_null, _, base, known, bounds = HEAD.unpack(src.read(HEAD.size))
+    if magic != MAGIC or version != VERSION:
+        raise ValueError(f"{uri} is no token file of version {VERSION}")
+    names, _ = EliasFano.from_bytes(src.read(known))
+    ends, _ = EliasFano.from_bytes(src.read(bounds))
+    return n, n_null, np.uint64(base & (1 << 64) - 1), width, names, ends, HEAD.size + known + bounds
 
 
 def _writer(folder: str, path: str, end_id: int):

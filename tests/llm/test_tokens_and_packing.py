@@ -58,6 +58,24 @@ def test_shard_round_trip(tmp_path):
     assert got == [(True, 0, 0, [0, 1, 2]), (False, -5, 3, [0]), (False, 2, 4, []), (False, 2, 4, [0, 1, 2, 3, 4])]
 
 
+def test_shards_are_read_by_select(tmp_path, monkeypatch):
+    r = np.random.default_rng(5)
+    sizes = r.integers(0, 40, 3000)
+    texts = [r.integers(0, 60000, n).astype("<u2") for n in sizes]
+    uri, names = f"file://{tmp_path}/a.tok", np.sort(r.integers(-(2**62), 2**62, 2993))
+    token_files.write_shard(uri, names, 7, sizes, [t.tobytes() for t in texts], 2, 2)
+    monkeypatch.setattr(token_files.EliasFano, "decoded", None)  # no whole tables
+    for block, most in ((100, 1 << 16), (4 << 20, 1 << 16), (4 << 20, 700)):
+        monkeypatch.setattr(token_files, "MOST_DOCS", most)
+        got = [x for a, b, c, d in token_files.read_shard(uri, block) for x in zip(a.tolist(), b.tolist(), c.tolist(), [t.tolist() for t in d], strict=True)]
+        starts = (np.cumsum(sizes) - sizes).tolist()
+        assert got == list(zip([True] * 7 + [False] * 2993, [0] * 7 + names.tolist(), starts, [t.tolist() for t in texts], strict=True))
+    for i in (0, 6, 7, 511, 512, 513, 2999):
+        assert token_files.read_document(uri, i).tolist() == texts[i].tolist()
+    with pytest.raises(IndexError):
+        token_files.read_document(uri, 3000)
+
+
 def test_token_files(spark, enc, tmp_path):
     manifest = spark.createDataFrame(token_files.write_tokens(docs(spark), f"file://{tmp_path}/t").collect())
     got = token_files.read_tokens(manifest).withColumn("c", F.crc32("ids")).collect()
