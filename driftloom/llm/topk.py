@@ -13,7 +13,8 @@ query block, which is the stated query set against all rows.  A pair of blocks y
 at most k rows for each query, so nothing but those is shuffled afterwards.
 
 Defined results: vectors that are null or hold a null or non-finite component take no
-part, neither as query nor as candidate, nor do those beyond 32 bits after scaling;
+part, neither as query nor as candidate; scaled components have 64 bits, and one or a
+returned score beyond raises an error, as in SQL;
 only vectors of one length meet; an id that occurs more than once counts once per row, and a row is
 never its own candidate (rows that repeat a query's id are left out as its own row);
 ties go to the smaller id; with fewer than k candidates all are returned.
@@ -42,7 +43,10 @@ def _pack(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
 
     def block(dim: int, rows: list) -> pd.DataFrame:
         ids = np.array([i for i, _ in rows], "<i8")
-        return pd.DataFrame({"n": [len(rows)], "dim": [dim], "ids": [ids.tobytes()], "rows": [np.stack([v for _, v in rows]).astype("<i4").tobytes()]})
+        values = np.stack([v for _, v in rows]).astype("<i8")
+        # 32 bits where they do
+        narrow = not values.size or (values.max() < 2**31 and values.min() >= -(2**31))
+        return pd.DataFrame({"n": [len(rows)], "dim": [dim], "ids": [ids.tobytes()], "rows": [values.astype("<i4" if narrow else "<i8").tobytes()]})
 
     for pdf in batches:
         for i, v in zip(pdf["id"], pdf["v"], strict=True):
@@ -56,6 +60,22 @@ def _pack(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
             yield block(dim, rows)
 
 
+def _ints(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i8" if n * dim and len(raw) == 8 * n * dim else "<i4").reshape(n, dim)
+
+
+def _largest(queries: np.ndarray, rows: np.ndarray) -> float:
+    """No sum of products, nor a part of it, is beyond this."""
+    return rows.shape[1] * float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(rows.astype(np.float64)).max(initial=0))
+
+
+def _products(rows: np.ndarray, queries: np.ndarray, largest: float) -> np.ndarray:
+    """Exact scores of pairs: 64-bit integers, or Python's where those could overflow."""
+    if largest < 2.0**62:
+        return np.einsum("ij,ij->i", rows.astype(np.int64), queries.astype(np.int64))
+    return (rows.astype(object) * queries.astype(object)).sum(1)
+
+
 def survivors(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray, k: int) -> np.ndarray:
     """Which rows of a block may be among the best k of each query: a boolean matrix, rows by queries.
 
@@ -65,6 +85,9 @@ def survivors(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray, k: int) -
     upwards, so both bounds of all pairs are sums over two halves of a query.
     """
     n = len(rows)
+    # sums below 2 ** 53 are exact; beyond, nothing is dropped that rounding could have put below the bar
+    largest = _largest(queries, rows)
+    slack = 0.0 if largest < 2.0**53 else largest * (rows.shape[1] + 4) * 2.0**-50
     order = rows.argsort(0, kind="stable")
     place = np.empty(rows.shape, np.int32)
     np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], 0)
@@ -79,7 +102,7 @@ def survivors(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray, k: int) -
         if n > k:
             bar = np.maximum(bar, np.partition(low, n - k, axis=0)[n - k])
         high = low if depth == n else np.where(top, rows, values[n - depth]) @ up + np.where(bottom, rows, values[depth - 1]) @ down
-        alive = (high >= bar) & ~skip
+        alive = (high >= bar - slack) & ~skip
         if depth == n or np.count_nonzero(alive) <= 4 * k * len(queries):
             return alive
     return alive
@@ -88,16 +111,18 @@ def survivors(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray, k: int) -
 def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for row in pdf.itertuples():
-            ids, rows = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.rows, "<i4").reshape(row.n, row.dim)
-            q_ids, queries = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.q_rows, "<i4").reshape(row.q_n, row.dim)
+            ids, rows = np.frombuffer(row.ids, "<i8"), _ints(row.rows, row.n, row.dim)
+            q_ids, queries = np.frombuffer(row.q_ids, "<i8"), _ints(row.q_rows, row.q_n, row.dim)
             alive = survivors(queries.astype(np.float64), rows.astype(np.float64), ids[:, None] == q_ids[None, :], k)
             q, i = np.nonzero(alive.T)
-            score = np.concatenate([np.einsum("ij,ij->i", rows[i[a : a + BLOCK]].astype(np.int64), queries[q[a : a + BLOCK]].astype(np.int64)) for a in range(0, len(i), BLOCK)] or [np.zeros(0, np.int64)])
-            best = np.lexsort((ids[i], -score, q))
+            largest = _largest(queries, rows)
+            score = np.concatenate([_products(rows[i[a : a + BLOCK]], queries[q[a : a + BLOCK]], largest) for a in range(0, len(i), BLOCK)] or [np.zeros(0, np.int64)])
+            parts = (score,) if score.dtype != object else [x.astype(np.int64) for x in (score & 0xFFFFFFFF, score >> 32 & 0xFFFFFFFF, score >> 64)]
+            best = np.lexsort((ids[i], *[-x for x in parts], q))
             q, i, score = q[best], i[best], score[best]
             first = np.searchsorted(q, np.arange(len(q_ids)))
             keep = np.arange(len(q)) - first[q] < k if len(q) else np.zeros(0, bool)
-            yield pd.DataFrame({"query_id": q_ids[q[keep]], "vec_id": ids[i[keep]], "score": score[keep]})
+            yield pd.DataFrame({"query_id": q_ids[q[keep]], "vec_id": ids[i[keep]], "score": score[keep].astype(np.int64)})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -111,8 +136,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     def whole(df: DataFrame) -> DataFrame:
         x = F.col(vector)
-        fit = x.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double") * scale) >= 2.0**31))
-        return df.where(fit).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("int")).alias("v"))
+        fit = x.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+        scaled = lambda v: v.cast("double") * scale
+        whole = lambda v: F.when(F.abs(scaled(v)) < 2.0**63, F.floor(scaled(v)).cast("long")).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("long"))
+        return df.where(fit).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
     at = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = whole(queries).repartition(max(1, min(at, -(-queries.count() // QUERY_BLOCK))))

@@ -143,6 +143,18 @@ def test_top_k(spark, monkeypatch, n, block):
     assert got == brute_top(vectors, [i for i, _ in vectors if i % 50 == 0], 5)
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    vectors = [(i, [float(np.float32(x)) for x in r.normal(size=4)]) for i in range(1, 60)]
+    # 256 * x is beyond 32 bits, products beyond 2 ** 53, and terms beyond 64 bits that cancel out
+    vectors += [(100, [2.0**23, 0.0, 1.0, 0.0]), (101, [0.0, -(2.0**27), 0.0, 1.0]), (102, [2.0**23, 1.0, 0.0, 0.0]), (103, [2.0**23, 0.99609375, 0.0, 0.0])]
+    vectors += [(150, [1.0, 2.0, 2.0**40, 2.0**40]), (151, [0.0, 0.0, 2.0**8, -(2.0**8)]), (152, [3.0, 0.0, 2.0**20, -(2.0**20)])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    got = {tuple(x) for x in topk.top_k(df, df.where(F.col("vec_id") % 50 == 0), 5).collect()}
+    assert got == brute_top(vectors, [50, 100, 150], 5)
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(none, none, 5).count() == 0
