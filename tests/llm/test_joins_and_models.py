@@ -218,3 +218,32 @@ def test_pipeline(spark, tmp_path):
             assert after.columns == now.columns, name
         now = after
     assert now.count() and {r[0] for r in now.groupBy("sequence_id").agg(F.sum("length") <= 1024).select(F.col("(sum(length) <= 1024)")).distinct().collect()} == {True}
+
+
+def test_pipeline_loses_no_document(spark, tmp_path):
+    """``run`` against plain Python for scores, lines, classes and ids; mixing, with brute force of its own, is taken as it is."""
+    from collections import Counter
+
+    import corpus_pipeline
+    from driftloom.llm import mixing
+    from driftloom.llm.tokens import Encoder, tokenizer_path
+
+    from .fixtures import DOCS
+    from .test_filters import brute_with_short
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 9 == 3)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    score = toxicity.fit(table, labels.select("doc_id", "toxic")).score([r[1] for r in rows()])
+    now = [r for r, s in zip(rows(), score, strict=True) if s < corpus_pipeline.THRESHOLD]
+    gone = brute_with_short([r[:2] for r in now])
+    now = [(r[0], None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone[r[:2]]), *r[2:]) for r in now]
+    stay = {c for _, _, c in brute_classes([r[:2] for r in now])}
+    now = list({(r[0], r[1]): r for r in now if r[0] in stay}.values())
+    want, enc = Counter(), Encoder(tokenizer_path())
+    for r in mixing.mix(spark.createDataFrame(now, DOCS), labels.select("doc_id", "quality"), mixing.WEIGHTS).collect():
+        want.update((r["doc_id"], t) for t in [*enc.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0])
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.update((r["doc_id"], t) for t in np.frombuffer(r["ids"], "<u4").tolist())
+    assert got and got == want
