@@ -7,24 +7,25 @@ order of text hash, then line number.  Lines of fewer than ``MIN_WORDS`` distinc
 are left alone, or, with ``short_lines``, go if an earlier line has the same words in the
 same order (lower-cased; white space does not count).  Lines without words stay.
 
-1. One scan counts tokens in ``CELLS`` cells: a table of fixed size that orders tokens by
-   rarity (any order gives the same links).
+1. One scan counts tokens in 2 ** ``CELL_BITS`` cells: a table of fixed size that orders tokens by
+   rarity (any order gives the same links).  It is read as a scalar subquery, so that no
+   plan holds it.
 2. A second scan makes each line's set in that order, its prefix, and a parity word (bit i
-   is the parity of the tokens that hash to i), and keeps those, not the sets.  Of equal
+   is the parity of the tokens that hash to i; four words for long sets), and keeps those, not the sets.  Of equal
    sets the first line stands for all; its later lines go.
 3. Prefix tokens are joined with each other under length, positional and parity filter
    (the latter bounds the symmetric difference from below).  It is a semi-join: a set
-   that may have a partner gives one row for a token at most, however large a group is.
-4. The lines of such sets alone are read once more and joined again, with their tokens,
-   by prefix token, place and filters, and verified.
+   that may have an earlier partner gives one row for a token at most, however large a group is.
+4. The lines of such sets, and of those that they may match, are read once more and verified
+   with their tokens.  First a set is held against the earlier ones of the rarest token at
+   which one may match; the few for which that fails ask at their other such tokens.
 
 Adaptive execution splits frequent tokens.  Everything is DataFrame expressions.
 
 Defined results: null and empty texts stay as they are; rows that repeat both id and
-text are one document and stay equal; other columns are handed through unchanged, those
-named ``removed`` or ``n_lines`` are replaced; a document may end up with an empty text
-and is kept.  Words are told apart by 56-bit hashes, and by 32 bits of them in the
-verification of a pair.
+text are one document and stay equal; other columns are handed through unchanged,
+whatever their names, those named ``removed`` or ``n_lines`` are replaced; a document may
+end up with an empty text and is kept.  Words are told apart by 56-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,37 +36,42 @@ from pyspark.sql import functions as F
 from . import common
 
 PERCENT, MIN_WORDS = 80, 5
-CELLS = 1 << 17
-WHITE = " \t\n\x0b\x0c\r"
-#: Ids or removed lines are broadcast to the texts up to this many, else joined by a shuffle.
-BROADCAST_LINES = 1_000_000
+CELL_BITS = 17
+#: From this size on one parity word says little, since too many tokens may differ.
+WIDE = 96
+#: Ids or removed lines (some 50 bytes each) are broadcast up to this many, else joined by a shuffle.
+BROADCAST_LINES = 250_000
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased, with blanks for all white space but line ends."""
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    return F.when(odd, F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")).otherwise(F.lower(text))
 
 
 def cell_of(token: Column) -> Column:
-    return F.pmod(token, F.lit(CELLS)).cast("int")
+    return F.shiftrightunsigned(token, 64 - CELL_BITS)
 
 
-def rarity(docs: DataFrame, text: str) -> bytes:
-    """One byte a cell: the logarithm of the count of its tokens in eighths of an octave, at most 126."""
-    word = docs.select(F.explode(F.split(F.lower(F.col(text)), common.SPACE)).alias("w"))
+def rarity(docs: DataFrame, text: str) -> DataFrame:
+    """One row, ``cells``: for each cell the logarithm of the count of its tokens in eighths of an octave, at most 126, in a long's top byte."""
+    spark = docs.sparkSession
+    word = docs.select(F.explode(F.split(F.replace(plain(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = word.groupBy(cell_of(F.xxhash64("w")).alias("cell")).count()
-    step = F.least(F.lit(126), F.floor(4 * F.log2(F.col("count")) + 1)).cast("int")
+    step = F.least(F.lit(126), F.floor(4 * F.log2("count") + 1)).cast("long")
+    every = spark.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left").select(F.col("id").alias("cell"), F.shiftleft(F.coalesce(step, F.lit(0).cast("long")), 56).alias("step"))
     # parts of 1024 cells, then the parts in order: fixed sizes
-    part = counts.groupBy(F.floor(F.col("cell") / 1024).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("cell") % 1024).alias("k"), step.alias("v")))).alias("m"))
-    byte = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0))), 2, "0"))
-    rows = part.select("part", F.unhex(F.array_join(byte, "")).alias("bytes")).collect()
-    table = bytearray(CELLS)
-    for r in rows:
-        table[r["part"] * 1024 : (r["part"] + 1) * 1024] = r["bytes"]
-    return bytes(table)
+    part = every.groupBy(F.shiftright("cell", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("cell", "step"))).alias("s"))
+    part = part.select("part", F.transform("s", lambda x: x["step"]).alias("s"))
+    one = part.groupBy().agg(F.array_sort(F.collect_list(F.struct("part", "s"))).alias("parts"))
+    return common.stored(one.select(F.flatten(F.transform("parts", lambda x: x["s"])).alias("cells")), "rarity")
 
 
-def ranked(line: Column, table: bytes) -> Column:
-    """A line's distinct words, rarest first: the cell's byte and 56 bits of the word's hash in one long."""
-    words = F.split(F.btrim(F.lower(line), F.lit(WHITE)), common.SPACE)
-    byte = lambda t: F.ascii(F.decode(F.substring(F.lit(table), cell_of(t) + 1, F.lit(1)), "ISO-8859-1"))
-    token = lambda t: F.shiftleft(byte(t).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), token))
+def ranked(line: Column, cells: Column) -> Column:
+    """A plain line's distinct words, rarest first: the cell's byte and 56 bits of the word's hash in one long."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    token = lambda t: F.coalesce(F.get(cells, cell_of(t)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(t, 8))
+    return F.sort_array(F.transform(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))), token))
 
 
 def prefix_size(n: Column) -> Column:
@@ -77,10 +83,22 @@ def parity(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
-def lines_of(docs: DataFrame, id_col: str, text: str, short_lines: bool = False) -> DataFrame:
-    """Lines that may have enough words, or any with ``short_lines``, with their document and number."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    return rows.where(F.btrim("line", F.lit(WHITE)) != "" if short_lines else F.length("line") >= 2 * MIN_WORDS - 1)
+def parities(tokens: Column) -> Column:
+    """Four parity words, a token counting in one of them by two more of its bits; null for less than ``WIDE`` tokens."""
+    part = lambda i: F.filter(tokens, lambda t: t.bitwiseAND(F.lit(192)) == 64 * i)
+    return F.when(F.size(tokens) >= WIDE, F.array(*[parity(part(i)) for i in range(4)]))
+
+
+def differ(a: str, b: str) -> Column:
+    """Tokens that stand in one of two sets only, at least."""
+    x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    wide = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, 4)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return F.coalesce(wide, F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))))
+
+
+def short(token: Column) -> Column:
+    """31 bits of a token, enough to meet: what differs in the rest only fails the verification."""
+    return token.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
 def may_match(a: str, b: str) -> Column:
@@ -88,8 +106,7 @@ def may_match(a: str, b: str) -> Column:
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     need = F.ceil((na + nb) * PERCENT / (100.0 + PERCENT))
     rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT) & (rest >= need) & (differ <= na + nb - 2 * need)
+    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT) & (rest >= need) & (differ(a, b) <= na + nb - 2 * need)
 
 
 def place() -> Column:
@@ -99,35 +116,40 @@ def place() -> Column:
 
 def as_written(line: Column) -> Column:
     """Key of a short line: its words in order, apart from the keys of sets."""
-    words = F.regexp_replace(F.btrim(F.lower(line), F.lit(WHITE)), common.SPACE, " ")
-    return F.xxhash64(words, F.lit("short"))
+    return F.xxhash64(F.regexp_replace(F.btrim(line), " +", " "), F.lit("short"))
+
+
+def not_after(a: str, b: str) -> Column:
+    """The document of ``a`` is not after that of ``b``, null ids coming last."""
+    x, y = F.col(f"{a}.doc"), F.col(f"{b}.doc")
+    return F.coalesce(x <= y, y.isNull())
 
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
     """``doc, hash, removed``: numbers of the lines to remove, a row for each document that loses some."""
-    table = rarity(docs, text)
-    lines = lines_of(docs, id_col, text, short_lines).select("doc", "hash", "at", "line", ranked(F.col("line"), table).alias("r"))
+    docs = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
+    cells = rarity(docs, "text")
+    rows = docs.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("at", "line"))
+    rows = rows.where(F.btrim("line") != "" if short_lines else F.length("line") >= 2 * MIN_WORDS - 1)
+    lines = rows.withColumn("cells", cells.scalar()).select("doc", "hash", "at", "line", ranked(F.col("line"), F.col("cells")).alias("r"))
     n = F.size("r")
     key = F.xxhash64("r")
     if short_lines:
         key = F.when(n >= MIN_WORDS, key).otherwise(as_written(F.col("line")))
-    # half of a token is enough to meet; what differs in the rest only fails the filters or the verification
-    prefix = F.transform(F.slice("r", F.lit(1), prefix_size(n)), half)
-    lines = lines.select("doc", "hash", "at", key.alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), prefix.alias("prefix"))
+    prefix = F.transform(F.slice("r", F.lit(1), prefix_size(n)), short)
+    lines = lines.select("doc", "hash", "at", key.alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), parities(F.col("r")).alias("wide"), F.when(n >= MIN_WORDS, prefix).alias("prefix"))
     # filtered as it is read, since a filter before would make every set twice
-    every = common.stored(lines, "lines")
-    lines = every.where(F.col("n") >= MIN_WORDS)
-    sets = lines.groupBy("key").agg(F.min(place()).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    posting = sets.select("key", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
-    # one condition for both sides and the same columns of both, so that one exchange serves the two
-    maybe = posting.alias("b").join(posting.alias("a"), may_match("a", "b") & (F.col("a.key") != F.col("b.key")), "left_semi")
-    maybe = common.stored(maybe.groupBy("key").agg(F.collect_set("token").alias("met")), "maybe")
-
-    gone = _verified(docs, lines, maybe, table, id_col, text)
-    # short lines have met no other set, so only those behind the first of their key go
-    lines = every if short_lines else lines
-    firsts = lines.groupBy("key").agg(F.min(place()).alias("first")).join(gone, "key", "left")
-    marked = lines.select("doc", "hash", "at", "key").join(firsts, "key")
+    lines = common.stored(lines, "lines")
+    if not short_lines:
+        lines = lines.where(F.col("n") >= MIN_WORDS)
+    sets = lines.groupBy("key").agg(F.min(place()).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
+    # the document as a column of its own: a field would be taken out at different places of the two sides below
+    sets = common.stored(sets.withColumn("doc", F.col("first.doc")), "sets")
+    gone = _similar(docs, sets, cells)
+
+    # of equal sets, and of equal short lines, the first stays; of a set that matches an earlier one, none
+    behind = sets.select("key", "first", "times").join(_small(gone), "key", "left").where("times > 1 OR gone").drop("times")
+    marked = lines.select("doc", "hash", "at", "key").join(_small(common.stored(behind, "behind")), "key")
     drop = marked.where((place() != F.col("first")) | F.coalesce(F.col("gone"), F.lit(False)))
     return drop.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
@@ -136,43 +158,57 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
 
 
-def _verified(docs: DataFrame, lines: DataFrame, maybe: DataFrame, table: bytes, id_col: str, text: str) -> DataFrame:
+def _similar(docs: DataFrame, sets: DataFrame, cells: DataFrame) -> DataFrame:
     """``key, gone`` of the sets that an earlier set matches."""
-    # where each such set stands first; only those documents are read again, and only those lines of them
-    firsts = lines.join(_small(maybe), "key").groupBy("key").agg(F.min(place()).alias("first"), F.first("met").alias("met"))
-    wanted = firsts.groupBy(F.col("first.doc").alias("_doc"), F.col("first.hash").alias("_hash")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "met")).alias("_ats"))
-    wanted = common.stored(wanted, "wanted")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
-    rows = rows.join(_small(wanted), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
-    parts = F.split("text", "\n")
-    picked = rows.select("doc", "hash", F.explode(F.transform("_ats", lambda x: F.struct(x["at"].alias("at"), x["met"].alias("met"), F.get(parts, x["at"]).alias("line")))).alias("x")).select("doc", "hash", "x.at", "x.met", "x.line")
-    heavy = picked.select(place().alias("first"), "met", ranked(F.col("line"), table).alias("r"))
-    sets = heavy.select("first", "met", F.xxhash64("r").alias("key"), F.size("r").alias("n"), parity(F.col("r")).alias("parity"), F.slice("r", F.lit(1), prefix_size(F.size("r"))).alias("prefix"), F.transform("r", half).alias("r"))
-    # a set's tokens travel with those prefix tokens alone where it met another
-    met = F.filter(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), half(t).alias("token"))), lambda x: F.array_contains("met", x["token"]))
-    post = sets.select("first", "key", "n", "parity", "r", F.explode(met).alias("x")).select("first", "key", "n", "parity", "r", "x.pos", "x.token")
-    same = F.size(F.array_intersect("a.r", "b.r"))
-    fits = may_match("a", "b") & (F.col("a.first") < F.col("b.first")) & (F.col("a.key") != F.col("b.key")) & (same * 100 >= (F.col("a.n") + F.col("b.n") - same) * PERCENT)
-    return post.alias("b").join(post.alias("a"), fits, "left_semi").select("key").distinct().select("key", F.lit(True).alias("gone"))
-
-
-def half(token: Column) -> Column:
-    """32 bits of a token, enough within one pair of lines (a pair of 50 words errs once in millions)."""
-    return F.when(token.bitwiseAND(F.lit(0x80000000)) == 0, token.bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(token.bitwiseAND(F.lit(0x7FFFFFFF)) - 2147483648).cast("int")
+    posting = sets.select("key", "n", "parity", "wide", "doc", F.posexplode("prefix").alias("pos", "token"))
+    fits = may_match("a", "b") & (F.col("a.key") != F.col("b.key")) & not_after("a", "b")
+    # the same columns of both sides, in the order they have anyway, so that one exchange serves the two
+    hits = common.stored(posting.alias("b").join(posting.alias("a"), fits, "left_semi"), "hits")
+    # a set asks first where its token is rarest, then, if nobody there matches, at its other tokens
+    asked = common.stored(hits.groupBy("key").agg(F.min_by(F.struct("doc", "n", "parity", "wide", "pos", "token"), "pos").alias("x")).select("key", "x.*"), "asked")
+    found = common.stored(_matched(docs, sets, posting, asked, cells), "found")
+    more = hits.join(_small(found), "key", "left_anti").join(asked.select("key", "token"), ["key", "token"], "left_anti")
+    more = common.stored(more.select(asked.columns), "more")
+    if not more.isEmpty():
+        found = common.stored(found.union(_matched(docs, sets, posting, more, cells)).distinct(), "found")
+    return found.withColumn("gone", F.lit(True))
+
+
+def _matched(docs: DataFrame, sets: DataFrame, posting: DataFrame, asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """Keys of the postings ``asked`` whose sets match an earlier set that has the same token."""
+    fits = may_match("a", "b") & (F.col("a.key") != F.col("b.key")) & not_after("a", "b")
+    asks = asked.select("key", "token", F.lit(True).alias("asks"))
+    held = posting.alias("a").join(_small(asked).alias("b"), fits, "left_semi").select("key", "token", F.lit(False).alias("asks"))
+    held = common.stored(asks.union(held).groupBy("key", "token").agg(F.max("asks").alias("asks")), "held")
+    n = held.count()
+    where = (F.broadcast(held) if n <= BROADCAST_LINES else held).join(sets.select("key", "first"), "key")
+    wanted = where.groupBy(F.col("first.doc").alias("_doc"), F.col("first.hash").alias("_hash")).agg(F.collect_list(F.struct("token", "asks", "first")).alias("ats"))
+    rows = docs.withColumn("hash", F.xxhash64("text"))
+    rows = rows.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")))
+    # split once a text, not once a line
+    parts = rows.select("ats", F.split(plain(F.col("text")), "\n").alias("parts"))
+    picked = parts.select(F.explode(F.transform("ats", lambda x: F.struct(x["token"].alias("token"), x["asks"].alias("asks"), x["first"].alias("first"), F.get("parts", x["first"]["at"]).alias("line")))).alias("x")).select("x.*")
+    post = picked.withColumn("cells", cells.scalar()).select("token", "asks", "first", ranked(F.col("line"), F.col("cells")).alias("r"))
+    same, n = F.size(F.array_intersect("a.r", "b.r")), F.size("a.r") + F.size("b.r")
+    fits = (F.col("a.token") == F.col("b.token")) & F.col("b.asks") & (F.col("a.first") < F.col("b.first")) & (same * 100 >= (n - same) * PERCENT)
+    found = common.stored(post.alias("b").join(post.alias("a"), fits, "left_semi").select("first").distinct(), "matched")
+    return sets.select("key", "first").join(_small(found), "first", "left_semi").select("key")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
     """``docs`` without the lines that match earlier ones, plus ``n_lines`` (before) and ``removed`` (their numbers from 0)."""
     gone = common.stored(later_matches(docs, id_col, text, short_lines), "removed_lines")
-    few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= BROADCAST_LINES
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.col("removed").alias("_removed"))
-    rows = docs.drop("removed", "n_lines").withColumn("_own", F.xxhash64(F.col(text)))
-    rows = rows.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_hash")), "left")
-    parts = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
-    rows = rows.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(kept))
-    return rows.withColumn("removed", F.coalesce("_removed", F.array().cast("array<int>"))).drop("_own", "_doc", "_hash", "_removed")
+    few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= 4 * BROADCAST_LINES
+    docs = docs.drop("removed", "n_lines")
+    # the row as one column, so that no name of its columns can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own"))
+    rows = rows.join(F.broadcast(gone) if few else gone, F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("hash")), "left")
+    parts = F.split("text", "\n")
+    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    new = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    columns = [(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    return rows.select(*columns, n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
