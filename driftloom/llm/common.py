@@ -20,15 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it.
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the folder that the session was given for checkpoints.
 
     A local folder is set only where the session names none, as in tests.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(LOCAL_DIR)
+    spark.sparkContext.setCheckpointDir(LOCAL_DIR)
     return LOCAL_DIR
 
 
@@ -37,12 +36,6 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again; columns can be pruned then."""
     path = work_path(df.sparkSession, name)
@@ -57,6 +50,16 @@ def slices(batches: Iterator, most: int = 1000) -> Iterator:
             yield pdf.iloc[a : a + most]
 
 
+def as_row(columns: list[str]) -> Column:
+    """Columns as one, ``row``, so that none of their names can clash with those that an operator makes."""
+    return F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row")
+
+
+def of_row(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of ``as_row`` again, those in ``new`` replaced."""
+    return [new.get(c, F.col("row").getField(f"c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased; other letters stay."""
     return F.translate(text, UPPER, LOWER)

@@ -199,16 +199,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sho
     """``docs`` without the lines that match earlier ones, plus ``n_lines`` (before) and ``removed`` (their numbers from 0)."""
     gone = common.stored(later_matches(docs, id_col, text, short_lines), "removed_lines")
     few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= 4 * BROADCAST_LINES
-    docs = docs.drop("removed", "n_lines")
-    # the row as one column, so that no name of its columns can clash
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own"))
+    columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
+    rows = docs.select(common.as_row(columns), F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own"))
     rows = rows.join(F.broadcast(gone) if few else gone, F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("hash")), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("removed"), i)), "\n")
     new = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    columns = [(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
     n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    return rows.select(*columns, n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return rows.select(*common.of_row(columns, **{text: new}), n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ positive counts as the default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -86,24 +86,31 @@ def sizes_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(quality_weight(labels), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
 
+def first_words(text: Column, k: Column) -> Column:
+    """The text up to the end of its k-th word, white space as it is, from its beginning."""
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    parts = F.split(text, common.SPACE, (k + 1 + lead).cast("int"))
+    rest = F.coalesce(F.get(parts, (k + lead).cast("int")), F.lit(""))
+    return F.rtrim(F.left(text, F.char_length(text) - F.char_length(rest)), F.lit(" \t\n\x0b\x0c\r"))
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """The mix itself: rows of ``docs``, a row for each time a document is taken whole, and one with its first words where it is taken in part.
 
     Documents are found again by id, source and size; rows equal in these three share
-    what they take evenly, rounded down.
+    what they take evenly, rounded down.  White space within what is taken stays.
     """
     taken = mix_sizes(sizes_of(docs, labels), weights, share, most, seed)
-    taken = taken.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("_taken")).where("_taken > 0")
-    taken = common.stored(taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken"), "taken")
-    side = F.broadcast(taken) if taken.count() <= BROADCAST_TAKEN else taken
-    own = docs.withColumn("_n", common.n_words(F.col("text")))
-    both = own.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    whole, rest = F.floor(F.col("_taken") / F.col("_n")), F.col("_taken") % F.col("_n")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken")).where("taken > 0")
+    taken = common.stored(taken, "taken")
+    side = (F.broadcast(taken) if taken.count() <= BROADCAST_TAKEN else taken).alias("t")
+    own = docs.select(common.as_row(docs.columns), "doc_id", "source", "text", common.n_words(F.col("text")).alias("n")).alias("d")
+    both = own.join(side, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("n") == F.col("t.size")))
+    whole, rest = F.floor(F.col("taken") / F.col("n")), F.col("taken") % F.col("n")
     parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(parts).alias("_words"))
-    first = F.array_join(F.slice(common.words(F.col("text")), F.lit(1), F.col("_words").cast("int")), " ")
-    out = both.withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(first)).drop("_words")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    both = both.select("row", "text", F.explode(parts).alias("words"))
+    both = both.select("row", F.when(F.col("words") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("words"))).alias("text"))
+    return both.select(*common.of_row(docs.columns, text=F.col("text"), n_chars=F.char_length("text").cast("long")))
 
 
 WEIGHTS = [5, 2, 1]
@@ -140,5 +147,3 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + least(greatest(goal % source_size - before, 0), size) END AS taken, source
 FROM p
 """
-
-

@@ -34,18 +34,23 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words", [450, 400, 300, 200]),
     "long_words": ("word_chars", "n_words", [40000, 25000, 15000, 12000]),
 }
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Strata are broadcast up to this many.
 BROADCAST_STRATA = 10_000
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, plus the counts that the rules use, over whole texts."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    """``docs`` without its text, plus the counts that the rules use, over whole texts; columns of their names are replaced."""
+    others = [c for c in docs.columns if c != text and c not in COUNTS]
+    return _counted(docs.select(common.as_row(others), F.col(text).alias("text"))).select(*common.of_row(others), *COUNTS)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    whole = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(whole, F.lit(WHITE))
     blank = lambda line: F.translate(line, WHITE, "") == ""
     df = docs.select(
-        *others,
+        "row",
         F.char_length(F.translate(whole, WHITE, "")).cast("long").alias("word_chars"),
         (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.transform(F.filter(F.split(whole, "\n"), lambda x: ~blank(x)), lambda x: F.xxhash64(x)).alias("_lines"),
@@ -103,17 +108,19 @@ def certified_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELT
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``docs`` (without text) with the counts, ``base_failed``, ``rejected_by`` (rules) and ``kept``."""
-    counted = text_counts(docs, text).withColumn("stratum", F.coalesce(F.col(stratum), F.lit("")))
+    others = [c for c in docs.columns if c != text and c not in (*COUNTS, "base_failed", "rejected_by", "kept")]
+    counted = text_counts(docs.select(common.as_row(others), F.col(id_col).alias("id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col(text).alias("text")))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     counted = common.stored(counted.withColumn("base_failed", base), "counts")
-    said = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
-    good = counted.where(~F.col("base_failed")).join(said.where("quality = 1"), F.col(id_col) == F.col("_id"))
+    said = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    good = counted.where(~F.col("base_failed")).join(said.where("quality = 1"), "id")
     cutoffs = common.stored(certified_cutoffs(good, alpha, delta), "cutoffs")
     few = cutoffs.count() <= BROADCAST_STRATA
     rows = counted.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left")
     rules = F.array_compact(F.array(*[F.when(_above(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]))
-    rows = rows.withColumn("rejected_by", rules).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
-    return rows.drop("stratum", *[f"cut_{r}" for r in RULES])
+    rows = rows.withColumn("rejected_by", rules)
+    kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
+    return rows.select(*common.of_row(others), *COUNTS, "base_failed", "rejected_by", kept.alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,11 +51,14 @@ NAMES = [
 #: What stands where a secret will be filled in.  Fixed values.
 PLACEHOLDER = re.compile(r"^(x+|\*+|\.+|-+|none|null|true|false|undefined|changeme|example|placeholder|test|your.*|<.*>|\$\{.*\}|\{\{.*\}\})$", re.I)
 THRESHOLD = 4.0
-ASSIGNMENT = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)(?P=q)[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<rest>[^\r\n]+)"""
-)
-ATOM = re.compile(r"""[\x20\t]*(?:"(?P<d>(?:[^"\\\r\n]|\\.)*)"|'(?P<s>(?:[^'\\\r\n]|\\.)*)'|(?P<n>[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)(?![A-Za-z0-9+/_=-])|(?P<b>[^\s"',;(){}\[\]]+))""")
-JOIN = re.compile(r"[\x20\t]*(?:\+|\.(?=[\x20\t\"']))")
+#: What stands between a name and its literal.
+OPERATOR = re.compile(r":=|=>|=(?!=)|:(?![:/])")
+BLANKS = re.compile(r"[\x20\t]*+")
+LINE = re.compile(r"[^\r\n]*+")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+CHAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z_][A-Za-z0-9_]*+)*+")
+ATOM = re.compile(r"""[\x20\t]*+(?:"(?P<d>(?:[^"\\\r\n]|\\.)*+)"|'(?P<s>(?:[^'\\\r\n]|\\.)*+)'|(?P<n>[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)*+)(?![A-Za-z0-9+/_=-])|(?P<b>[^\s"',;(){}\[\]]++))""")
+JOIN = re.compile(r"[\x20\t]*+(?:\+|\.(?=[\x20\t\"']))")
 
 
 def looks(literal: str) -> float:
@@ -73,36 +76,81 @@ def weight(name: str) -> float:
     return next((w for p, w in NAMES if p.search(last)), 0.0)
 
 
+def name_before(text: str, low: int, at: int) -> str | None:
+    """The longest name that ends where the operator at ``at`` begins, blanks and quotes aside, not reaching before ``low``."""
+    while at > low and text[at - 1] in " \t":
+        at -= 1
+    quote = text[at - 1] if at > low and text[at - 1] in "\"'" else ""
+    end = at - len(quote)
+    first = end
+    while first > low and text[first - 1] in NAME_CHARS:
+        first -= 1
+    if quote:
+        return text[first:end] if first > low and text[first - 1] == quote and CHAIN.fullmatch(text, first, end) else None
+    # parts from the last on, as far as they are identifiers; digits that lead one end the chain
+    begin = stop = end
+    for k in range(end - 1, first - 2, -1):
+        if k < first or text[k] in ".-":
+            head = k + 1
+            while head < stop and text[head].isdigit():
+                head += 1
+            if head < stop:
+                begin = head
+            if head > k + 1 or head == stop:
+                break
+            stop = k
+    return text[begin:end] or None
+
+
 def lex(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive name and look like a secret."""
+    """Spans of the literals that reach a sensitive name and look like a secret.
+
+    Time is linear in the text: runs of name characters between operators are looked at
+    once, and an assignment points to the earlier ones that it is made of.
+    """
     if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, list[tuple[int, int]]] = {}
-    score: dict[tuple[int, int], float] = {}
-    at = 0
-    while m := ASSIGNMENT.search(text, at):
-        name, at, end = m["name"], m.start("rest"), m.end("rest")
-        got: list[tuple[int, int]] = []
-        while a := ATOM.match(text, at, end):
+    bound: dict[str, int] = {}
+    made: list[list] = []  # of each assignment: spans of literals, and numbers of earlier assignments that hold some
+    best: list[float] = []
+    at, end = 0, -1
+    for m in OPERATOR.finditer(text):
+        if m.start() < at or (name := name_before(text, at, m.start())) is None:
+            continue
+        start = pos = BLANKS.match(text, m.end()).end()
+        if end < start:
+            end = LINE.match(text, start).end()
+        if start == end == m.end():
+            continue
+        got: list = []
+        while a := ATOM.match(text, pos, end):
             kind = a.lastgroup
             if kind in ("d", "s"):
                 got.append(a.span(kind))
             elif kind == "n":
-                if a["n"] in bound:
-                    got += bound[a["n"]]
+                if (old := bound.get(a["n"])) is not None:
+                    if made[old]:
+                        got.append(old)
                 elif not got and len(a["n"]) >= 8 and re.search("[0-9]", a["n"]):
                     got.append(a.span("n"))  # a bare value that has the form of a name
             elif not got:
                 got.append(a.span("b"))
-            at = a.end()
-            if not (j := JOIN.match(text, at, end)):
+            pos = a.end()
+            if not (j := JOIN.match(text, pos, end)):
                 break
-            at = j.end()
-        bound[name] = got
-        if w := weight(name):
-            for span in got:
-                score[span] = max(score.get(span, 0.0), w)
-        at = max(at, m.start("rest") + 1) if got else m.start("rest")
+            pos = j.end()
+        bound[name] = len(made)
+        made.append(got)
+        best.append(weight(name))
+        at = max(pos, start + 1) if got else start
+    score: dict[tuple[int, int], float] = {}
+    for k in range(len(made) - 1, -1, -1):
+        if best[k]:
+            for x in made[k]:
+                if isinstance(x, int):
+                    best[x] = max(best[x], best[k])
+                else:
+                    score[x] = max(score.get(x, 0.0), best[k])
     return sorted(s for s, w in score.items() if (x := looks(text[s[0] : s[1]])) and w + x >= THRESHOLD)
 
 

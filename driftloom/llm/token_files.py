@@ -19,7 +19,7 @@ that ``pyarrow.fs`` opens by URI will do.
 
 Defined results: a null or empty text is a document of one token, the end id; null
 document ids come first, in a shard's front; repeated ids keep one entry a row, ordered
-by text; an empty table gives no shards and no rows.
+by a hash of the text; an empty table gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -218,11 +218,13 @@ def _writer(folder: str, path: str, end_id: int):
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` as token files into ``folder``; the manifest: ``shard, uri, n_docs, n_tokens``, a row a file.
 
-    Texts are dealt out by ranges of the id (adaptive execution picks their number by
-    size) and sorted in each, so shards are in ascending order.
+    Texts are dealt out by ranges of the id and a hash of the text (adaptive execution
+    picks their number by size) and sorted in each, so shards are in ascending order and
+    many rows of one id, or of none, are split.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     return rows.mapInPandas(_writer(folder, path or tokenizer_path(), end_id), "shard long, uri string, n_docs long, n_tokens long")
 
 

@@ -40,7 +40,8 @@ FOLDS = 5
 INSULTS = frozenset("loser idiot pathetic scum worthless moron trash clown disgusting stupid dumb fool liar garbage vermin filth freak jerk imbecile hate ugly".split())
 YOU = frozenset("you your yours yourself ur u du dein deine dir dich ihr euch tu toi ton ta tes vous votre vos te ti tú usted ustedes vosotros su".split())
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_~`"
-MIXED = re.compile(r"[^\W\d_]+[0-9@$*!+|]+[^\W\d_]+")
+#: Begins where a run of letters does, so that a run is looked at once.
+MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$*!+|]++[^\W\d_]++")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 FEATURES = ("n_words", "insults", "insult_share", "learned", "learned_share", "learned_max", "stems", "stem_share", "stem_max", "near_you", "you_share", "caps", "caps_words", "marks", "double_marks", "mixed", "triple")
 

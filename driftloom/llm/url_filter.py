@@ -2,8 +2,8 @@
 
 The list is held as a blocked Bloom filter: one row per block of 256 bits, four longs.
 A key picks one block and one bit in each long, so one lookup by block tests a key.
-Only rows whose key may be listed go on to the exact hash join, which removes the
-false positives; all other rows never meet the list itself.
+Only rows whose key may be listed have a key for the exact join, which removes the false
+positives; all others never meet the list itself.  Pages are read once.
 
 Everything is DataFrame expressions.  Defined results: a null URL or one without
 ``://`` has empty host and path and is never listed; repeated rows stay repeated;
@@ -25,6 +25,8 @@ WORDS_PER_BLOCK = 4
 BITS_PER_KEY = 16
 #: The filter is broadcast up to this many blocks (40 bytes each), joined by block beyond.
 BROADCAST_BLOCKS = 400_000
+#: The list itself (some 100 bytes each) is broadcast to the filter's hits up to this many.
+BROADCAST_KEYS = 100_000
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -74,29 +76,22 @@ def _may_hold(rows: DataFrame, filt: DataFrame, key: str, blocks: int, flag: str
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("_block", *[f"_w{i}" for i in range(WORDS_PER_BLOCK)])
 
 
-def listed_urls(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
-    """``pages`` (with ``host`` and ``path``) plus boolean ``listed``.
-
-    A page is listed if its canonical URL or the root of its site is the canonical
-    form of a URL in ``listed`` (column ``url``).
-    """
+def _is_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """``rows`` (row, host, path, _salt) plus boolean ``listed``."""
     entry = listed.select(canonical(host_of(F.col("url")), path_of(F.col("url"))).alias("_key")).where("_key IS NOT NULL").distinct()
     n = entry.count()
     if not n:
-        return pages.withColumn("listed", F.lit(False))
+        return rows.withColumn("listed", F.lit(False))
+    entry = common.stored(entry, "listed")
     blocks = max(1, -(-n * BITS_PER_KEY // (64 * WORDS_PER_BLOCK)))
     filt = bloom(entry, "_key", blocks)
-    rows = pages.withColumns({"_url": canonical(F.col("host"), F.col("path")), "_salt": F.col(url)})
-    rows = rows.withColumn("_site", F.when(F.col("host") != "", F.concat(site_of(F.col("host")), F.lit("/"))))
-    rows = _may_hold(_may_hold(rows, filt, "_url", blocks, "_in1"), filt, "_site", blocks, "_in2")
-    rows = rows.withColumn("_maybe", F.col("_in1") | F.col("_in2"))
-    helpers = ["_url", "_site", "_salt", "_in1", "_in2", "_maybe"]
-    clear = rows.where(~F.col("_maybe")).withColumn("listed", F.lit(False)).drop(*helpers)
-    near = rows.where("_maybe")
-    for flag, key in (("_hit1", "_url"), ("_hit2", "_site")):
-        near = near.join(entry.select(F.col("_key").alias(key), F.lit(True).alias(flag)), key, "left")
-    exact = near.withColumn("listed", F.coalesce(F.col("_hit1"), F.lit(False)) | F.coalesce(F.col("_hit2"), F.lit(False)))
-    return clear.unionByName(exact.drop(*helpers, "_hit1", "_hit2"))
+    for key, value, hit in (("_url", canonical(F.col("host"), F.col("path")), "_hit1"), ("_site", F.when(F.col("host") != "", F.concat(site_of(F.col("host")), F.lit("/"))), "_hit2")):
+        rows = _may_hold(rows.withColumn(key, value), filt, key, blocks, "_in")
+        # only what the filter passes has a key to join by; the others go to null keys dealt out by the salt
+        asked = F.when(F.col("_in"), F.col(key)).otherwise(F.concat(F.lit("\n"), F.pmod(F.xxhash64("_salt"), F.lit(4096)).cast("string")))
+        side = entry.select(F.col("_key").alias("_asked"), F.lit(True).alias(hit))
+        rows = rows.withColumn("_asked", asked).join(F.broadcast(side) if n <= BROADCAST_KEYS else side, "_asked", "left").drop("_asked", "_in", key)
+    return rows.withColumn("listed", F.coalesce(F.col("_hit1"), F.lit(False)) | F.coalesce(F.col("_hit2"), F.lit(False))).drop("_hit1", "_hit2")
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -116,21 +111,22 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``listed`` and ``verdict`` (allow or block).
 
-    A rule's verdict comes first; where none fits, listed URLs are blocked.
+    A rule's verdict comes first; where none fits, listed URLs are blocked.  A page is
+    listed if its canonical URL or the root of its site is the canonical form of a URL
+    in ``listed`` (column ``url``).
     """
-    df = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    df = listed_urls(df, listed, url)
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
+    df = pages.select(common.as_row(own), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(url).alias("_salt"))
+    df = _is_listed(df, listed)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return df.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))})
+    verdict = F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return df.select(*common.of_row(own), "host", "path", rule.alias("rule"), "listed", verdict.alias("verdict"))
 
 
 #: The query's rules and its list of unwanted sites.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-LISTED = [
-    "http://ads-track.example.com/", "http://casino-win.example.net/", "http://spam-farm.example.org/",
-    "http://adult-x.example.com/", "http://cheap-pills.example.net/", "http://free-bets.example.net/",
-    "http://cheap-pills.example.com/",
-]
+SITES = ["ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets"]
+LISTED = [f"http://{s}.example.{d}/" for s in SITES for d in ("com", "net", "org")]
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -139,7 +135,7 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
-OP6_SQL = r"""
+OP6_SQL = rf"""
 WITH p AS (
   SELECT page_id, url,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -156,6 +152,5 @@ j AS (
   FROM site s LEFT JOIN r ON (s.host = r.rhost OR ends_with(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath))
 SELECT page_id, host, path, rule,
   coalesce(verdict, CASE WHEN l THEN 'block' ELSE 'allow' END) AS verdict, l AS listed
-FROM (SELECT *, site IN ('ads-track.example.com', 'casino-win.example.net', 'spam-farm.example.org',
-  'adult-x.example.com', 'cheap-pills.example.net', 'free-bets.example.net', 'cheap-pills.example.com') AS l FROM j WHERE k = 1)
+FROM (SELECT *, site IN ({", ".join(f"'{s}.example.{d}'" for s in SITES for d in ("com", "net", "org"))}) AS l FROM j WHERE k = 1)
 """

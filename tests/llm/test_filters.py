@@ -1,11 +1,13 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import line_dedup, mixing, quality_rules, secret_scan, url_filter
+from driftloom.llm import line_dedup, mixing, ngram_join, quality_rules, secret_scan, toxicity, url_filter
 
 from .fixtures import WORD, docs, rows
 
@@ -250,3 +252,82 @@ def test_mix(spark):
 
 def test_digest_of_spans_is_stable():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+BRUTE_NAME = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z_][A-Za-z0-9_]*)*)(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?P<rest>[^\r\n]+)""")
+
+
+def brute_lex(text):
+    """The lexer as one searching expression, with all literals of a name copied at every use."""
+    bound, score, at = {}, {}, 0
+    while m := BRUTE_NAME.search(text, at):
+        at, end, got = m.start("rest"), m.end("rest"), []
+        while a := secret_scan.ATOM.match(text, at, end):
+            if a.lastgroup == "n":
+                if a["n"] in bound:
+                    got += bound[a["n"]]
+                elif not got and len(a["n"]) >= 8 and re.search("[0-9]", a["n"]):
+                    got.append(a.span("n"))
+            elif a.lastgroup != "b" or not got:
+                got.append(a.span(a.lastgroup))
+            at = a.end()
+            if not (j := secret_scan.JOIN.match(text, at, end)):
+                break
+            at = j.end()
+        bound[m["name"]] = got
+        for span in got:
+            score[span] = max(score.get(span, 0.0), secret_scan.weight(m["name"]))
+        at = max(at, m.start("rest") + 1) if got else m.start("rest")
+    return sorted(s for s, w in score.items() if w and (x := secret_scan.looks(text[s[0] : s[1]])) and w + x >= secret_scan.THRESHOLD)
+
+
+def test_lexed_spans_by_brute_force():
+    r = random.Random(1)
+    some = ["password", "key", "a", "b", "x.y", "db-password", "1abc", "v1.0.token", "=", ":=", "=>", ":", "==", "::", "://", " ", "  ", "\t", "\n", "'", '"', "+", ".", "-", '"Zx9-Qw7+Lm3"', "'abcD1234efgh'", "hunter2Blue77xx", "${X}", "0", "_"]
+    found = 0
+    for _ in range(20000):
+        text = "".join(r.choice(some) for _ in range(r.randint(1, 14)))
+        found += len(want := brute_lex(text))
+        assert secret_scan.lex(text) == want, repr(text)
+    assert found > 100
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + " =", "a-" * 500_000 + "=1", "a.b" * 300_000 + " =", "=a" * 500_000, "x = x + x\n" * 30_000, "a = a + 'abcdefgh1234'\n" * 20_000, 'p="' + "b=1 " * 250_000, " " * 10**6 + "=", "Zx9/" * 250_000, "a1" * 500_000, "aaa" * 300_000 + "1"])
+def test_very_long_words_and_lines_take_linear_time(text):
+    for work in (secret_scan.spans_of, lambda t: toxicity.features(t, toxicity.Lexicon())):
+        began = time.process_time()
+        work(text)
+        assert time.process_time() - began < 4
+
+
+def test_secrets_of_no_rows(spark):
+    assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
+
+
+def test_first_words_keep_their_white_space(spark):
+    some = ["a b\n\nc  d", " \n a\tb c ", "one", "x \x0b y", "a b c\n"]
+    df = spark.createDataFrame([(t, k) for t in some for k in range(1, len(re.findall(WORD, t)) + 1)], "t string, k long")
+    for r in df.select("t", "k", mixing.first_words(F.col("t"), F.col("k")).alias("got")).collect():
+        ends = [m.end() for m in re.finditer(WORD, r["t"])]
+        assert r["got"] == r["t"][: ends[r["k"] - 1]]
+
+
+CLASH = ["n_words", "n_lines", "_id", "id", "row", "stratum", "hash", "_hash", "_removed", "_own", "own", "doc", "at", "_source", "_taken", "taken", "_words", "words", "n", "_url", "_site", "_salt", "_block", "_w0", "_in", "listed", "_gone", "gone", "g_id", "class", "c0", "none", "key", "first", "quality"]
+
+
+def test_no_name_of_a_column_clashes(spark):
+    table = docs(spark).withColumns({c: F.lit("z") for c in CLASH})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    pages = table.withColumn("url", F.lit("http://www.spam-farm.example.org/a"))
+    listed = spark.createDataFrame([(u,) for u in url_filter.LISTED], "url string")
+    n = len(rows())
+    found = [
+        quality_rules.apply_rules(table, labels), line_dedup.dedup_lines(table, short_lines=True), url_filter.filter_urls(pages, url_filter.RULES, listed),
+        ngram_join.keep_one(table), mixing.mix(table, labels, mixing.WEIGHTS), secret_scan.scan_secrets(table),
+    ]
+    made = {"n_words", "n_lines", "listed"}
+    for i, out in enumerate(found):
+        got = out.collect()
+        assert len(got) == n or i in (3, 4)
+        assert all(r[c] == "z" for r in got for c in CLASH if c not in made)
+    assert all(r["listed"] and r["verdict"] == "block" for r in found[2].collect())

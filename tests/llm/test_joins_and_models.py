@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -247,3 +248,64 @@ def test_pipeline_loses_no_document(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got.update((r["doc_id"], t) for t in np.frombuffer(r["ids"], "<u4").tolist())
     assert got and got == want
+
+
+def brute_features(text, lex):
+    """Features by plain loops over words and characters."""
+    words = [w for w in (x.strip(toxicity.EDGE) for x in text.lower().split()) if w]
+    n = max(1, len(words))
+    fixed = [i for i, w in enumerate(words) if w in toxicity.INSULTS]
+    own = {i: lex.words[w] for i, w in enumerate(words) if w in lex.words}
+    begun = {i: lex.stems[w[:4]] for i, w in enumerate(words) if len(w) > 4 and w[:4] in lex.stems}
+    you = [i for i, w in enumerate(words) if w in toxicity.YOU]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in {*fixed, *own, *begun})
+    letter = lambda c: bool(re.match(r"[^\W\d_]", c))
+    mixed = at = 0
+    while at < len(text):
+        a = at
+        while a < len(text) and letter(text[a]):
+            a += 1
+        b = a
+        while b < len(text) and text[b] in "0123456789@$*!+|":
+            b += 1
+        c = b
+        while c < len(text) and letter(text[c]):
+            c += 1
+        hit = at < a < b < c
+        mixed += hit
+        at = c if hit else max(a, at + 1)
+    triple = at = 0
+    while at + 2 < len(text):
+        hit = letter(text[at]) and text[at] == text[at + 1] == text[at + 2]
+        triple += hit
+        at += 3 if hit else 1
+    raw, size = text.split(), max(1, len(text))
+    return [
+        math.log1p(len(words)), math.log1p(len(fixed)), len(fixed) / n, math.log1p(len(own)), sum(own.values()) / n, max(own.values(), default=0.0),
+        math.log1p(len(begun)), sum(begun.values()) / n, max(begun.values(), default=0.0), near / n, len(you) / n, sum(c.isupper() for c in text) / size,
+        sum(w.isupper() for w in raw) / n, sum(c in "!?" for c in text) / size, (text.count("!!") + text.count("?!") + text.count("??")) / n, mixed / n, triple / n,
+    ]
+
+
+def test_features_by_brute_force():
+    r = random.Random(4)
+    lex = toxicity.Lexicon({"abc": 1.5, "you": 0.5}, {"loud": 2.0})
+    some = ["abc", "You", "LOUDER", "loser", "st00pid", "l0ser!", "aaab", "a1b2c", "x*y!z", "!!", "?!", "ça", "été9été", "", "\n", "Straße", "u", "9", "a_b", "---"]
+    for text in ["", " ", *(r.choice(["", " "]).join(r.choice(some) for _ in range(r.randint(1, 30))) for _ in range(500)), *(t or "" for _, t, *_ in rows() if len(t or "") < 5000)]:
+        assert np.allclose(toxicity.features(text, lex), brute_features(text, lex)), repr(text)
+
+
+def test_isotonic_by_brute_force():
+    r = np.random.default_rng(6)
+    for n in (1, 2, 7, 40):
+        for _ in range(20):
+            raw, y = r.integers(0, max(2, n // 2), n).astype(float), r.integers(0, 2, n).astype(float)
+            at = np.unique(raw)
+            good, count = np.array([y[raw == x].sum() for x in at]), np.array([(raw == x).sum() for x in at])
+            mean = lambda a, z: good[a : z + 1].sum() / count[a : z + 1].sum()
+            fit = [max(min(mean(a, z) for z in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+            # a pool of equal fits is drawn in by half a case
+            pools = [[j for j in range(len(at)) if abs(fit[j] - fit[i]) < 1e-12] for i in range(len(at))]
+            want = np.maximum.accumulate([(good[p].sum() + 0.5 * y.mean()) / (count[p].sum() + 0.5) for p in pools])
+            knots, values = toxicity.isotonic(raw, y)
+            assert np.allclose(np.interp(at, knots, values), want)
