@@ -36,10 +36,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again; columns can be pruned then."""
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again; columns can be pruned then.
+
+    ``few``: what is small against the input is written by one wave of tasks, so that
+    shuffles into many partitions do not leave as many small files.
+    """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

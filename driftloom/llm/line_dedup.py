@@ -149,7 +149,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
 
     # of equal sets, and of equal short lines, the first stays; of a set that matches an earlier one, none
     behind = sets.select("key", "first", "times").join(_small(gone), "key", "left").where("times > 1 OR gone").drop("times")
-    marked = lines.select("doc", "hash", "at", "key").join(_small(common.stored(behind, "behind")), "key")
+    marked = lines.select("doc", "hash", "at", "key").join(_small(common.stored(behind, "behind", few=True)), "key")
     drop = marked.where((place() != F.col("first")) | F.coalesce(F.col("gone"), F.lit(False)))
     return drop.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
@@ -165,12 +165,12 @@ def _similar(docs: DataFrame, sets: DataFrame, cells: DataFrame) -> DataFrame:
     # the same columns of both sides, in the order they have anyway, so that one exchange serves the two
     hits = common.stored(posting.alias("b").join(posting.alias("a"), fits, "left_semi"), "hits")
     # a set asks first where its token is rarest, then, if nobody there matches, at its other tokens
-    asked = common.stored(hits.groupBy("key").agg(F.min_by(F.struct("doc", "n", "parity", "wide", "pos", "token"), "pos").alias("x")).select("key", "x.*"), "asked")
-    found = common.stored(_matched(docs, sets, posting, asked, cells), "found")
+    asked = common.stored(hits.groupBy("key").agg(F.min_by(F.struct("doc", "n", "parity", "wide", "pos", "token"), "pos").alias("x")).select("key", "x.*"), "asked", few=True)
+    found = common.stored(_matched(docs, sets, posting, asked, cells), "found", few=True)
     more = hits.join(_small(found), "key", "left_anti").join(asked.select("key", "token"), ["key", "token"], "left_anti")
-    more = common.stored(more.select(asked.columns), "more")
+    more = common.stored(more.select(asked.columns), "more", few=True)
     if not more.isEmpty():
-        found = common.stored(found.union(_matched(docs, sets, posting, more, cells)).distinct(), "found")
+        found = common.stored(found.union(_matched(docs, sets, posting, more, cells)).distinct(), "found", few=True)
     return found.withColumn("gone", F.lit(True))
 
 
@@ -179,7 +179,7 @@ def _matched(docs: DataFrame, sets: DataFrame, posting: DataFrame, asked: DataFr
     fits = may_match("a", "b") & (F.col("a.key") != F.col("b.key")) & not_after("a", "b")
     asks = asked.select("key", "token", F.lit(True).alias("asks"))
     held = posting.alias("a").join(_small(asked).alias("b"), fits, "left_semi").select("key", "token", F.lit(False).alias("asks"))
-    held = common.stored(asks.union(held).groupBy("key", "token").agg(F.max("asks").alias("asks")), "held")
+    held = common.stored(asks.union(held).groupBy("key", "token").agg(F.max("asks").alias("asks")), "held", few=True)
     n = held.count()
     where = (F.broadcast(held) if n <= BROADCAST_LINES else held).join(sets.select("key", "first"), "key")
     wanted = where.groupBy(F.col("first.doc").alias("_doc"), F.col("first.hash").alias("_hash")).agg(F.collect_list(F.struct("token", "asks", "first")).alias("ats"))
@@ -191,13 +191,13 @@ def _matched(docs: DataFrame, sets: DataFrame, posting: DataFrame, asked: DataFr
     post = picked.withColumn("cells", cells.scalar()).select("token", "asks", "first", ranked(F.col("line"), F.col("cells")).alias("r"))
     same, n = F.size(F.array_intersect("a.r", "b.r")), F.size("a.r") + F.size("b.r")
     fits = (F.col("a.token") == F.col("b.token")) & F.col("b.asks") & (F.col("a.first") < F.col("b.first")) & (same * 100 >= (n - same) * PERCENT)
-    found = common.stored(post.alias("b").join(post.alias("a"), fits, "left_semi").select("first").distinct(), "matched")
+    found = common.stored(post.alias("b").join(post.alias("a"), fits, "left_semi").select("first").distinct(), "matched", few=True)
     return sets.select("key", "first").join(_small(found), "first", "left_semi").select("key")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
     """``docs`` without the lines that match earlier ones, plus ``n_lines`` (before) and ``removed`` (their numbers from 0)."""
-    gone = common.stored(later_matches(docs, id_col, text, short_lines), "removed_lines")
+    gone = common.stored(later_matches(docs, id_col, text, short_lines), "removed_lines", few=True)
     few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= 4 * BROADCAST_LINES
     columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
     rows = docs.select(common.as_row(columns), F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own"))

@@ -59,7 +59,7 @@ def mix_sizes(rows: DataFrame, weights: list[int], share: float = 1.5, most: flo
     hexed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
     u = (F.conv(F.substring(hexed, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     rows = common.stored(rows.withColumn("v", F.pow(u, 1 / w)), "sizes")
-    table = common.stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    table = common.stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets", few=True)
     df = _with_source(rows, table)
     df = df.withColumn("bucket", F.floor((1 - F.col("v")) * BUCKETS).cast("int"))
     sums = df.groupBy("source", "bucket").agg(F.sum("size").alias("n"))

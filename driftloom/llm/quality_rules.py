@@ -95,7 +95,7 @@ def _above(rule: str, cutoff: Column | int) -> Column:
 def certified_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``stratum`` and a cutoff a rule (null where none is certified) from labelled good rows with ``stratum`` and the counts."""
     hits = [F.count_if(_above(r, c)).alias(f"{r}_{c}") for r, (_, _, cutoffs) in RULES.items() for c in cutoffs]
-    table = common.stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *hits), "strata")
+    table = common.stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *hits), "strata", few=True)
     level = delta / (len(RULES) * max(1, table.count()))
     chosen = []
     for r, (_, _, cutoffs) in RULES.items():
@@ -114,7 +114,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     counted = common.stored(counted.withColumn("base_failed", base), "counts")
     said = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
     good = counted.where(~F.col("base_failed")).join(said.where("quality = 1"), "id")
-    cutoffs = common.stored(certified_cutoffs(good, alpha, delta), "cutoffs")
+    cutoffs = common.stored(certified_cutoffs(good, alpha, delta), "cutoffs", few=True)
     few = cutoffs.count() <= BROADCAST_STRATA
     rows = counted.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left")
     rules = F.array_compact(F.array(*[F.when(_above(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES]))

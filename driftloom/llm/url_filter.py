@@ -82,7 +82,7 @@ def _is_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
     n = entry.count()
     if not n:
         return rows.withColumn("listed", F.lit(False))
-    entry = common.stored(entry, "listed")
+    entry = common.stored(entry, "listed", few=True)
     blocks = max(1, -(-n * BITS_PER_KEY // (64 * WORDS_PER_BLOCK)))
     filt = bloom(entry, "_key", blocks)
     for key, value, hit in (("_url", canonical(F.col("host"), F.col("path")), "_hit1"), ("_site", F.when(F.col("host") != "", F.concat(site_of(F.col("host")), F.lit("/"))), "_hit2")):
@@ -132,7 +132,7 @@ LISTED = [f"http://{s}.example.{d}/" for s in SITES for d in ("com", "net", "org
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(u,) for u in LISTED], "url string")
     pages = common.read(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return filter_urls(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict", "listed", few=True)
 
 
 OP6_SQL = rf"""
