@@ -58,6 +58,7 @@ class ThresholdConfig:
 
 @dataclass(frozen=True)
 class ExportConfig:
+    enabled: bool = True
     namespace: str = "driftloom"
     port: int = 9300
     push_gateway_url: str | None = None
@@ -68,8 +69,11 @@ class ExportConfig:
 
 @dataclass(frozen=True)
 class Config:
-    window_size: int = 512
-    drain_every_k: int = 16
+    """``window_size`` and ``drain_every_k`` have to be given."""
+
+    window_size: int
+    drain_every_k: int
+    enabled: bool = True
     detectors: tuple[DetectorConfig, ...] = ()
     thresholds: dict[str, ThresholdConfig] = field(default_factory=dict)
     export: ExportConfig = field(default_factory=ExportConfig)
@@ -83,6 +87,8 @@ class Config:
     @classmethod
     def from_dict(cls, data: dict | None) -> Config:
         data = dict(_only_known(cls, {} if data is None else data))
+        if missing := [k for k in ("window_size", "drain_every_k") if k not in data]:
+            raise ValueError(f"{', '.join(missing)} must be given")
         if "detectors" in data:
             data["detectors"] = tuple(DetectorConfig(**_only_known(DetectorConfig, d)) for d in data["detectors"])
         if "thresholds" in data:
@@ -105,6 +111,6 @@ class Config:
 
         return yaml.safe_dump(self.to_dict(), sort_keys=False)
 
-    def enabled(self) -> list[DetectorConfig]:
+    def active(self) -> list[DetectorConfig]:
         """Detectors that are built, in the given order."""
         return [d for d in self.detectors if d.enabled]

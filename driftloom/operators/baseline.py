@@ -74,28 +74,55 @@ def entropy_histogram(samples: DataFrame, edges: list[float]) -> DataFrame:
     return grid.join(counts, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).alias("n"))
 
 
+def merged(parts: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and centred sum of products of samples that come in parts, by Chan's update."""
+    n, mean, m2 = 0, np.zeros(0), np.zeros((0, 0))
+    for k, own, products in parts:
+        if not n:
+            n, mean, m2 = k, own, products
+        elif k:
+            gap, whole = own - mean, n + k
+            m2 = m2 + products + np.outer(gap, gap) * (n * k / whole)
+            mean, n = mean + gap * (k / whole), whole
+    return n, mean, m2
+
+
 def moments(samples: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance (n - 1) of embeddings: a sum a task, added up cell by cell."""
+    """Count, mean and covariance (n - 1) of embeddings.
+
+    Each task centres what it sums, so nothing cancels however far the samples lie from
+    the origin; the tasks' rows (d * d numbers each) are merged in two levels.
+    """
+    schema = "part int, n long, mean binary, m2 binary"
+
+    def row(part: int, found: tuple[int, np.ndarray, np.ndarray]) -> pd.DataFrame:
+        n, mean, m2 = found
+        return pd.DataFrame({"part": [part], "n": [n], "mean": [mean.tobytes()], "m2": [m2.tobytes()]})
+
+    def of(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for r in pdf.itertuples():
+            mean = np.frombuffer(r.mean)
+            yield int(r.n), mean, np.frombuffer(r.m2).reshape(len(mean), len(mean))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, ss = 0, 0.0, 0.0
-        for pdf in batches:
-            if len(pdf):
-                z = np.stack(pdf["z"].to_numpy())
-                n, s, ss = n + len(z), s + z.sum(0), ss + z.T @ z
-        if n:
-            cells = np.concatenate([[n], s, ss.ravel()])
-            yield pd.DataFrame({"cell": np.arange(len(cells)), "x": cells})
-
-    rows = samples.select("z").mapInPandas(partial, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
-    cells = np.zeros(len(rows))
-    for r in rows:
-        cells[r["cell"]] = r["x"]
-    if not len(cells):
-        return 0, np.zeros(0), np.zeros((0, 0))
-    n, d = int(cells[0]), round(((1 + 4 * (len(cells) - 1)) ** 0.5 - 1) / 2)
-    mean = cells[1 : d + 1] / n
-    cov = (cells[d + 1 :].reshape(d, d) - n * np.outer(mean, mean)) / (n - 1) if n > 1 else np.zeros((d, d))
+        from pyspark import TaskContext
+
+        def each() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for pdf in batches:
+                if len(pdf):
+                    z = np.stack(pdf["z"].to_numpy())
+                    mean = z.mean(0)
+                    yield len(z), mean, (z - mean).T @ (z - mean)
+
+        found = merged(each())
+        if found[0]:
+            yield row(TaskContext.get().partitionId() % 64, found)
+
+    parts = samples.select("z").mapInPandas(partial, schema).groupBy("part").applyInPandas(lambda pdf: row(int(pdf["part"].iloc[0]), merged(of(pdf))), schema)
+    # at most 64 rows
+    rows = sorted(parts.collect(), key=lambda r: r["part"])
+    n, mean, m2 = merged(of(pd.DataFrame([r.asDict() for r in rows], columns=["part", "n", "mean", "m2"])))
+    cov = m2 / (n - 1) if n > 1 else np.zeros_like(m2)
     return n, mean, (cov + cov.T) / 2
 
 

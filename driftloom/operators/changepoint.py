@@ -8,6 +8,7 @@ finite touch neither the test nor its gate.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -82,21 +83,41 @@ def trace(stream: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Every value's statistic and alarm: an ordered fold for each metric.
 
     ``thresholds`` has a row a metric: ``metric, method, threshold, delta, debounce,
-    cooldown`` and, where fixed, ``target``.  A fold has state of constant size; streams
-    are one value a window, so a metric's stream fits a task.
+    cooldown`` and, where fixed, ``target``.  A fold has state of constant size.
     """
     if "target" not in thresholds.columns:
         thresholds = thresholds.withColumn("target", F.lit(None).cast("double"))
     own = finite_only(stream).join(F.broadcast(thresholds), "metric")  # a row for each named metric
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        r = pdf.iloc[0]
-        test = Test(r.threshold, r.delta, r.method, int(r.debounce), int(r.cooldown), None if pd.isna(r.target) else float(r.target))
-        out = [test.update(x) for x in pdf["value"].tolist()]
-        return pd.DataFrame({"metric": pdf["metric"], "step": pdf["step"], "value": pdf["value"], "statistic": [s for _, s in out], "alarm": [a for a, _ in out]})
+    def test_of(r) -> Test:
+        return Test(r.threshold, r.delta, r.method, int(r.debounce), int(r.cooldown), None if pd.isna(r.target) else float(r.target))
 
-    return own.groupBy("metric").applyInPandas(fold, TRACE)
+    def step(test: Test, r) -> tuple:
+        alarm, statistic = test.update(r.value)
+        return r.metric, r.step, r.value, statistic, alarm
+
+    return ordered_fold(own, "metric", "step", test_of, step, TRACE)
+
+
+def ordered_fold(rows: DataFrame, key: str, order: str, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """A row out for each row in, keys apart and in order: ``step(state, row)``, the state being ``start(first row)``.
+
+    A sort and an iterator over Arrow batches, so a task holds one state and one batch
+    however long a key's stream is.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, state = object(), None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (own := getattr(r, key)) != seen:
+                    seen, state = own, start(r)
+                out.append(step(state, r))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, schema)
 
 
 def statistic_before_alarm(stream: DataFrame, delta: float) -> DataFrame:
@@ -110,9 +131,4 @@ def statistic_before_alarm(stream: DataFrame, delta: float) -> DataFrame:
 def gate_trace(flags: DataFrame, debounce: int, cooldown: int) -> DataFrame:
     """Alarms that a gate lets through, for boolean rows ``metric, step, raw``."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        test = Test(1.0, debounce=debounce, cooldown=cooldown)
-        return pd.DataFrame({"metric": pdf["metric"], "step": pdf["step"], "alarm": [test.gate(bool(x)) for x in pdf["raw"]]})
-
-    return flags.groupBy("metric").applyInPandas(fold, "metric string, step long, alarm boolean")
+    return ordered_fold(flags, "metric", "step", lambda r: Test(1.0, debounce=debounce, cooldown=cooldown), lambda test, r: (r.metric, r.step, test.gate(bool(r.raw))), "metric string, step long, alarm boolean")

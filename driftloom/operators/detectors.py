@@ -10,12 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DETECTORS, Config
 from ..functions.vectors import bin_right_closed, js, kl
+from ..sources.shared import stored
 from .baseline import Baseline
+from .windows import hold_last
 
 Detector = Callable[[DataFrame], DataFrame]
 #: Baseline fields that each detector reads.
@@ -120,13 +122,12 @@ def running_embedding(samples: DataFrame, base: Baseline, decay: float = 0.99, c
             state = decay * state + unpack(r)
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].astype("int64"), "steps": [len(pdf)], "state": [state.tobytes()]})
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = np.zeros(width), []
-        pdf = pdf.sort_values("chunk")
-        for r in pdf.itertuples():
-            out.append(state.tobytes())
-            state = decay**r.steps * state + np.frombuffer(r.state)
-        return pd.DataFrame({"chunk": pdf["chunk"], "state": out})
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = np.zeros(width)
+        for pdf in batches:
+            for r in pdf.itertuples():
+                yield pd.DataFrame({"chunk": [r.chunk], "state": [state.tobytes()]})
+                state = decay**r.steps * state + np.frombuffer(r.state)
 
     def run(pdf: pd.DataFrame, handed: pd.DataFrame) -> pd.DataFrame:
         state, out = np.frombuffer(handed["state"].iloc[0]), []
@@ -138,21 +139,26 @@ def running_embedding(samples: DataFrame, base: Baseline, decay: float = 0.99, c
             drift = None
             if cov_every and r.step % cov_every == 0:
                 drift = 0.0 if n < 2 else float(np.linalg.norm((ss - n * np.outer(m, m)) / (n - 1) @ prec - np.eye(d)))
-            out.append((int(r.step), (m + mu).tolist(), shift, drift))
-        return pd.DataFrame(out, columns=["step", "running_mean", "embedding_mean_shift", "refreshed"])
+            out.append((int(r.chunk), int(r.step), (m + mu).tolist(), shift, drift))
+        return pd.DataFrame(out, columns=["chunk", "step", "running_mean", "embedding_mean_shift", "refreshed"])
 
     totals = sums.groupBy("chunk").applyInPandas(total, "chunk long, steps long, state binary")
-    handed = totals.groupBy(F.lit(0).alias("one")).applyInPandas(carry, "chunk long, state binary")
-    rows = sums.groupBy("chunk").cogroup(handed.groupBy("chunk")).applyInPandas(run, "step long, running_mean array<double>, embedding_mean_shift double, refreshed double")
-    from .windows import hold_last
-
-    return rows.select("step", "running_mean", "embedding_mean_shift", hold_last("refreshed", F.lit(0), "step").alias("embedding_cov_drift"))
+    # one row a chunk, in order and one at a time: the task holds one state
+    handed = totals.repartition(1).sortWithinPartitions("chunk").mapInPandas(carry, "chunk long, state binary")
+    rows = sums.groupBy("chunk").cogroup(handed.groupBy("chunk")).applyInPandas(run, "chunk long, step long, running_mean array<double>, embedding_mean_shift double, refreshed double")
+    rows = stored(rows, "running")
+    # held within a chunk; what a chunk's first steps have to hold comes from the last one before with a refresh
+    own = hold_last("refreshed", F.col("chunk"), "step")
+    tails = rows.groupBy("chunk").agg(F.max_by("refreshed", F.when(F.col("refreshed").isNotNull(), F.col("step"))).alias("tail"))
+    before = F.last("tail", ignorenulls=True).over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    handed = tails.select("chunk", before.alias("tail"))
+    return rows.withColumn("own", own).join(handed, "chunk").select("step", "running_mean", "embedding_mean_shift", F.coalesce("own", "tail").alias("embedding_cov_drift"))
 
 
 def build_detectors(config: Config, base: Baseline) -> dict[str, Detector]:
     """Enabled detectors by name, in the given order; each gives long rows."""
     made: dict[str, Detector] = {}
-    for c in config.enabled():
+    for c in config.active():
         p = c.params
         if c.name == "entropy":
             made[c.name] = lambda df, p=p: long_form(entropy_steps(df, p.get("quantile", 0.99)).join(population_shift(df, base), "step"))
@@ -169,7 +175,7 @@ def long_form(wide: DataFrame) -> DataFrame:
 
 def layout(config: Config) -> list[tuple[str, str]]:
     """(metric, detector) in order; a metric may come from one detector only."""
-    out = [(m, d.name) for d in config.enabled() for m in DETECTORS[d.name]]
+    out = [(m, d.name) for d in config.active() for m in DETECTORS[d.name]]
     if len({m for m, _ in out}) < len(out):
         raise ValueError("metric names must be unique")
     return out

@@ -82,20 +82,11 @@ def islands(flags: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def ema(stream: DataFrame, alpha: float) -> DataFrame:
-    """Exponential moving average that starts at 0: sum of alpha * (1 - alpha) ** (t - i) * x_i.
+    """Exponential moving average that starts at 0, one ordered pass over each metric."""
+    from .changepoint import ordered_fold
 
-    Weights come from distances between positions within blocks of 64, whose sums are
-    carried on by one more window, so none overflows.
-    """
-    w = Window.partitionBy("metric").orderBy("step")
-    keep, size = 1 - alpha, 64
-    df = finite_only(stream).withColumn("i", F.row_number().over(w) - 1).withColumn("block", F.floor(F.col("i") / size)).withColumn("j", F.col("i") % size)
-    inner = Window.partitionBy("metric", "block").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("own", F.sum(F.col("value") * alpha * F.pow(F.lit(keep), -F.col("j"))).over(inner) * F.pow(F.lit(keep), F.col("j")))
-    ends = df.where(F.col("j") == size - 1).select("metric", "block", F.col("own").alias("e"))
-    seq = Window.partitionBy("metric").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    rate = keep**size
-    state = F.aggregate(F.collect_list("e").over(seq), F.lit(0.0), lambda a, e: a * rate + e)
-    carried = ends.select("metric", (F.col("block") + 1).alias("block"), state.alias("carry"))
-    out = df.join(carried, ["metric", "block"], "left")
-    return out.select("metric", "step", (F.col("own") + F.coalesce("carry", F.lit(0.0)) * F.pow(F.lit(keep), F.col("j") + 1)).alias("ema"))
+    def step(state: list, r) -> tuple:
+        state[0] += alpha * (r.value - state[0])
+        return r.metric, r.step, state[0]
+
+    return ordered_fold(finite_only(stream), "metric", "step", lambda r: [0.0], step, "metric string, step long, ema double")

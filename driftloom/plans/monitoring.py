@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import monitor as M
 from ..functions import vectors as V
 from ..operators import changepoint as C
 from ..operators import rules as R
@@ -157,10 +158,30 @@ def aggregator_counters(spark, d):
     return out
 
 
-@query("aggregator_reset", f"WITH {ST}, p AS (SELECT *, step // 40 AS epoch, row_number() OVER (PARTITION BY metric, step // 40 ORDER BY step) AS rn FROM st WHERE isfinite(value)) SELECT metric, epoch, count(*) // {WIN} AS windows FROM p GROUP BY metric, epoch")
+EPOCH = 40
+_RESET = f"""WITH RECURSIVE {ST}, st2 AS (SELECT metric || '#' || (step // {EPOCH}) AS metric, step, value FROM st), {fold('page_hinkley', '8.0', '0.5', source='st2')}, {_DIM},
+al AS (SELECT split_part(metric, '#', 1) AS metric, step // {EPOCH} AS ep, step FROM f WHERE alarm),
+lat AS (
+  SELECT m.metric, m.ep, s.step, coalesce((s.step + 1) // {WIN} - (max(al.step) + 1) // {WIN} < {HOLD}, false) AS active
+  FROM (SELECT DISTINCT metric, ep FROM al) m JOIN (SELECT DISTINCT step FROM st) s ON s.step // {EPOCH} = m.ep
+  LEFT JOIN al ON al.metric = m.metric AND al.ep = m.ep AND al.step <= s.step GROUP BY m.metric, m.ep, s.step),
+det AS (SELECT coalesce(detector, lat.metric) AS detector, ep, step, bool_or(active) AS active FROM lat LEFT JOIN dim ON lat.metric = dim.metric GROUP BY ALL)
+SELECT detector, step, active FROM (SELECT *, lag(active, 1, false) OVER (PARTITION BY detector, ep ORDER BY step) AS b FROM det) WHERE active <> b
+UNION ALL SELECT detector, {EPOCH} * (ep + 1) - 1, false FROM (SELECT detector, ep, max_by(active, step) AS a FROM det GROUP BY ALL) WHERE a AND {EPOCH} * (ep + 1) - 1 <= (SELECT max(step) FROM st)"""
+
+
+@query("aggregator_reset", _RESET)
 def aggregator_reset(spark, d):
-    epoch = W.finite_only(_st(spark, d)).withColumn("epoch", F.floor(F.col("step") / 40))
-    return epoch.groupBy("metric", "epoch").agg(F.floor(F.count("*") / WIN).alias("windows"))
+    """Edges of the detectors' states when everything is reset every 40 steps: tests and latches start anew, and what was on goes off."""
+    st = _st(spark, d)
+    epoch = F.floor(F.col("step") / EPOCH)
+    own = st.withColumn("metric", F.concat_ws("#", "metric", epoch.cast("string")))
+    limits = own.select("metric").distinct().select("metric", F.lit("page_hinkley").alias("method"), F.lit(8.0).alias("threshold"), F.lit(0.5).alias("delta"), F.lit(1).alias("debounce"), F.lit(0).alias("cooldown"))
+    latched = W.latch(st, C.trace(own, limits).where("alarm"), WIN, HOLD).where(F.substring_index("metric", "#", -1) == epoch.cast("string"))
+    states = W.detector_state(latched.withColumn("metric", F.substring_index("metric", "#", 1)), _dim(spark))
+    end = F.floor((F.max("step") + 1) / EPOCH).cast("int")
+    resets = st.agg(end.alias("n")).select(F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n")))).alias("i")).select((F.col("i") * EPOCH - 1).cast("long").alias("step"))
+    return M.reset_edges(states, resets)
 
 
 @query("counter_delta", "WITH t AS (SELECT event_type AS name, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS step, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT name, step, sum(n) OVER (PARTITION BY name ORDER BY step) AS total FROM t) SELECT name, step, CAST(greatest(total - lag(total, 1, 0) OVER (PARTITION BY name ORDER BY step), 0) AS BIGINT) AS delta FROM r")
@@ -304,11 +325,37 @@ def drain_prefix(spark, d):
     return s.join(F.broadcast(first), F.col("open").isNull() | (F.col("step") < F.col("open"))).select("step")  # one row joins
 
 
-@query("summaries_dropped", _STEPS + f", b AS (SELECT (step + 1) // {BLOCK} AS b FROM s WHERE (step + 1) % {BLOCK} = 0) SELECT count(*) AS drains, greatest(count(*) - 2, 0) * {BLOCK} AS dropped FROM b")
+CAPACITY, RELEASE = 2, 24
+_DRAINS = f"""evt AS (SELECT *, row_number() OVER (ORDER BY step, add) AS i FROM (SELECT step, 1 AS add FROM s WHERE (step + 1) % {BLOCK} = 0 UNION ALL SELECT step, -1 FROM s WHERE step % {RELEASE} = 7)),
+sim AS (
+  SELECT 0::BIGINT AS i, -1::BIGINT AS step, 0 AS add, 0 AS before, 0 AS pending
+  UNION ALL SELECT evt.i, evt.step, evt.add, sim.pending, CASE WHEN evt.add < 0 THEN greatest(sim.pending - 1, 0) ELSE least(sim.pending + 1, {CAPACITY}) END FROM sim JOIN evt ON evt.i = sim.i + 1),
+dr AS (SELECT step, CAST(before AS INTEGER) AS pending, before < {CAPACITY} AS enqueued FROM sim WHERE add > 0)"""
+
+
+def _drains(spark, d) -> DataFrame:
+    """Blocks against a pool of two buffers, one of which is released every 24 steps."""
+    steps = _st(spark, d).select("step").distinct()
+    return M.drains(steps, BLOCK, CAPACITY, steps.where(F.col("step") % RELEASE == 7))
+
+
+@query("summaries_dropped", f"WITH RECURSIVE {ST}, s AS (SELECT DISTINCT step FROM st), {_DRAINS} SELECT step, pending, enqueued, CAST(sum(CASE WHEN enqueued THEN 0 ELSE {BLOCK} END) OVER (ORDER BY step) AS BIGINT) AS dropped FROM dr")
 def summaries_dropped(spark, d):
-    """With two buffers and no drain in between, every block after the second is dropped whole."""
-    s = _st(spark, d).select("step").distinct().where((F.col("step") + 1) % BLOCK == 0)
-    return s.agg(F.count("*").alias("drains"), (F.greatest(F.count("*") - 2, F.lit(0)) * BLOCK).alias("dropped"))
+    """A block that finds no free buffer is dropped whole; ``dropped`` counts its steps, one row a block."""
+    from pyspark.sql import Window
+
+    lost = F.sum(F.when(F.col("enqueued"), 0).otherwise(BLOCK)).over(Window.orderBy("step"))
+    return _drains(spark, d).withColumn("dropped", lost.cast("long"))
+
+
+@query("ring_backlog", f"WITH RECURSIVE {ST}, s AS (SELECT DISTINCT step FROM st), {_DRAINS}, c AS (SELECT step, 8.0 * sum(CASE WHEN step % {RELEASE} = 7 THEN 1 ELSE 0 END) OVER (ORDER BY step) AS finished FROM s) SELECT step, round(least(greatest(step + 1 - finished, 0), 8) / 8, 6) AS utilization FROM c")
+def ring_backlog(spark, d):
+    """Share of eight slots in flight: steps observed against those that were released."""
+    from pyspark.sql import Window
+
+    finished = F.sum(F.when(F.col("step") % RELEASE == 7, 1).otherwise(0)).over(Window.orderBy("step")) * 8
+    behind = F.least(F.greatest(F.col("step") + 1 - finished, F.lit(0)), F.lit(8))
+    return _st(spark, d).select("step").distinct().select("step", r6(behind / 8, "utilization"))
 
 
 @query("ring_slot", _STEPS + " SELECT step % 8 AS slot, max(step) AS latest FROM s GROUP BY 1")
@@ -322,7 +369,7 @@ def late_rows(spark, d):
     from pyspark.sql import Window
 
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.when(F.col("event_id") % 41 == 0, 86400).otherwise(0)
-    e = A.table(spark, d, "events").select("event_id", t.alias("t"), F.floor(F.col("event_id") / 1024).alias("part"))
+    e = A.table(spark, d, "events").select("event_id", t.alias("t"), F.floor(F.col("event_id") / 65_536).alias("part"))
     # the running maximum in two levels, so that no task orders the whole stream
     inner = Window.partitionBy("part").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     tops = e.groupBy("part").agg(F.max("t").alias("top"))
@@ -331,13 +378,13 @@ def late_rows(spark, d):
     return high.where(F.col("t") < F.col("high") - 3600).agg(F.count("*").alias("late"))
 
 
-_FEED = f"WITH {ST}, feed AS (SELECT step, CASE metric WHEN 'click' THEN 'entropy_quantile' WHEN 'view' THEN 'drift_alert.entropy' WHEN 'purchase' THEN 'steps_observed' ELSE metric END AS key, value FROM st)"
-_ROUTED = ", ok AS (SELECT *, CASE WHEN starts_with(key, 'drift_alert.') THEN 'alert' WHEN key IN ('steps_observed', 'observations_dropped', 'summaries_dropped') THEN 'counter' ELSE 'gauge' END AS kind FROM feed WHERE isfinite(value)), routed AS (SELECT CASE kind WHEN 'alert' THEN 'drift_alert' ELSE key END AS name, CASE kind WHEN 'alert' THEN substr(key, 13) END AS detector, kind, CASE kind WHEN 'counter' THEN sum(greatest(value, 0)) ELSE max_by(value, step) END AS value FROM ok GROUP BY key, kind)"
+_FEED = f"WITH {ST}, feed AS (SELECT step, CASE metric WHEN 'click' THEN 'entropy_quantile' WHEN 'view' THEN 'drift_alert.entropy' WHEN 'purchase' THEN 'steps_observed' WHEN 'error' THEN 'detector_failures.embedding' ELSE metric END AS key, value FROM st)"
+_ROUTED = ", ok AS (SELECT *, CASE WHEN starts_with(key, 'drift_alert.') THEN 'alert' WHEN key IN ('steps_observed', 'observations_dropped', 'summaries_dropped') OR starts_with(key, 'detector_failures.') THEN 'counter' ELSE 'gauge' END AS kind FROM feed WHERE isfinite(value)), routed AS (SELECT split_part(key, '.', 1) AS name, nullif(split_part(key, '.', 2), '') AS detector, kind, CASE kind WHEN 'counter' THEN sum(greatest(value, 0)) ELSE max_by(value, step) END AS value FROM ok GROUP BY key, kind)"
 
 
 def _feed(spark, d) -> DataFrame:
     m = F.col("metric")
-    key = F.when(m == "click", "entropy_quantile").when(m == "view", "drift_alert.entropy").when(m == "purchase", "steps_observed").otherwise(m)
+    key = F.when(m == "click", "entropy_quantile").when(m == "view", "drift_alert.entropy").when(m == "purchase", "steps_observed").when(m == "error", "detector_failures.embedding").otherwise(m)
     return _st(spark, d).select("step", key.alias("key"), "value")
 
 
@@ -346,9 +393,9 @@ def export_routing(spark, d):
     return X.routed(_feed(spark, d)).select("name", "detector", "kind", rounded("value", 4).alias("value"))
 
 
-@query("export_telemetry", _FEED + _ROUTED + " SELECT name, kind, round(value, 4) AS value FROM routed WHERE name IN ('entropy_quantile', 'steps_observed')")
+@query("export_telemetry", _FEED + _ROUTED + " SELECT name, detector, kind, round(value, 4) AS value FROM routed WHERE name IN ('entropy_quantile', 'steps_observed', 'detector_failures')")
 def export_telemetry(spark, d):
-    return X.routed(_feed(spark, d), known_only=True).select("name", "kind", rounded("value", 4).alias("value"))
+    return X.routed(_feed(spark, d), known_only=True).select("name", "detector", "kind", rounded("value", 4).alias("value"))
 
 
 @query("export_p99_alias", _FEED + _ROUTED + " SELECT CASE k WHEN 1 THEN 'entropy_p99' ELSE name END AS name, round(value, 4) AS value FROM routed, (VALUES (0), (1)) t(k) WHERE k = 0 OR name = 'entropy_quantile'")
@@ -356,9 +403,15 @@ def export_p99_alias(spark, d):
     return X.routed(_feed(spark, d), p99_alias=True).select("name", rounded("value", 4).alias("value"))
 
 
-@query("export_text", _FEED + _ROUTED + """ SELECT 'driftloom_' || name || CASE kind WHEN 'counter' THEN '_total' ELSE '' END || CASE WHEN detector IS NOT NULL THEN '{detector="' || detector || '"}' ELSE '' END || ' ' || format('{:.6f}', value + 3.7e-10) AS line FROM routed""")
+_HELP = "help(name, says) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in X.HELP.items()) + ")"
+
+
+@query("export_text", _FEED + _ROUTED + f""", {_HELP}, l AS (SELECT r.name, detector, kind, value, 'driftloom_' || r.name || CASE kind WHEN 'counter' THEN '_total' ELSE '' END AS full_name, coalesce(says, 'Metric ' || r.name) AS says FROM routed r LEFT JOIN help ON r.name = help.name)
+SELECT DISTINCT name, -2 AS at, '# HELP ' || full_name || ' ' || says AS line FROM l
+UNION ALL SELECT DISTINCT name, -1, '# TYPE ' || full_name || ' ' || CASE kind WHEN 'alert' THEN 'gauge' ELSE kind END FROM l
+UNION ALL SELECT name, 0, full_name || CASE WHEN detector IS NOT NULL THEN '{{detector="' || detector || '"}}' ELSE '' END || ' ' || format('{{:.12g}}', value) FROM l""")
 def export_text(spark, d):
-    return X.text_lines(X.routed(_feed(spark, d)).withColumn("value", F.col("value") + 3.7e-10), "driftloom")
+    return X.text_lines(X.routed(_feed(spark, d)), "driftloom")
 
 
 @query("export_otel_names", _FEED + _ROUTED + " SELECT 'driftloom.' || name AS name, detector, 'gauge' AS kind FROM routed")
@@ -374,22 +427,24 @@ def export_catalog(spark, d):
     return X.exported(_feed(spark, d), "driftloom").select("name", "kind", "full_name", rounded("value", 4).alias("value"))
 
 
-_ALERTS = f"WITH RECURSIVE {ST}, {fold('page_hinkley', '8.0', '0.5')}, {_DIM}, al AS (SELECT f.metric, coalesce(detector, f.metric) AS detector, step, value, 8.0::DOUBLE AS threshold, 'page_hinkley' AS method, 'm1' AS model_version, '' AS baseline_version FROM f LEFT JOIN dim ON f.metric = dim.metric WHERE alarm)"
+_ALERTS = f"WITH RECURSIVE {ST}, {fold('page_hinkley', '8.0', '0.5')}, {_DIM}, al AS (SELECT f.metric, coalesce(detector, f.metric) AS detector, step, value, statistic FROM f LEFT JOIN dim ON f.metric = dim.metric WHERE alarm)"
 
 
 def _alerts(spark, d) -> DataFrame:
+    """Alerts as they are, but for the roundings' offset: a number that both sides round must not lie on a tie."""
     a = _alarms(spark, d).where("alarm").join(F.broadcast(_dim(spark)), "metric", "left")
-    return a.select("metric", F.coalesce("detector", "metric").alias("detector"), "step", "value", "statistic", F.lit(8.0).alias("threshold"), F.lit("page_hinkley").alias("method"), F.lit("m1").alias("model_version"), F.lit("").alias("baseline_version"))
+    says = {"detector": F.coalesce("detector", "metric"), "threshold": F.lit(8.0), "method": F.lit("page_hinkley"), "model_version": F.lit("m1"), "baseline_version": F.lit(""), "labels": F.create_map(F.lit("site"), F.col("metric"))}
+    return a.select(*[says.get(c, F.col(c)).alias(c) for c in X.ALERT])
 
 
-@query("alert_json", _ALERTS + """ SELECT metric, step, '{"metric":"' || metric || '","detector":"' || detector || '","step":' || step || ',"method":"page_hinkley","model_version":"m1","baseline_version":""}' AS body FROM al""")
+@query("alert_json", _ALERTS + """ SELECT metric, step, '{"metric":"' || metric || '","detector":"' || detector || '","step":' || step || ',"value":' || round(value, 6) || ',"statistic":' || round(statistic, 6) || ',"threshold":8.0,"method":"page_hinkley","model_version":"m1","baseline_version":"","labels":{"site":"' || metric || '"}}' AS body FROM al""")
 def alert_json(spark, d):
-    return X.alert_json(_alerts(spark, d))
+    return X.alert_json(_alerts(spark, d).withColumns({c: rounded(c, 6) for c in ("value", "statistic")}))
 
 
-@query("alert_summary", _ALERTS + " SELECT metric, step, 'drift alert: detector=' || detector || ' metric=' || metric || ' value=' || format('{:.6f}', value + 3.7e-10) || ' threshold=' || format('{:.6f}', threshold) || ' method=' || method || ' step=' || step || ' model=m1 baseline=?' AS line FROM al")
+@query("alert_summary", _ALERTS + " SELECT metric, step, 'drift alert: detector=' || detector || ' metric=' || metric || ' value=' || format('{:.6g}', value + 3.7e-10) || ' statistic=' || format('{:.6g}', statistic + 3.7e-10) || ' threshold=8 method=page_hinkley step=' || step || ' model=m1 baseline=?' AS line FROM al")
 def alert_summary(spark, d):
-    return X.alert_summary(_alerts(spark, d).withColumn("value", F.col("value") + 3.7e-10))
+    return X.alert_summary(_alerts(spark, d).withColumns({c: F.col(c) + 3.7e-10 for c in ("value", "statistic")}))
 
 
 _CALIB = f"""WITH RECURSIVE {ST}, {_TUM}, n AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY step) AS i, count(*) OVER (PARTITION BY metric) AS n FROM tum),
@@ -413,54 +468,51 @@ def calibrate_from_clean(spark, d):
     return clean.select("metric", rounded(F.col("level") * 0.25, 4).alias("delta"), rounded(F.col("level") * 2, 4).alias("threshold"))
 
 
-# alert rules over samples: key is the series, step the sample's position in time
-_SER = f"WITH {ST}, s AS (SELECT metric AS key, step, CASE WHEN isfinite(value) THEN value END AS value FROM st)"
-_CNT = "WITH t AS (SELECT event_type AS key, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS step, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL), s AS (SELECT key, step, sum(n) OVER (PARTITION BY key ORDER BY step) - CASE WHEN step % 30 >= 15 THEN 1000 ELSE 0 END AS value FROM t), g AS (SELECT *, CASE WHEN b IS NULL THEN NULL WHEN value < b THEN value ELSE value - b END AS grown FROM (SELECT *, lag(value) OVER (PARTITION BY key ORDER BY step) AS b FROM s)), i AS (SELECT key, step, sum(grown) OVER (PARTITION BY key ORDER BY step RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) AS inc FROM g)"
-_RUN = "SELECT key, min(step) AS first, max(step) AS last, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY step) - sum(CAST(flag AS INT)) OVER (PARTITION BY key ORDER BY step) AS run FROM (SELECT key, step, coalesce({flag}, false) AS flag FROM {src})) WHERE flag GROUP BY key, run HAVING count(*) >= {least}"
-
-
-def _series(spark, d) -> DataFrame:
-    return _st(spark, d).select(F.col("metric").alias("key"), "step", F.when(V.finite(F.col("value")), F.col("value")).alias("value"))
-
-
-def _counter(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    total = F.sum(F.col("value").cast("double")).over(Window.partitionBy("key").orderBy("step"))
-    return _counts(spark, d).select("key", "step", (total - F.when(F.col("step") % 30 >= 15, 1000).otherwise(0)).alias("value"))
-
-
-def _level_rule(name: str, flag: str, least: int):
-    @query(name, f"{_SER} {_RUN.format(flag=flag, src='s', least=least)}")
+# alert rules over scraped series
+_SCRAPED = """e AS (SELECT event_id % 2 AS instance, event_id // 2 AS k, event_id // 128 AS b, value AS v FROM events),
+ab AS (SELECT instance, b, avg(v) AS a FROM e GROUP BY ALL),
+aj AS (SELECT instance, b, k % 3 AS j, avg(v) AS a FROM e GROUP BY ALL),
+own AS (SELECT e.*, a, NULL::VARCHAR AS detector, k * 30 AS ts FROM e JOIN ab USING (instance, b)),
+per AS (SELECT e.*, a, j, 'd' || j AS detector, k * 30 AS ts FROM e JOIN aj USING (instance, b))"""
+_TOTAL = "sum({inc}) OVER (PARTITION BY instance, detector, k // 500 ORDER BY k)"
+_VALUES = {
+    "drift_alert": ("per", "CASE WHEN a > 55 THEN 1.0 ELSE 0.0 END"), "detectors_disabled": ("own", "CASE WHEN a > 54 THEN 1.0 ELSE 0.0 END"),
+    "monitor_overhead_us": ("own", "60 + greatest(a - 45, 0) * 12"), "ring_utilization": ("own", "least(greatest((a - 40) / 15, 0), 1)"),
+    "detector_failures_total": ("per", _TOTAL.format(inc="CASE WHEN a > 50 AND v > 60 AND k % 3 = j THEN 1 ELSE 0 END")),
+    "summaries_dropped_total": ("own", _TOTAL.format(inc="CASE WHEN a > 54 AND v > 30 THEN 8 ELSE 0 END")),
+    "observations_dropped_total": ("own", _TOTAL.format(inc="CASE WHEN a < 46 AND v > 30 THEN 1 ELSE 0 END")),
+    "steps_observed_total": ("own", _TOTAL.format(inc="CASE WHEN a BETWEEN 44 AND 48 THEN 0 ELSE floor(v) + 1 END")),
+}
+_FLAGS = {
+    "level": "SELECT instance, detector, ts, value {op} {bound} AS flag FROM s",
+    "sum": "SELECT instance, NULL::VARCHAR AS detector, ts, sum(value) {op} {bound} AS flag FROM s GROUP BY instance, ts",
+    "rate": "SELECT instance, detector, ts, CASE WHEN count(*) OVER w >= 2 THEN sum(grown) OVER w - first_value(grown) OVER w END {op} {bound} AS flag FROM (SELECT *, CASE WHEN p IS NULL THEN 0 WHEN value < p THEN value ELSE value - p END AS grown FROM (SELECT *, lag(value) OVER (PARTITION BY instance, detector ORDER BY ts) AS p FROM s)) WINDOW w AS (PARTITION BY instance, detector ORDER BY ts RANGE BETWEEN 299 PRECEDING AND CURRENT ROW)",
+    "yesterday": "SELECT instance, detector, ts, value {op} {bound} * avg(value) OVER (PARTITION BY instance, detector ORDER BY ts RANGE BETWEEN 89999 PRECEDING AND 86400 PRECEDING) AS flag FROM s",
+}
+_FIRING = """n AS (SELECT *, CASE WHEN flag AND coalesce(NOT lag(flag) OVER w OR ts - lag(ts) OVER w > 300, true) THEN 1 ELSE 0 END AS new FROM (SELECT instance, detector, ts, coalesce(flag, false) AS flag FROM fl) WINDOW w AS (PARTITION BY instance, detector ORDER BY ts)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY instance, detector ORDER BY ts) AS run FROM n),
+z AS (SELECT *, min(ts) OVER (PARTITION BY instance, detector, run) AS since FROM r WHERE flag)
+SELECT instance, detector, since, min(ts) FILTER (WHERE ts - since >= {seconds}) AS fired, max(ts) AS last FROM z GROUP BY instance, detector, run, since HAVING fired IS NOT NULL"""
+
+
+def _rule(name: str, rule: R.Rule) -> None:
+    source, value = _VALUES[rule.metric]
+    flags = _FLAGS[rule.kind].format(op=rule.op, bound=rule.bound)
+
+    @query(f"rule_{name}", f"WITH {_SCRAPED}, s AS (SELECT instance, detector, ts, CAST({value} AS DOUBLE) AS value FROM {source}), fl AS ({flags}), {_FIRING.format(seconds=rule.seconds)}")
     def run(spark, d):
-        return R.sustained(_series(spark, d), F.expr(flag), least)
+        return R.firing(R.holds(A.scrapes(spark, d), rule), rule.seconds)
 
 
-def _rate_rule(name: str, flag: str, least: int):
-    @query(name, f"{_CNT} {_RUN.format(flag=flag.replace('increase', 'inc'), src='i', least=least)}")
-    def run(spark, d):
-        return R.sustained(R.increase(_counter(spark, d), 5), F.expr(flag), least)
-
-
-_level_rule("rule_drift", "value > 50", 2)
-_level_rule("rule_disabled", "value > 52", 2)
-_level_rule("rule_overhead_high", "value > 55", 1)
-_level_rule("rule_ring", "value / 60 > 0.9", 1)
-_rate_rule("rule_failing", "increase > 100", 2)
-_rate_rule("rule_summaries", "increase > 90", 3)
-_rate_rule("rule_observations", "increase > 0", 2)
-_rate_rule("rule_not_observing", "increase = 0", 1)
+for _name, _r in R.RULES.items():
+    _rule(_name, _r)
 
 
-@query("rule_multi_detector", f"{_SER}, m AS (SELECT 'all' AS key, step, sum(CAST(coalesce(value > 50, false) AS INT)) AS k FROM s GROUP BY step) {_RUN.format(flag='k >= 2', src='m', least=2)}")
-def rule_multi_detector(spark, d):
-    k = F.sum(F.coalesce(F.col("value") > 50, F.lit(False)).cast("int"))
-    return R.sustained(_series(spark, d).groupBy("step").agg(k.alias("k")).withColumn("key", F.lit("all")), F.col("k") >= 2, 2)
+_SER = f"WITH {ST}, s AS (SELECT metric AS key, step, CASE WHEN isfinite(value) THEN value END AS value FROM st)"
 
 
-@query("rule_overhead_regression", f"{_SER}, p AS (SELECT *, avg(value) OVER (PARTITION BY key ORDER BY step RANGE BETWEEN 8 PRECEDING AND 4 PRECEDING) AS past FROM s) {_RUN.format(flag='value > 1.05 * past', src='p', least=2)}")
-def rule_overhead_regression(spark, d):
-    return R.sustained(R.against_past(_series(spark, d), 4, 4), F.col("value") > 1.05 * F.col("past"), 2)
+def _series(spark, d) -> DataFrame:
+    return _st(spark, d).select(F.col("metric").alias("key"), "step", F.when(V.finite(F.col("value")), F.col("value")).alias("value"))
 
 
 @query("dash_annotations", f"{_SER} SELECT key AS detector, CAST(coalesce(max(CAST(value > 50 AS INT)), 0) AS INTEGER) AS active FROM s GROUP BY key")
@@ -468,20 +520,43 @@ def dash_annotations(spark, d):
     return _series(spark, d).groupBy(F.col("key").alias("detector")).agg(F.coalesce(F.max((F.col("value") > 50).cast("int")), F.lit(0)).alias("active"))
 
 
-@query("triage_pattern", """WITH u AS (SELECT o_orderkey AS step, CAST(o_orderkey % 3 - 1 AS INTEGER) AS entropy, CAST(o_orderkey // 3 % 3 - 1 AS INTEGER) AS js, CAST(o_orderkey // 9 % 3 - 1 AS INTEGER) AS embedding FROM orders)
-SELECT *, CASE WHEN embedding > 0 AND entropy > 0 AND js > 0 THEN 'everything moved' WHEN embedding > 0 AND entropy > 0 THEN 'covariate shift' WHEN embedding > 0 AND entropy = 0 AND js = 0 THEN 'input moved'
- WHEN js > 0 AND entropy < 0 AND embedding = 0 THEN 'prediction collapse' WHEN abs(entropy) + abs(js) + abs(embedding) = 1 THEN 'suspect the monitor' WHEN entropy = 0 AND js = 0 AND embedding = 0 THEN 'quiet' ELSE 'unclear' END AS pattern FROM u""")
+@query("triage_pattern", """WITH u AS (SELECT o_orderkey AS step, CAST(o_orderkey % 3 - 1 AS INTEGER) AS entropy, CAST(o_orderkey // 3 % 3 - 1 AS INTEGER) AS js, CAST(o_orderkey // 9 % 3 - 1 AS INTEGER) AS embedding, o_orderkey // 27 % 2 = 1 AS sharp FROM orders)
+SELECT *, CASE WHEN embedding > 0 AND entropy > 0 AND js > 0 AND sharp THEN 'deploy' WHEN embedding > 0 AND entropy > 0 AND js > 0 THEN 'everything moved' WHEN embedding > 0 AND entropy > 0 THEN 'covariate shift' WHEN embedding > 0 AND entropy = 0 AND js = 0 THEN 'input moved'
+ WHEN js > 0 AND entropy < 0 AND embedding = 0 THEN 'prediction collapse' WHEN (entropy, js, embedding) IN ((1, 0, 0), (0, 1, 0), (0, 0, 1)) THEN 'suspect the monitor' WHEN entropy = 0 AND js = 0 AND embedding = 0 THEN 'quiet' ELSE 'unclear' END AS pattern FROM u""")
 def triage_pattern(spark, d):
     k = F.col("o_orderkey")
     third = lambda n: (F.pmod(F.floor(k / n), F.lit(3)) - 1).cast("int")
-    return R.triage(A.table(spark, d, "orders").select(k.alias("step"), third(1).alias("entropy"), third(3).alias("js"), third(9).alias("embedding")))
+    return R.triage(A.table(spark, d, "orders").select(k.alias("step"), third(1).alias("entropy"), third(3).alias("js"), third(9).alias("embedding"), (F.pmod(F.floor(k / 27), F.lit(2)) == 1).alias("sharp")))
 
 
-@query("monitor_stats", f"WITH {ST}, s AS (SELECT DISTINCT step FROM st) SELECT count(*) AS steps_observed, count(*) // {BLOCK} AS drains_enqueued, count(*) // {BLOCK} * {BLOCK} AS rows_dispatched, (SELECT count(*) FROM st WHERE NOT isfinite(value)) AS values_skipped FROM s")
+@query("monitor_stats", f"""WITH RECURSIVE {ST}, s AS (SELECT DISTINCT step FROM st), {_DRAINS}, {_FIN},
+em AS (SELECT 0::BIGINT AS rn, 0::DOUBLE AS ema, 0::DOUBLE AS last UNION ALL SELECT fin.rn, em.ema + 0.01 * (fin.value - em.ema), fin.value FROM em JOIN fin ON fin.metric = 'click' AND fin.rn = em.rn + 1),
+n AS (SELECT (SELECT count(*) FROM s) AS steps, count(*) FILTER (WHERE enqueued) AS enq, count(*) FILTER (WHERE NOT enqueued) AS lost, least(count(*) FILTER (WHERE enqueued), (SELECT count(*) FROM s WHERE step % {RELEASE} = 7)) AS done FROM dr)
+SELECT true AS enabled, 'spark' AS device, steps AS steps_observed, (SELECT count(*) FROM (SELECT step FROM st GROUP BY step HAVING count(*) FILTER (WHERE NOT isfinite(value)) > 0)) AS observations_dropped,
+  lost * {BLOCK} AS summaries_dropped, enq AS drains_enqueued, done AS drains_completed, done * {BLOCK} AS rows_dispatched, round(least(greatest(steps - done * {BLOCK}, 0), 8) / 8, 6) AS ring_utilization,
+  round((SELECT max_by(last, rn) FROM em), 6) AS last_enqueue_us, round((SELECT max_by(ema, rn) FROM em), 6) AS mean_enqueue_us, CAST(NULL AS DOUBLE) AS gpu_time_us,
+  (SELECT coalesce(string_agg(component, ',' ORDER BY component), '') FROM (SELECT event_type AS component FROM events WHERE event_id % 7 = 0 GROUP BY event_type HAVING count(*) >= 280)) AS disabled_detectors,
+  CAST(8 * 64 * (10 + 64) * 4 AS BIGINT) AS ring_bytes, CAST({CAPACITY} * {BLOCK} * 5 * 4 AS BIGINT) AS pinned_bytes FROM n""")
 def monitor_stats(spark, d):
-    st = _st(spark, d)
-    n = F.countDistinct("step")
-    return st.agg(n.alias("steps_observed"), F.floor(n / BLOCK).alias("drains_enqueued"), (F.floor(n / BLOCK) * BLOCK).alias("rows_dispatched"), F.count_if(~V.finite(F.col("value"))).alias("values_skipped"))
+    """What a monitor says of itself, of the event streams: the click stream stands for the time that observing takes."""
+    st, dr = _st(spark, d), _drains(spark, d)
+    steps = st.select("step").distinct()
+    one = steps.agg(F.count("*").alias("steps_observed"), F.count_if(F.col("step") % RELEASE == 7).alias("released"))
+    bad = st.groupBy("step").agg(F.count_if(~V.finite(F.col("value"))).alias("n")).agg(F.count_if(F.col("n") > 0).alias("observations_dropped"))
+    blocks = dr.agg(F.count_if("enqueued").alias("drains_enqueued"), (F.count_if(~F.col("enqueued")) * BLOCK).alias("summaries_dropped"))
+    click = W.ema(st.where("metric = 'click'"), 0.01).join(W.finite_only(st), ["metric", "step"])
+    time = click.agg(F.max_by("value", "step").alias("last_enqueue_us"), F.max_by("ema", "step").alias("mean_enqueue_us"))
+    ev = A.table(spark, d, "events").where(F.col("event_id") % 7 == 0)
+    off = state_of(ev.select(F.col("event_type").alias("component"), F.col("event_id").alias("step"), F.lit("").alias("error")), 280).where("disabled")
+    off = off.agg(F.array_join(F.array_sort(F.collect_list("component")), ",").alias("disabled_detectors"))
+    out = one.join(bad).join(blocks).join(time).join(off)  # one row each
+    done = F.least("drains_enqueued", "released")
+    values = {
+        "enabled": F.lit(True), "device": F.lit("spark"), "drains_completed": done, "rows_dispatched": done * BLOCK,
+        "ring_utilization": r6(F.least(F.greatest(F.col("steps_observed") - done * BLOCK, F.lit(0)), F.lit(8)) / 8, "x"), "last_enqueue_us": r6(F.col("last_enqueue_us"), "x"), "mean_enqueue_us": r6(F.col("mean_enqueue_us"), "x"),
+        "gpu_time_us": F.lit(None).cast("double"), "ring_bytes": F.lit(M.ring_bytes(8, 64, A.CLASSES, 64)).cast("long"), "pinned_bytes": F.lit(M.pinned_bytes(CAPACITY, BLOCK, 5)).cast("long"),
+    }
+    return out.select(*[values.get(c, F.col(c)).alias(c) for c in M.STATS])
 
 
 def decayed_covariance(spark, d):
@@ -496,8 +571,21 @@ query("decayed_covariance")(decayed_covariance)
 ORACLE_SQL["decayed_covariance"] = ORACLE_SQL["embedding_cov_drift"] + " WHERE t.step % 4 = 0"
 
 
-@query("baseline_checksum", None)
+@query("baseline_checksum", "SELECT true AS kept_same, true AS changed_differs, true AS other_model_refused, CAST(64 AS BIGINT) AS length")
 def baseline_checksum(spark, d):
-    from .metrics import _baseline
-
-    return spark.createDataFrame([(_baseline(spark, d).checksum,)], "checksum string")
+    """The checksum of a loaded artifact is that of the one saved, any changed number gives another, and another model's is refused."""
+    from dataclasses import replace
+
+    from ..operators.baseline import BaselineError, load
+    from .metrics import _baseline, _kept
+
+    made, path = _baseline(spark, d), _kept(spark, d)
+    again = load(spark, path)
+    changed = replace(again, embed_mean=again.embed_mean * (1 + 1e-12) + 1e-300)
+    try:
+        load(spark, path, "another")
+        refused = False
+    except BaselineError:
+        refused = True
+    row = (again.digest() == made.checksum, changed.digest() != made.checksum, refused, len(made.checksum))
+    return spark.createDataFrame([row], "kept_same boolean, changed_differs boolean, other_model_refused boolean, length long")
