@@ -298,7 +298,7 @@ def metric_layout(spark, d):
     from ..config import Config
     from ..operators.detectors import layout
 
-    made = layout(Config.from_dict({"detectors": [{"name": "entropy"}, {"name": "divergence"}, {"name": "embedding", "enabled": False}]}))
+    made = layout(Config.from_dict({"window_size": 512, "drain_every_k": 16, "detectors": [{"name": "entropy"}, {"name": "divergence"}, {"name": "embedding", "enabled": False}]}))
     return spark.createDataFrame([(i, m, n) for i, (m, n) in enumerate(made)], "ordinal int, metric string, detector string")
 
 
