@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PERCENT, MIN_WORDS = 80, 5
-CELL_BITS = 17
+CELL_BITS = 20
 #: From this size on one parity word says little, since too many tokens may differ.
 WIDE = 96
 #: Ids or removed lines (some 50 bytes each) are broadcast up to this many, else joined by a shuffle.
@@ -54,12 +54,12 @@ def cell_of(token: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str) -> DataFrame:
-    """One row, ``cells``: for each cell the logarithm of the count of its tokens in eighths of an octave, at most 126, in a long's top byte."""
+    """One row, ``cells``: for each cell the logarithm of the count of its tokens in quarters of an octave, at most 126; 1 MB whatever the input."""
     spark = docs.sparkSession
     word = docs.select(F.explode(F.split(F.replace(plain(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = word.groupBy(cell_of(F.xxhash64("w")).alias("cell")).count()
-    step = F.least(F.lit(126), F.floor(4 * F.log2("count") + 1)).cast("long")
-    every = spark.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left").select(F.col("id").alias("cell"), F.shiftleft(F.coalesce(step, F.lit(0).cast("long")), 56).alias("step"))
+    step = F.least(F.lit(126), F.floor(4 * F.log2("count") + 1)).cast("tinyint")
+    every = spark.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left").select(F.col("id").alias("cell"), F.coalesce(step, F.lit(0).cast("tinyint")).alias("step"))
     # parts of 1024 cells, then the parts in order: fixed sizes
     part = every.groupBy(F.shiftright("cell", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("cell", "step"))).alias("s"))
     part = part.select("part", F.transform("s", lambda x: x["step"]).alias("s"))
@@ -70,7 +70,8 @@ def rarity(docs: DataFrame, text: str) -> DataFrame:
 def ranked(line: Column, cells: Column) -> Column:
     """A plain line's distinct words, rarest first: the cell's byte and 56 bits of the word's hash in one long."""
     hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    token = lambda t: F.coalesce(F.get(cells, cell_of(t)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(t, 8))
+    byte = lambda t: F.coalesce(F.get(cells, cell_of(t)), F.lit(0).cast("tinyint")).cast("long")
+    token = lambda t: F.shiftleft(byte(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
     return F.sort_array(F.transform(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))), token))
 
 
@@ -104,9 +105,11 @@ def short(token: Column) -> Column:
 def may_match(a: str, b: str) -> Column:
     """Length, positional and parity filter on two postings of one token."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil((na + nb) * PERCENT / (100.0 + PERCENT))
+    both = (na + nb) * PERCENT
+    # tokens that must be shared: both / (100 + PERCENT), rounded up
+    need = F.call_function("div", both + (99 + PERCENT), F.lit(100 + PERCENT))
     rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT) & (rest >= need) & (differ(a, b) <= na + nb - 2 * need)
+    return (F.col(f"{a}.token") == F.col(f"{b}.token")) & (na * 100 >= nb * PERCENT) & (nb * 100 >= na * PERCENT) & (rest * (100 + PERCENT) >= both) & (differ(a, b) <= na + nb - 2 * need)
 
 
 def place() -> Column:
@@ -190,7 +193,9 @@ def _matched(docs: DataFrame, sets: DataFrame, posting: DataFrame, asked: DataFr
     picked = parts.select(F.explode(F.transform("ats", lambda x: F.struct(x["token"].alias("token"), x["asks"].alias("asks"), x["first"].alias("first"), F.get("parts", x["first"]["at"]).alias("line")))).alias("x")).select("x.*")
     post = picked.withColumn("cells", cells.scalar()).select("token", "asks", "first", ranked(F.col("line"), F.col("cells")).alias("r"))
     same, n = F.size(F.array_intersect("a.r", "b.r")), F.size("a.r") + F.size("b.r")
-    fits = (F.col("a.token") == F.col("b.token")) & F.col("b.asks") & (F.col("a.first") < F.col("b.first")) & (same * 100 >= (n - same) * PERCENT)
+    # put so that it can't be taken to one side: then one exchange, and one reading of the texts, serves the two
+    asks = F.col("b.asks") | (F.col("a.asks") & F.col("a.token").isNull())
+    fits = (F.col("a.token") == F.col("b.token")) & asks & (F.col("a.first") < F.col("b.first")) & (same * 100 >= (n - same) * PERCENT)
     found = common.stored(post.alias("b").join(post.alias("a"), fits, "left_semi").select("first").distinct(), "matched", few=True)
     return sets.select("key", "first").join(_small(found), "first", "left_semi").select("key")
 
