@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, stored  # noqa: F401
+
 #: What separates words: ASCII white space and nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-LOCAL_DIR = "file:///tmp/driftloom-checkpoints"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,34 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the folder that the session was given for checkpoints.
-
-    A local folder is set only where the session names none, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    spark.sparkContext.setCheckpointDir(LOCAL_DIR)
-    return LOCAL_DIR
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again; columns can be pruned then.
-
-    ``few``: what is small against the input is written by one wave of tasks, so that
-    shuffles into many partitions do not leave as many small files.
-    """
-    path = work_path(df.sparkSession, name)
-    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator, most: int = 1000) -> Iterator:
     """Batches of at most ``most`` rows, so that what is made of them stays small."""
     for pdf in batches:

@@ -8,9 +8,10 @@ bound (what was read, and the value at the list's front).  Candidates whose uppe
 is below the k-th lower bound are out for good; reading ends when nothing but the top k
 (and ties with it) is left, whose scores are then summed in full.
 
-Queries and candidates meet block by block: each candidate block is paired with each
-query block, which is the stated query set against all rows.  A pair of blocks yields
-at most k rows for each query, so nothing but those is shuffled afterwards.
+Queries and candidates meet block by block, the stated query set against all rows.
+Candidate blocks stay where they are: query blocks go out to them by broadcasts of at most
+``SENT`` bytes, one after another, and a task keeps k rows for each query, so nothing but
+those is shuffled afterwards.
 
 Defined results: vectors that are null or hold a null or non-finite component take no
 part, neither as query nor as candidate; scaled components have 64 bits, and one or a
@@ -26,14 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK, QUERY_BLOCK = 4096, 1024
 #: Depths of the sorted reads, as shares of a block; candidates are pruned at each.
-STEPS = (0.5, 0.7, 0.85, 1.0)
+STEPS = (1 / 64, 1 / 16, 0.25, 0.5, 0.7, 0.85, 1.0)
+#: Queries by which a block finds out from which depth on reading excludes anything.
+PROBED = 8
+#: Bytes of queries that are broadcast at a time.
+SENT = 32 << 20
 PACKED = "n int, dim int, ids binary, rows binary"
 
 
@@ -82,7 +87,9 @@ def survivors(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray, k: int) -
     ``skip`` marks the pairs that take no part.  A row that was read in a list counts with
     its value there, else with the list's last value (lower bound) or the value at the
     list's front (upper bound).  Positive components read downwards and negative ones
-    upwards, so both bounds of all pairs are sums over two halves of a query.
+    upwards, so both bounds of all pairs are sums over two halves of a query.  Bounds are
+    taken first where, for a few queries, they exclude half of the candidates: any depth
+    to begin with gives the same rows.
     """
     n = len(rows)
     # sums below 2 ** 53 are exact; beyond, nothing is dropped that rounding could have put below the bar
@@ -92,37 +99,78 @@ def survivors(queries: np.ndarray, rows: np.ndarray, skip: np.ndarray, k: int) -
     place = np.empty(rows.shape, np.int32)
     np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], 0)
     values = np.take_along_axis(rows, order, 0)
-    up, down = np.maximum(queries, 0).T.copy(), np.minimum(queries, 0).T.copy()
-    bar = np.full(len(queries), -np.inf)
-    for share in STEPS:
-        depth = min(n, max(1, round(n * share)))
+
+    def read(depth: int, up: np.ndarray, down: np.ndarray, skip: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top, bottom = place >= n - depth, place < depth
         low = np.where(top, rows, values[0]) @ up + np.where(bottom, rows, values[-1]) @ down
         low[skip] = -np.inf
         if n > k:
             bar = np.maximum(bar, np.partition(low, n - k, axis=0)[n - k])
         high = low if depth == n else np.where(top, rows, values[n - depth]) @ up + np.where(bottom, rows, values[depth - 1]) @ down
-        alive = (high >= bar - slack) & ~skip
+        return (high >= bar - slack) & ~skip, bar
+
+    up, down = np.maximum(queries, 0).T.copy(), np.minimum(queries, 0).T.copy()
+    depths = sorted({min(n, max(1, round(n * share))) for share in STEPS})
+    none = np.full(len(queries), -np.inf)
+    some = slice(None, None, max(1, len(queries) // PROBED))
+    first = next(d for d in depths if d == n or 2 * np.count_nonzero(read(d, up[:, some], down[:, some], skip[:, some], none[some])[0]) <= skip[:, some].size)
+    bar = none
+    for depth in (d for d in depths if d >= first):
+        alive, bar = read(depth, up, down, skip, bar)
         if depth == n or np.count_nonzero(alive) <= 4 * k * len(queries):
-            return alive
+            break
     return alive
 
 
-def _search(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for row in pdf.itertuples():
-            ids, rows = np.frombuffer(row.ids, "<i8"), _ints(row.rows, row.n, row.dim)
-            q_ids, queries = np.frombuffer(row.q_ids, "<i8"), _ints(row.q_rows, row.q_n, row.dim)
-            alive = survivors(queries.astype(np.float64), rows.astype(np.float64), ids[:, None] == q_ids[None, :], k)
-            q, i = np.nonzero(alive.T)
-            largest = _largest(queries, rows)
-            score = np.concatenate([_products(rows[i[a : a + BLOCK]], queries[q[a : a + BLOCK]], largest) for a in range(0, len(i), BLOCK)] or [np.zeros(0, np.int64)])
-            parts = (score,) if score.dtype != object else [x.astype(np.int64) for x in (score & 0xFFFFFFFF, score >> 32 & 0xFFFFFFFF, score >> 64)]
-            best = np.lexsort((ids[i], *[-x for x in parts], q))
-            q, i, score = q[best], i[best], score[best]
-            first = np.searchsorted(q, np.arange(len(q_ids)))
-            keep = np.arange(len(q)) - first[q] < k if len(q) else np.zeros(0, bool)
-            yield pd.DataFrame({"query_id": q_ids[q[keep]], "vec_id": ids[i[keep]], "score": score[keep].astype(np.int64)})
+def best_of(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best, by query, score downwards and id."""
+    parts = (score,) if score.dtype != object else [x.astype(np.int64) for x in (score & 0xFFFFFFFF, score >> 32 & 0xFFFFFFFF, score >> 64)]
+    best = np.lexsort((ids, *[-x for x in parts], q))
+    q = q[best]
+    new = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    first = np.repeat(new, np.diff(np.append(new, len(q))))
+    return best[np.arange(len(q)) - first < k]
+
+
+def _search(asked, k: int):
+    """A task's k best rows for each of the queries in ``asked``: (ids, vectors) of blocks."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        blocks = [(np.frombuffer(i, "<i8"), dim, _ints(v, n, dim)) for n, dim, i, v in asked.value]
+        for pdf in batches:
+            for row in pdf.itertuples():
+                ids, rows = np.frombuffer(row.ids, "<i8"), _ints(row.rows, row.n, row.dim)
+                for b, (q_ids, dim, queries) in enumerate(blocks):
+                    if dim != row.dim:
+                        continue
+                    alive = survivors(queries.astype(np.float64), rows.astype(np.float64), ids[:, None] == q_ids[None, :], k)
+                    q, i = np.nonzero(alive.T)
+                    largest = _largest(queries, rows)
+                    score = np.concatenate([_products(rows[i[a : a + BLOCK]], queries[q[a : a + BLOCK]], largest) for a in range(0, len(i), BLOCK)] or [np.zeros(0, np.int64)])
+                    found = q, ids[i], score
+                    if b in held:
+                        found = tuple(np.concatenate([x, y]) for x, y in zip(held[b], found, strict=True))
+                    keep = best_of(*found, k)
+                    held[b] = tuple(x[keep] for x in found)
+        for b, (q, ids, score) in held.items():
+            # a score beyond 64 bits raises here
+            yield pd.DataFrame({"query_id": blocks[b][0][q], "vec_id": ids, "score": score.astype(np.int64)})
+
+    return search
+
+
+def _parts(asked: DataFrame) -> Iterator[list[tuple]]:
+    """Query blocks as lists of at most ``SENT`` bytes (one block at least), fetched one after another."""
+    part, size = [], 0
+    for r in asked.toLocalIterator():
+        if part and size + r["size"] > SENT:
+            yield part
+            part, size = [], 0
+        part.append((r["n"], r["dim"], bytes(r["ids"]), bytes(r["rows"])))
+        size += r["size"]
+    if part:
+        yield part
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -144,19 +192,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     at = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = whole(queries).repartition(max(1, min(at, -(-queries.count() // QUERY_BLOCK))))
     asked = asked.mapInPandas(lambda b: _pack(b, QUERY_BLOCK), PACKED)
-    asked = common.stored(asked.select(F.monotonically_increasing_id().alias("at"), F.col("n").alias("q_n"), "dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows")), "queries")
-    n_blocks = asked.count()
-    if not n_blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    number = asked.select("at", (F.row_number().over(Window.orderBy("at")) - 1).alias("q_block"))
-    asked = asked.join(number, "at").drop("at")
-    blocks = whole(vectors).mapInPandas(lambda b: _pack(b, BLOCK), PACKED)
-    # numbers of query blocks, one for each 1024 queries, go out to every candidate block; their contents follow by an equi-join
-    blocks = blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = blocks.join(asked, ["q_block", "dim"]).repartition(max(1, at), "q_block", F.xxhash64("ids"))
-    found = pairs.mapInPandas(lambda b: _search(b, k), "query_id long, vec_id long, score long")
+    asked = common.stored(asked.withColumn("size", F.length("ids") + F.length("rows")), "queries")
+    blocks = common.stored(whole(vectors).mapInPandas(lambda b: _pack(b, BLOCK), PACKED), "vectors")
+    path = common.work_path(spark, "found")
+    schema = "query_id long, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in _parts(asked):
+        sent = spark.sparkContext.broadcast(part)
+        blocks.mapInPandas(_search(sent, k), schema).write.mode("append").parquet(path)
+        sent.unpersist()
+    found = spark.read.schema(schema).parquet(path)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    # each block gives at most k rows for a query; two levels of merging keep the groups small
+    # each task gives at most k rows for a query; two levels of merging keep the groups small
     first = found.groupBy("query_id", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).agg(best.alias("best"))
     last = first.select("query_id", F.inline("best")).withColumn("score", -F.col("s"))
     last = last.groupBy("query_id").agg(best.alias("best"))

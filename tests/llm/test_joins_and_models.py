@@ -250,6 +250,51 @@ def test_pipeline_loses_no_document(spark, tmp_path):
     assert got and got == want
 
 
+def test_pipeline_of_nothing_and_of_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = "doc_id long, quality int, toxic int"
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    some = [(1, a, "en", "s", 0, "", "", "", ""), (5, a, "en", "s", 0, "", "", "", ""), (5, b, "en", "s", 0, "", "", "", ""), (None, None, None, None, None, "", "", "", "")]
+    for name, table in (("none", []), ("few", some)):
+        docs(spark, table).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(len(table))], labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = ngram_join.keep_one(docs(spark, some)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"]) == [(1, a), (5, b)]
+    got = corpus_pipeline.run(spark, f"{tmp_path}/few").collect()
+    assert {r["doc_id"] for r in got} >= {1, 5}
+
+
+def test_shallow_reads_are_enough_for_skewed_vectors(monkeypatch):
+    r = np.random.default_rng(2)
+    rows = np.rint(np.exp(r.normal(0, 3, (4096, 6)))).astype(float)
+    queries = np.abs(r.normal(size=(20, 6)))
+    depths, real = [], np.where
+    monkeypatch.setattr(topk.np, "where", lambda c, *a: (depths.append(int(np.count_nonzero(c))), real(c, *a))[1] if a else real(c))
+    alive = topk.survivors(queries, rows, np.zeros((4096, 20), bool), 5)
+    monkeypatch.undo()
+    score = rows @ queries.T
+    for j in range(20):
+        assert alive[np.argsort(-score[:, j], kind="stable")[:5], j].all()
+    assert max(depths) < 4096 * 6 / 2  # no list was read to half of its length
+
+
+def test_queries_are_sent_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SENT", 1000)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(8)
+    rows_ = [(i, r.normal(size=4).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(x) for x in topk.top_k(df, df.where(F.col("vec_id") % 50 == 0), 5).collect())
+    v = {i: np.floor(256 * np.array(x)).astype(int) for i, x in rows_}
+    want = []
+    for q in range(0, 700, 50):
+        best = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def brute_features(text, lex):
     """Features by plain loops over words and characters."""
     words = [w for w in (x.strip(toxicity.EDGE) for x in text.lower().split()) if w]

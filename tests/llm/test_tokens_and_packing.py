@@ -120,10 +120,10 @@ def test_neighbours_come_by_score():
     assert np.allclose(index.scores(np.array([1, 7, 7])), brute)
 
 
-def test_empty(spark):
+def test_empty(spark, tmp_path):
     none = docs(spark, [])
     assert packing.pack(none).count() == 0
-    assert token_files.write_tokens(none, "file:///tmp/none").count() == 0
+    assert token_files.write_tokens(none, f"file://{tmp_path}/none").count() == 0
 
 
 def test_scores_of_a_block_are_exact(monkeypatch):
@@ -160,3 +160,16 @@ def test_neighbours_are_found_in_the_whole_corpus(spark, enc, monkeypatch, seeds
     used_first = {s: min((p["offset"], p["doc_id"]) for p in with_all if p["sequence_id"] == s and p["offset"] > 0)[1] for s in seed_of}
     assert len(seed_of) > 10 and all(used_first[s] == 100 + i for s, i in seed_of.items())
     assert sum(n < 512 for n in [sum(p["length"] for p in with_all if p["sequence_id"] == s) for s in {p["sequence_id"] for p in with_all}]) <= 1
+
+
+def test_many_rows_of_one_id_are_split(spark, enc, tmp_path):
+    some = [(None, f"text {i} of no id", "en", "s", 0, "", "", "", "") for i in range(300)] + [(5, f"text {i} of one id", "en", "s", 0, "", "", "", "") for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        manifest = spark.createDataFrame(token_files.write_tokens(docs(spark, some), f"file://{tmp_path}/t").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert manifest.agg(F.max("n_docs")).first()[0] < 300
+    got = token_files.read_tokens(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 300 + [5] * 300
+    assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got) == sorted([*whole(enc, t), 2] for _, t, *_ in some)
