@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import EPS
+from ..functions.vectors import EPS, as_distribution, entropy, softmax
 
 BATCH, CLASSES, SCALE, SPLIT = 25, 10, 100.0, 0.6
 
@@ -84,6 +84,21 @@ def with_outputs(obs: DataFrame, heads: np.ndarray, with_z: bool = True) -> Data
     return obs.mapInPandas(score, schema)
 
 
+def samples(df: DataFrame, step: str, embedding: str, logits: str | None = None, probs: str | None = None) -> DataFrame:
+    """Any table with model outputs as samples: ``step, sample, z, probs, h``.
+
+    Outputs are given as ``logits`` or as ``probs``; a row without an embedding or without
+    outputs is no sample.  ``sample`` tells the rows of a step apart by their content.
+    """
+    if (logits is None) == (probs is None):
+        raise ValueError("give logits or probs")
+    z = F.col(embedding).cast("array<double>")
+    raw = F.col(logits if probs is None else probs).cast("array<double>")
+    p = softmax(raw) if probs is None else as_distribution(raw)
+    out = df.where(F.col(embedding).isNotNull() & raw.isNotNull()).select(F.col(step).cast("long").alias("step"), z.alias("z"), p.alias("probs"))
+    return out.select("step", F.xxhash64("z", "probs").alias("sample"), "z", "probs", entropy(F.col("probs")).alias("h"))
+
+
 def event_stream(spark: SparkSession, sf_dir: str, seconds: int = 21_600) -> DataFrame:
     """``metric, step, value``: mean event value of each type in time buckets; every seventeenth event count gives NaN, as a detector that did not report."""
     ev = table(spark, sf_dir, "events")

@@ -535,6 +535,46 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == sorted((r["metric"], r["step"], round(r["value"], 9)) for r in W.tumbling_mean(spark.createDataFrame(rows, schema), 7).collect())
 
 
+def test_watching_live_equals_batches_out_of_order(spark, tmp_path):
+    from driftloom.config import ThresholdConfig
+    from driftloom.streaming import monitor as S
+
+    r = random.Random(5)
+    rows = [(m, i, math.nan if r.random() < 0.05 else r.gauss(6 if 60 < i < 90 else 0, 1)) for m in ("a", "b", "c") for i in range(160)]
+    late = sorted(rows, key=lambda x: x[1] + r.randint(0, 6))
+    schema = "metric string, step long, value double"
+    for k in range(8):
+        spark.createDataFrame(late[k * 60 : k * 60 + 60], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    limits = {"a": ThresholdConfig(4.0, "page_hinkley", 0.5, 1, 2), "b": ThresholdConfig(4.0, "cusum", 0.5)}
+    live = S.watch(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), limits, 4, 3, lag=7, targets={"b": 0.25})
+    S.start(live, X.TableSink(f"{tmp_path}/out"), f"{tmp_path}/c", availableNow=True).awaitTermination(180)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    end = {m: max(i for n, i, _ in rows if n == m) - 7 for m in "abc"}
+    of = lambda kind: sorted((x["metric"], x["step"], x["value"] and round(x["value"], 9)) for x in got.where(F.col("kind") == kind).collect())
+    table = spark.createDataFrame([x for x in rows if x[1] <= end[x[0]]], schema)
+    same = lambda df, c: sorted((x["metric"], x["step"], round(x[c], 9)) for x in df.collect())
+    assert of("rolling") == same(W.rolling_mean(table, 4), "rolling")
+    windows = W.tumbling_mean(table, 4)
+    assert of("window") == same(windows, "value")
+    tests = spark.createDataFrame([("a", "page_hinkley", 4.0, 0.5, 1, 2, None), ("b", "cusum", 4.0, 0.5, 1, 0, 0.25)], "metric string, method string, threshold double, delta double, debounce int, cooldown int, target double")
+    alarms = C.trace(windows.select("metric", "step", "value"), tests).where("alarm")
+    assert of("alarm") == same(alarms, "value") and len(of("alarm")) > 1
+    state = W.latch(table, alarms, 4, 3).select(F.col("metric").alias("detector"), "step", "active")
+    want = sorted((x["detector"], x["step"], x["active"]) for x in W.edges(state).collect())
+    assert sorted([(m, i, True) for m, i, _ in of("on")] + [(m, i, False) for m, i, _ in of("off")]) == want and want
+
+
+def test_any_table_as_samples(spark):
+    from driftloom.sources import adapters as A
+
+    df = spark.createDataFrame([(1, [1.0, 2.0], [0.0, 1.0, 2.0]), (1, None, [0.0, 0.0, 0.0]), (2, [0.5, 0.5], None), (2, [0.0, 1.0], [3.0, 3.0, 3.0])], "batch int, emb array<float>, out array<float>")
+    got = A.samples(df, "batch", "emb", logits="out").orderBy("step").collect()
+    assert [r["step"] for r in got] == [1, 2] and np.allclose(got[1]["probs"], 1 / 3) and math.isclose(got[1]["h"], math.log(3), rel_tol=1e-9)
+    assert np.allclose(A.samples(df.where("batch = 1"), "batch", "emb", probs="out").first()["probs"], [0, 1 / 3, 2 / 3])
+    with pytest.raises(ValueError):
+        A.samples(df, "batch", "emb")
+
+
 def test_every_query_has_sql_or_a_reason():
     import __spark_entry__ as E
 
