@@ -76,6 +76,16 @@ def test_classes(spark, monkeypatch, run, block, ids):
     assert sorted(got, key=repr) == sorted(brute_classes(some), key=repr)
 
 
+def test_a_long_chain_of_near_copies(spark, monkeypatch):
+    """Neighbours in the chain link, those further apart don't: blocks and their first one do not connect it at once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    r = random.Random(3)
+    ws = [f"w{r.randrange(10**6)}" for _ in range(700)]
+    chain = [(i, " ".join(ws[5 * i : 5 * i + 100])) for i in range(80) if i not in (30, 31, 32)]
+    got = [tuple(x) for x in ngram_join.jaccard_classes(docs(spark, [(i, t, "", "", 0, "", "", "", "") for i, t in chain])).collect()]
+    assert sorted(got) == sorted(brute_classes(chain)) and len({c for *_, c in got}) == 2
+
+
 def test_links_with_and_without_a_split():
     r = random.Random(9)
     sets = [np.unique(s) for s in shingles.shingle_sets([t for _, t in near(3, 50, 40, 8)])]
