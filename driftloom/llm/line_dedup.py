@@ -11,7 +11,7 @@ same order (lower-cased; white space does not count).  Lines without words stay.
    rarity (any order gives the same links).  It is read as a scalar subquery, so that no
    plan holds it.
 2. A second scan makes each line's set in that order, its prefix, and a parity word (bit i
-   is the parity of the tokens that hash to i; four words for long sets), and keeps those, not the sets.  Of equal
+   is the parity of the tokens that hash to i; two words for long sets), and keeps those, not the sets.  Of equal
    sets the first line stands for all; its later lines go.
 3. Prefix tokens are joined with each other under length, positional and parity filter
    (the latter bounds the symmetric difference from below).  It is a semi-join: a set
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 PERCENT, MIN_WORDS = 80, 5
-CELL_BITS = 20
+CELL_BITS = 18
 #: From this size on one parity word says little, since too many tokens may differ.
 WIDE = 96
 #: Ids or removed lines (some 50 bytes each) are broadcast up to this many, else joined by a shuffle.
@@ -54,12 +54,12 @@ def cell_of(token: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str) -> DataFrame:
-    """One row, ``cells``: for each cell the logarithm of the count of its tokens in quarters of an octave, at most 126; 1 MB whatever the input."""
+    """One row, ``cells``: for each cell the logarithm of the count of its tokens in quarters of an octave, at most 126, in a long's top byte; 2 MB whatever the input."""
     spark = docs.sparkSession
     word = docs.select(F.explode(F.split(F.replace(plain(F.col(text)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = word.groupBy(cell_of(F.xxhash64("w")).alias("cell")).count()
-    step = F.least(F.lit(126), F.floor(4 * F.log2("count") + 1)).cast("tinyint")
-    every = spark.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left").select(F.col("id").alias("cell"), F.coalesce(step, F.lit(0).cast("tinyint")).alias("step"))
+    step = F.shiftleft(F.least(F.lit(126), F.floor(4 * F.log2("count") + 1)).cast("long"), 56)
+    every = spark.range(1 << CELL_BITS).join(counts, F.col("id") == F.col("cell"), "left").select(F.col("id").alias("cell"), F.coalesce(step, F.lit(0).cast("long")).alias("step"))
     # parts of 1024 cells, then the parts in order: fixed sizes
     part = every.groupBy(F.shiftright("cell", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("cell", "step"))).alias("s"))
     part = part.select("part", F.transform("s", lambda x: x["step"]).alias("s"))
@@ -70,8 +70,7 @@ def rarity(docs: DataFrame, text: str) -> DataFrame:
 def ranked(line: Column, cells: Column) -> Column:
     """A plain line's distinct words, rarest first: the cell's byte and 56 bits of the word's hash in one long."""
     hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    byte = lambda t: F.coalesce(F.get(cells, cell_of(t)), F.lit(0).cast("tinyint")).cast("long")
-    token = lambda t: F.shiftleft(byte(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    token = lambda t: F.coalesce(F.get(cells, cell_of(t)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(t, 8))
     return F.sort_array(F.transform(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))), token))
 
 
@@ -84,17 +83,18 @@ def parity(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
 
 
-def parities(tokens: Column) -> Column:
-    """Four parity words, a token counting in one of them by two more of its bits; null for less than ``WIDE`` tokens."""
-    part = lambda i: F.filter(tokens, lambda t: t.bitwiseAND(F.lit(192)) == 64 * i)
-    return F.when(F.size(tokens) >= WIDE, F.array(*[parity(part(i)) for i in range(4)]))
+def parities(tokens: Column) -> tuple[Column, Column]:
+    """A parity word for sets of less than ``WIDE`` tokens, two for larger ones, where a token counts in one of them; the other is null."""
+    part = lambda i: F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64)) == 64 * i)
+    large = F.size(tokens) >= WIDE
+    return F.when(~large, parity(tokens)), F.when(large, F.array(*[parity(part(i)) for i in range(2)]))
 
 
 def differ(a: str, b: str) -> Column:
-    """Tokens that stand in one of two sets only, at least."""
+    """Tokens that stand in one of two sets only, at least; 0 where the sets have words of different kinds."""
     x, y = F.col(f"{a}.wide"), F.col(f"{b}.wide")
-    wide = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, 4)), F.bit_count(x[0].bitwiseXOR(y[0])))
-    return F.coalesce(wide, F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))))
+    wide = F.bit_count(x[0].bitwiseXOR(y[0])) + F.bit_count(x[1].bitwiseXOR(y[1]))
+    return F.coalesce(F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))), wide, F.lit(0))
 
 
 def short(token: Column) -> Column:
@@ -140,7 +140,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     if short_lines:
         key = F.when(n >= MIN_WORDS, key).otherwise(as_written(F.col("line")))
     prefix = F.transform(F.slice("r", F.lit(1), prefix_size(n)), short)
-    lines = lines.select("doc", "hash", "at", key.alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), parities(F.col("r")).alias("wide"), F.when(n >= MIN_WORDS, prefix).alias("prefix"))
+    one, many = parities(F.col("r"))
+    lines = lines.select("doc", "hash", "at", key.alias("key"), n.alias("n"), one.alias("parity"), many.alias("wide"), F.when(n >= MIN_WORDS, prefix).alias("prefix"))
     # filtered as it is read, since a filter before would make every set twice
     lines = common.stored(lines, "lines")
     if not short_lines:

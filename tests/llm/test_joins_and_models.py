@@ -364,3 +364,25 @@ def test_isotonic_by_brute_force():
             want = np.maximum.accumulate([(good[p].sum() + 0.5 * y.mean()) / (count[p].sum() + 0.5) for p in pools])
             knots, values = toxicity.isotonic(raw, y)
             assert np.allclose(np.interp(at, knots, values), want)
+
+
+def test_queries_run_and_equal_their_sql(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    from driftloom.llm import queries
+
+    path = Path("/root/testdata/sf0.001")
+    if not path.exists():
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    for table in ("documents", "labels", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got = queries.QUERIES[name](spark, str(path))
+        want = con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns), name
+        columns = sorted(got.columns)
+        rows_ = lambda found: sorted((tuple(repr(x) for x in r) for r in found))
+        assert rows_(tuple(r[c] for c in columns) for r in got.collect()) == rows_(tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), name
