@@ -4,7 +4,8 @@
    sequences of their own; what is left of it, under a window, is its remainder.  The
    ids go to the shared folder, with each task's counts of documents for each token.
 2. Document frequencies of the whole corpus (a row for each token id at most) give BM25's
-   idf.  Remainders are numbered from the longest on and stored in blocks of ``SHARD``.
+   idf.  Remainders are numbered from the longest on and stored in blocks of ``SHARD``, each
+   with its inverted index.
 3. Packing goes in rounds.  A round's seeds are the longest unused remainders, all tokens
    of a seed are its query, and every block scores every seed, so that a seed's list holds
    the best unused remainders of the whole corpus.  Then seeds are served in order: unused
@@ -32,12 +33,18 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder, tokenizer_path
 
-WINDOW, SHARD = 1024, 1024
+WINDOW, SHARD = 1024, 2048
 K1, B = 1.2, 0.75
 #: A round has at most ``SEEDS`` seeds, their lists ``LIST`` entries at first and ``ASKED`` in all; longer lists mean fewer seeds.
 SEEDS, LIST, ASKED = 2048, 64, 1 << 17
-SLICE, HELD, DENSE, PAIRS = 128, 1 << 20, 1024, 1 << 21
+SLICE, HELD, DENSE, PAIRS = 128, 1 << 20, 4096, 1 << 20
+#: Tokens that one pair of ``SPARSE`` shares are scored by a matrix product: a hundred times faster than pair by pair.
+SPARSE = 1024
+#: Remainders of a block that come into most lists at the same time.
+WIDE = 128
 REST = (1 << 32) - 1
+#: Blocks of a task that asks.
+BLOCKS = 16
 #: kind 0: a full window, 1: a remainder, 2: documents (n) that hold a token (start)
 ENCODED = "kind int, doc_id long, start long, doc_tokens long, sequence_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -126,8 +133,8 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
     return out
 
 
-def _blocks(shard: int):
-    """Remainders in the order of their rows, as one row for each ``shard`` of them."""
+def _blocks(shard: int, idf, mean: float, width: int):
+    """Remainders in the order of their rows, as one row for each ``shard`` of them, with their index: token, remainder and impact."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -145,8 +152,11 @@ def _blocks(shard: int):
         null = np.array([r.doc_id is pd.NA for r in rows])
         known = np.array([0 if r.doc_id is pd.NA else r.doc_id for r in rows], "<i8")
         place = np.array([(r.start, r.doc_tokens) for r in rows], "<i8")
-        sizes = np.array([r.n for r in rows], "<i4")
-        return pd.DataFrame({"block": [block], "sizes": [sizes.tobytes()], "null": [null.tobytes()], "docs": [known.tobytes()], "place": [place.tobytes()], "ids": [b"".join(r.ids for r in rows)]})
+        sizes, ids = np.array([r.n for r in rows], "<i4"), b"".join(r.ids for r in rows)
+        term, owner, impact = impacts(np.frombuffer(ids, f"<u{width}"), np.repeat(np.arange(len(rows)), sizes), sizes, mean, idf.value)
+        # whole 64ths of an impact stay far below 2**16: at most 64 * 2.2 * idf
+        index = {"terms": term.astype(f"<u{width}"), "owners": owner.astype("<u4" if shard > 1 << 16 else "<u2"), "impacts": impact.astype("<u2")}
+        return pd.DataFrame({"block": [block], "sizes": [sizes.tobytes()], "null": [null.tobytes()], "docs": [known.tobytes()], "place": [place.tobytes()], "ids": [ids], **{k: [v.tobytes()] for k, v in index.items()}})
 
     return make
 
@@ -166,15 +176,21 @@ def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
 
 
+def groups(term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, where each begins and how often it stands there."""
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    return term[first], first, np.diff(np.append(first, len(term)))
+
+
 def score_all(q_term: np.ndarray, q_owner: np.ndarray, n_q: int, term: np.ndarray, owner: np.ndarray, impact: np.ndarray, n: int) -> np.ndarray:
-    """Scores of all queries (distinct tokens, sorted by token) against all of a block's remainders."""
-    terms, first, count = np.unique(term, return_index=True, return_counts=True)
-    q_terms, q_first, q_count = np.unique(q_term, return_index=True, return_counts=True)
+    """Scores of all queries (distinct tokens) against all of a block's remainders; both are sorted by token."""
+    terms, first, count = groups(term)
+    q_terms, q_first, q_count = groups(q_term)
     both, at, q_at = np.intersect1d(terms, q_terms, assume_unique=True, return_indices=True)
     # tokens of many pairs as a matrix product (whole numbers below 2**24: exact), the others pair by pair
     pairs = count[at] * q_count[q_at]
     dense = np.argsort(-pairs, kind="stable")[:DENSE]
-    dense = dense[pairs[dense] * 16 > n * n_q]
+    dense = dense[pairs[dense] * SPARSE > n * n_q]
     rare = np.setdiff1d(np.arange(len(both)), dense)
     left, right = np.zeros((n_q, len(dense)), np.float32), np.zeros((len(dense), n), np.float32)
     where = _spans(q_first[q_at[dense]], q_count[q_at[dense]])
@@ -184,15 +200,14 @@ def score_all(q_term: np.ndarray, q_owner: np.ndarray, n_q: int, term: np.ndarra
     score = (left @ right).ravel()
     upto = np.cumsum(pairs[rare])
     cut = 0
-    while cut < len(rare):  # some million pairs at a time
+    while cut < len(rare):  # some pairs at a time
         to = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + PAIRS, side="right")))
         some, cut = rare[cut:to], to
         c, qc = count[at[some]], q_count[q_at[some]]
         posting = _spans(first[at[some]], c)
         each = np.repeat(qc, c)  # a posting meets all queries of its token
         asks = _spans(np.repeat(q_first[q_at[some]], c), each)
-        flat = q_owner[asks] * n + np.repeat(owner[posting], each)
-        score += np.bincount(flat, weights=np.repeat(impact[posting], each), minlength=n_q * n).astype(np.float32)
+        np.add.at(score, q_owner[asks] * n + np.repeat(owner[posting], each), np.repeat(impact[posting], each).astype(np.float32))
     return score.reshape(n_q, n)
 
 
@@ -200,25 +215,49 @@ def best_keys(keys: np.ndarray, most: int) -> np.ndarray:
     return keys if keys.shape[1] <= most else np.partition(keys, keys.shape[1] - most, axis=1)[:, -most:]
 
 
-def _ask(state, idf, mean: float, width: int):
+def bettered(best: np.ndarray | None, score: np.ndarray, seeds: np.ndarray, number: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` best keys (score, then place after the seed) of each seed among those held and a block's remainders."""
+
+    def keys(q: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return (score[q, i].astype(np.int64) << 32) | (REST - ((number[i] - seeds[q]) & REST))
+
+    n_q, n = score.shape
+    if best is not None and best.shape[1] == most:
+        # what can come in: few of a block, once the lists have filled
+        q, i = np.divmod(np.flatnonzero(score >= (best.min(1) >> 32).astype(np.float32)[:, None]), n)
+        size = np.bincount(q, minlength=n_q)
+        if len(q) < n_q * n // 8:
+            first, found = np.cumsum(size) - size, keys(q, i)
+            wide = size > WIDE  # seeds that hardly any remainder resembles
+            some = ~wide[q]
+            more = np.full((n_q, WIDE), -1, np.int64)
+            more[q[some], (np.arange(len(q)) - np.repeat(first, size))[some]] = found[some]
+            out = best_keys(np.concatenate([best, more], 1), most)
+            for r in np.flatnonzero(wide).tolist():
+                out[r] = best_keys(np.concatenate([best[r], found[first[r] : first[r] + size[r]]])[None], most)[0]
+            return out
+    every = best_keys(keys(np.arange(n_q)[:, None], np.arange(n)[None, :]), most)
+    return every if best is None else best_keys(np.concatenate([best, every], 1), most)
+
+
+def _ask(state):
     """A task's best remainders for each seed: keys of score and place after the seed."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = state.value
-        seeds, most, best = s["seeds"], s["most"], None
+        seeds, most, width, best = s["seeds"], s["most"], s["width"], None
         for pdf in batches:
             for row in pdf.itertuples():
-                sizes = np.frombuffer(row.sizes, "<i4").astype(np.int64)
-                live = np.unpackbits(s["live"][row.block], count=len(sizes)).astype(bool)
+                impact = np.frombuffer(row.impacts, "<u2")
+                owner = np.frombuffer(row.owners, f"<u{len(row.owners) // max(1, len(impact))}")
+                live = np.unpackbits(s["live"][row.block], count=s["sizes"][row.block]).astype(bool)
                 if not live.any():
                     continue
-                term, own = np.frombuffer(row.ids, f"<u{width}"), np.repeat(live, sizes)
-                owner = np.repeat(np.arange(live.sum()), sizes[live])
-                score = score_all(s["term"], s["owner"], len(seeds), *impacts(term[own], owner, sizes[live], mean, idf.value), int(live.sum()))
-                number = s["base"][row.block] + np.flatnonzero(live)
-                after = (number[None, :] - seeds[:, None]) & REST
-                keys = best_keys((score.astype(np.int64) << 32) | (REST - after), most)
-                best = keys if best is None else best_keys(np.concatenate([best, keys], 1), most)
+                own = live[owner]
+                at = np.cumsum(live) - 1
+                term = np.frombuffer(row.terms, f"<u{width}")[own].astype(np.int64)
+                score = score_all(s["term"], s["owner"], len(seeds), term, at[owner[own]], impact[own].astype(np.float32), int(live.sum()))
+                best = bettered(best, score, seeds, s["base"][row.block] + np.flatnonzero(live), most)
         if best is not None:
             for a in range(0, len(seeds), SLICE):
                 yield pd.DataFrame({"slice": [a], "keys": [best[a : a + SLICE].tobytes()], "k": [best.shape[1]]})
@@ -256,7 +295,7 @@ def serve(seeds: np.ndarray, lists: list[np.ndarray], whole: bool, size: np.ndar
     return out
 
 
-def _rounds(blocks: DataFrame, idf, width: int, window: int) -> DataFrame:
+def _rounds(blocks: DataFrame, width: int, window: int) -> DataFrame:
     """``block, pieces`` (binary: place in the block, first token, number of tokens, sequence, offset), several rows a block."""
     spark = blocks.sparkSession
     path = common.work_path(spark, "sequences")
@@ -264,7 +303,7 @@ def _rounds(blocks: DataFrame, idf, width: int, window: int) -> DataFrame:
     names = [b for b, _ in found]
     base = np.cumsum([0, *[len(s) for _, s in found]])
     size = np.concatenate([np.zeros(0, np.int32), *[s for _, s in found]])
-    begin, mean = np.zeros(len(size), np.int32), float(size.mean()) if len(size) else 1.0
+    begin = np.zeros(len(size), np.int32)
     sequence, held, n_held, most, written = 0, [], 0, LIST, False
 
     def flush() -> None:
@@ -283,15 +322,15 @@ def _rounds(blocks: DataFrame, idf, width: int, window: int) -> DataFrame:
         seeds = seeds[np.lexsort((seeds, -left[seeds]))]
         at = np.searchsorted(base, seeds, side="right") - 1
         texts, of = {}, dict(zip(names, base.tolist(), strict=False))
-        for r in blocks.where(F.col("block").isin([names[b] for b in np.unique(at)])).mapInPandas(_texts({names[b]: np.sort(seeds[at == b] - base[b]) for b in np.unique(at)}, width), "block long, i int, ids binary").collect():
+        for r in blocks.select("block", "sizes", "ids").where(F.col("block").isin([names[b] for b in np.unique(at)])).mapInPandas(_texts({names[b]: np.sort(seeds[at == b] - base[b]) for b in np.unique(at)}, width), "block long, i int, ids binary").collect():
             texts[of[r["block"]] + r["i"]] = np.frombuffer(r["ids"], f"<u{width}")
         tokens = [np.unique(texts[s]).astype(np.int64) for s in seeds.tolist()]
         term, owner = np.concatenate(tokens), np.repeat(np.arange(len(seeds)), [len(t) for t in tokens])
         order = np.argsort(term, kind="stable")
         live = {b: np.packbits(left[base[k] : base[k + 1]] > 0) for k, b in enumerate(names)}
-        state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "term": term[order], "owner": owner[order], "live": live, "base": of})
+        state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term[order], "owner": owner[order], "live": live, "base": of, "sizes": {b: len(x) for b, x in found}})
         lists = {}
-        asked = blocks.select("block", "sizes", "ids").mapInPandas(_ask(state, idf, mean, width), "slice int, keys binary, k int")
+        asked = blocks.select("block", "terms", "owners", "impacts").mapInPandas(_ask(state), "slice int, keys binary, k int")
         for r in asked.groupBy("slice").applyInPandas(_merge(most), "slice int, keys binary, k int").collect():
             keys = -np.sort(-np.frombuffer(r["keys"], np.int64).reshape(-1, r["k"]), axis=1)
             for i, row in enumerate(keys):
@@ -360,11 +399,13 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     width = enc.dtype.itemsize
     full = encoded.where("kind = 0").mapInPandas(_widen(width), PIECES)
     rest = encoded.where("kind = 1").select("doc_id", "start", "doc_tokens", "n", "ids")
+    n_rest, mean = rest.agg(F.count("*"), F.avg("n")).first()
     order = (F.col("n").desc(), F.xxhash64("ids"), F.col("doc_id"), F.col("start"))
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = rest.mapInPandas(_blocks(shard), "block long, sizes binary, null binary, docs binary, place binary, ids binary")
-    blocks = common.stored(blocks.repartition(2 * spark.sparkContext.defaultParallelism), "blocks")
-    pieces = _rounds(blocks, idf, width, window).join(blocks, "block")
+    blocks = rest.mapInPandas(_blocks(shard, idf, mean or 1.0, width), "block long, sizes binary, null binary, docs binary, place binary, ids binary, terms binary, owners binary, impacts binary")
+    # few blocks a task, since a task's Arrow batch holds them together
+    blocks = common.stored(blocks.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-n_rest // (BLOCKS * shard)))), "blocks")
+    pieces = _rounds(blocks, width, window).join(blocks.drop("terms", "owners", "impacts"), "block")
     return full.union(pieces.mapInPandas(_cut(width), PIECES))
 
 

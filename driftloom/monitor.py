@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import DETECTORS, Config
+from .config import Config
 from .operators import changepoint, detectors, windows
 from .operators.baseline import Baseline
 from .safety import Firewall, KillSwitch
@@ -211,4 +211,4 @@ def build_monitor(baseline: Baseline, config: Config, max_batch: int = 64, sink:
     return Monitor(baseline, config, max_batch, sink, LoggingSink() if alert_sink is None else alert_sink, **more)
 
 
-__all__ = ["DETECTORS", "Monitor", "Report", "build_monitor", "drains", "reset_edges"]
+__all__ = ["Monitor", "Report", "build_monitor", "drains", "reset_edges"]

@@ -173,3 +173,21 @@ def test_many_rows_of_one_id_are_split(spark, enc, tmp_path):
     got = token_files.read_tokens(manifest).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None] * 300 + [5] * 300
     assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got) == sorted([*whole(enc, t), 2] for _, t, *_ in some)
+
+
+def test_lists_keep_the_best(monkeypatch):
+    r = np.random.default_rng(7)
+    monkeypatch.setattr(packing, "WIDE", 4)
+    for _ in range(20):
+        n_q, most, base, best = 9, 6, 0, None
+        seeds, whole = np.sort(r.integers(0, 500, n_q)), []
+        for n in (3, 50, 80, 1, 60, 70):
+            score = r.integers(0, 12, (n_q, n)).astype(np.float32) * (r.random((n_q, 1)) < 0.8)
+            best = packing.bettered(best, score, seeds, base + np.arange(n), most)
+            whole.append(score)
+            base += n
+        score = np.concatenate(whole, 1)
+        for q in range(n_q):
+            want = sorted(range(base), key=lambda i: (-score[q, i], (i - seeds[q]) % (1 << 32)))[:most]
+            got = (seeds[q] + (packing.REST - (-np.sort(-best[q]) & packing.REST))) & packing.REST
+            assert got.tolist() == want
