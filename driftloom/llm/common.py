@@ -25,6 +25,20 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """A task's batches, after which its worker, which lives on, gives freed memory back to the system."""
+    yield from batches
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator, most: int = 1000) -> Iterator:
     """Batches of at most ``most`` rows, so that what is made of them stays small."""
     for pdf in batches:

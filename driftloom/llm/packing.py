@@ -330,7 +330,7 @@ def _rounds(blocks: DataFrame, width: int, window: int) -> DataFrame:
         live = {b: np.packbits(left[base[k] : base[k + 1]] > 0) for k, b in enumerate(names)}
         state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term[order], "owner": owner[order], "live": live, "base": of, "sizes": {b: len(x) for b, x in found}})
         lists = {}
-        asked = blocks.select("block", "terms", "owners", "impacts").mapInPandas(_ask(state), "slice int, keys binary, k int")
+        asked = blocks.select("block", "terms", "owners", "impacts").mapInPandas(lambda b, f=_ask(state): common.tidy(f(b)), "slice int, keys binary, k int")
         for r in asked.groupBy("slice").applyInPandas(_merge(most), "slice int, keys binary, k int").collect():
             keys = -np.sort(-np.frombuffer(r["keys"], np.int64).reshape(-1, r["k"]), axis=1)
             for i, row in enumerate(keys):
@@ -389,7 +389,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     path = path or tokenizer_path()
     enc = encoder(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    encoded = common.stored(rows.mapInPandas(_encode(path, end_id, window), ENCODED), "encoded")
+    encoded = common.stored(rows.mapInPandas(lambda b, f=_encode(path, end_id, window): common.tidy(f(b)), ENCODED), "encoded")
     # a row for each token id: bounded by the vocabulary
     counts = {r[0]: r[1] for r in encoded.where("kind = 2").groupBy("start").agg(F.sum("n")).collect()}
     n = counts.pop(-1, 0)
@@ -402,11 +402,11 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     n_rest, mean = rest.agg(F.count("*"), F.avg("n")).first()
     order = (F.col("n").desc(), F.xxhash64("ids"), F.col("doc_id"), F.col("start"))
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = rest.mapInPandas(_blocks(shard, idf, mean or 1.0, width), "block long, sizes binary, null binary, docs binary, place binary, ids binary, terms binary, owners binary, impacts binary")
+    blocks = rest.mapInPandas(lambda b, f=_blocks(shard, idf, mean or 1.0, width): common.tidy(f(b)), "block long, sizes binary, null binary, docs binary, place binary, ids binary, terms binary, owners binary, impacts binary")
     # few blocks a task, since a task's Arrow batch holds them together
     blocks = common.stored(blocks.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-n_rest // (BLOCKS * shard)))), "blocks")
     pieces = _rounds(blocks, width, window).join(blocks.drop("terms", "owners", "impacts"), "block")
-    return full.union(pieces.mapInPandas(_cut(width), PIECES))
+    return full.union(pieces.mapInPandas(lambda b, f=_cut(width): common.tidy(f(b)), PIECES))
 
 
 def _widen(width: int):

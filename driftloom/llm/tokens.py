@@ -17,9 +17,9 @@ from array import array
 import numpy as np
 
 #: Remembered parts; when full, the memory starts anew.
-MOST = 4_000_000
+MOST = 2_000_000
 #: Bytes of text that are looked at together.
-STRIDE = 2 << 20
+STRIDE = 1 << 20
 #: Parts of more bytes are never remembered.
 LONG = 256
 BASE = 0x9E3779B97F4A7C15 | 1

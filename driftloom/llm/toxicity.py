@@ -252,7 +252,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str =
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in common.tidy(batches):
             yield pd.Series(shared.value.score(texts.tolist()), dtype="float64")
 
     return docs.withColumn(out, score(F.coalesce(F.col(text), F.lit(""))))
