@@ -389,7 +389,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     path = path or tokenizer_path()
     enc = encoder(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    encoded = common.stored(rows.mapInPandas(lambda b, f=_encode(path, end_id, window): common.tidy(f(b)), ENCODED), "encoded")
+    with common.small_batches(spark):
+        encoded = common.stored(rows.mapInPandas(lambda b, f=_encode(path, end_id, window): common.tidy(f(b)), ENCODED), "encoded")
     # a row for each token id: bounded by the vocabulary
     counts = {r[0]: r[1] for r in encoded.where("kind = 2").groupBy("start").agg(F.sum("n")).collect()}
     n = counts.pop(-1, 0)
@@ -404,8 +405,11 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = rest.mapInPandas(lambda b, f=_blocks(shard, idf, mean or 1.0, width): common.tidy(f(b)), "block long, sizes binary, null binary, docs binary, place binary, ids binary, terms binary, owners binary, impacts binary")
     # few blocks a task, since a task's Arrow batch holds them together
-    blocks = common.stored(blocks.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-n_rest // (BLOCKS * shard)))), "blocks")
-    pieces = _rounds(blocks, width, window).join(blocks.drop("terms", "owners", "impacts"), "block")
+    with common.small_batches(spark):
+        blocks = common.stored(blocks.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-n_rest // (BLOCKS * shard)))), "blocks")
+    with common.small_batches(spark, 4):
+        found = _rounds(blocks, width, window)
+    pieces = found.join(blocks.drop("terms", "owners", "impacts"), "block")
     return full.union(pieces.mapInPandas(lambda b, f=_cut(width): common.tidy(f(b)), PIECES))
 
 
