@@ -42,11 +42,9 @@ def tidy(batches: Iterator) -> Iterator:
     """A task's batches, after which its worker, which lives on, gives freed memory back to the system."""
     yield from batches
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
