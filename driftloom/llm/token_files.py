@@ -128,15 +128,9 @@ class EliasFano:
         return cls(n, bits, np.frombuffer(raw, np.uint8, low, at), np.frombuffer(raw, np.uint8, high, at + low)), at + low + high
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else uri.replace("file:", "file://", 1))
-
-
 def write_shard(uri: str, doc_ids: np.ndarray, n_null: int, sizes: np.ndarray, ids: list[bytes], width: int, end_id: int) -> None:
     """One file: ``doc_ids`` ascending, without the ``n_null`` null ones, that come first in ``sizes`` and ``ids``."""
-    files, path = _fs(uri)
+    files, path = common.file_system(uri)
     base = int(doc_ids[0]) if len(doc_ids) else 0
     # differences of 64-bit ids can need 64 bits, so they are taken unsigned
     known = EliasFano.of(doc_ids.astype(np.uint64) - np.uint64(base & (1 << 64) - 1)).to_bytes()
@@ -152,7 +146,7 @@ def write_shard(uri: str, doc_ids: np.ndarray, n_null: int, sizes: np.ndarray, i
 
 def read_shard(uri: str, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Documents of a shard in file order, some at a time: null flags, ids, starts in the shard, and token ids."""
-    files, path = _fs(uri)
+    files, path = common.file_system(uri)
     with files.open_input_stream(path) as src:
         n, n_null, base, width, names, ends, _ = _front(src, uri)
         at, start = 0, 0
@@ -173,7 +167,7 @@ def read_shard(uri: str, block: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.
 
 def read_document(uri: str, i: int) -> np.ndarray:
     """Token ids of a shard's i-th document, found by its offset; no other document is read."""
-    files, path = _fs(uri)
+    files, path = common.file_system(uri)
     with files.open_input_file(path) as src:
         n, _, _, width, _, ends, ids = _front(src, uri)
         if not 0 <= i < n:

@@ -386,3 +386,45 @@ def test_queries_run_and_equal_their_sql(spark):
         columns = sorted(got.columns)
         rows_ = lambda found: sorted((tuple(repr(x) for x in r) for r in found))
         assert rows_(tuple(r[c] for c in columns) for r in got.collect()) == rows_(tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), name
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, gateway = sc._jsc.sc().statusStore(), sc._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_large_family_is_shuffled_once(spark, monkeypatch):
+    """However many blocks a family has: copies for each block made the shuffle grow as the square of a family."""
+    some = near(11, 300, 300, 40)
+    table = docs(spark, [(i, t, "", "", 0, "", "", "", "") for i, t in some]).cache()
+    table.count()
+    took, got = [], []
+    for block in (1000, 10):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        before = shuffled_bytes(spark)
+        got.append(sorted(tuple(r) for r in ngram_join.jaccard_classes(table).collect()))
+        took.append(shuffled_bytes(spark) - before)
+    assert got[0] == got[1] == sorted(brute_classes(some))
+    assert took[1] < 2 * took[0]
+
+
+@pytest.mark.parametrize(("hubs", "tiny"), [(64, 8), (0, 0), (2, 10**6)])
+@pytest.mark.parametrize("split", [None, 1, 45, 110])
+def test_spanning_links_connect_what_all_links_connect(monkeypatch, hubs, tiny, split):
+    monkeypatch.setattr(ngram_join, "HUBS", hubs)
+    monkeypatch.setattr(ngram_join, "TINY", tiny)
+    texts = [t for seed in (3, 4) for _, t in near(seed, 45, 70, 12)] + [t for _, t in near(5, 21, 8, 3)]
+    random.Random(2).shuffle(texts)
+    sets = shingles.shingle_sets(dict.fromkeys(texts))
+    m = len(sets)
+    cells = np.zeros(1 << ngram_join.CELL_BITS, np.uint8)
+    share = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    links = {(a, b) for a in range(m) for b in range(a + 1, m) if share(a, b) and (split is None or a < split <= b)}
+    found = ngram_join.spanning(sets, cells, 80, split)
+    assert {(min(p), max(p)) for p in found} <= links
+    want = ngram_join.forest(np.array(sorted(links), np.int64).reshape(-1, 2), m)
+    assert len(found) == len(want) == len(ngram_join.forest(np.array(found + want, np.int64).reshape(-1, 2), m))
