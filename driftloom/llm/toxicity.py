@@ -9,8 +9,9 @@ Features of a whole text: densities of both lexica, how near their words stand t
 second person, capitals, punctuation, and obfuscated words.  Labels, language, source
 and id are never features.
 
-The fit runs on the driver over at most ``MAX_ROWS`` labelled documents, those with the
-smallest hash of the id; scoring reads every document once and shuffles nothing.
+The fit runs in one task over at most ``MAX_ROWS`` labelled documents, those with the
+smallest hash of the id, and only the model goes to the driver; scoring reads every
+document once and shuffles nothing.
 
 Defined results: null and empty texts get the score of a text without any words; of
 repeated labels of an id the highest counts; without any labels of either kind the
@@ -20,6 +21,7 @@ score is the share of toxic labels (0 without labels); repeated rows get equal s
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -242,8 +244,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     # at most max_rows ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.pmod(F.xxhash64(F.first("doc_id"), F.lit(7)), F.lit(FOLDS)).alias("h"))
-    got = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return fit_rows([r["text"] or "" for r in got], np.array([r["toxic"] for r in got], bool), np.array([r["h"] for r in got], int))
+    with common.small_batches(docs.sparkSession):
+        told = rows.repartition(1).mapInPandas(lambda b: common.tidy(_learn(b)), "model binary").collect()
+    return pickle.loads(told[0]["model"]) if told else fit_rows([], np.zeros(0, bool), np.zeros(0, int))
+
+
+def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    got = sorted((r for pdf in batches for r in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["toxic"].tolist(), pdf["h"].tolist(), strict=True)), key=lambda r: r[0])
+    model = fit_rows([t or "" for _, t, _, _ in got], np.array([y for _, _, y, _ in got], bool), np.array([h for *_, h in got], int))
+    yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -428,3 +428,12 @@ def test_spanning_links_connect_what_all_links_connect(monkeypatch, hubs, tiny,
     assert {(min(p), max(p)) for p in found} <= links
     want = ngram_join.forest(np.array(sorted(links), np.int64).reshape(-1, 2), m)
     assert len(found) == len(want) == len(ngram_join.forest(np.array(found + want, np.int64).reshape(-1, 2), m))
+
+
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver, whose memory other stages have filled, gets the model and no texts."""
+    table = docs(spark, [(i, f"you idiot scum {i}" if i % 2 else f"a calm text {i}", "", "", 0, "", "", "", "") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit_rows", None)
+    model = toxicity.fit(table, labels)
+    assert model.trees is not None and model.score(["you idiot"])[0] > model.score(["a calm text"])[0]
