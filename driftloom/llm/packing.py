@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, tokenizer_path
+from .tokens import encoder, release_encoders, tokenizer_path
 
 WINDOW, SHARD = 1024, 2048
 K1, B = 1.2, 0.75
@@ -42,6 +42,8 @@ SLICE, HELD, DENSE, PAIRS = 128, 1 << 20, 4096, 1 << 20
 SPARSE = 1024
 #: Remainders of a block that come into most lists at the same time.
 WIDE = 128
+#: Seeds whose lists are bettered together, so that what this takes stays small.
+TOGETHER = 256
 REST = (1 << 32) - 1
 #: Blocks of a task that asks.
 BLOCKS = 16
@@ -244,6 +246,7 @@ def _ask(state):
     """A task's best remainders for each seed: keys of score and place after the seed."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_encoders()
         s = state.value
         seeds, most, width, best = s["seeds"], s["most"], s["width"], None
         for pdf in batches:
@@ -257,7 +260,8 @@ def _ask(state):
                 at = np.cumsum(live) - 1
                 term = np.frombuffer(row.terms, f"<u{width}")[own].astype(np.int64)
                 score = score_all(s["term"], s["owner"], len(seeds), term, at[owner[own]], impact[own].astype(np.float32), int(live.sum()))
-                best = bettered(best, score, seeds, s["base"][row.block] + np.flatnonzero(live), most)
+                number = s["base"][row.block] + np.flatnonzero(live)
+                best = np.concatenate([bettered(None if best is None else best[a : a + TOGETHER], score[a : a + TOGETHER], seeds[a : a + TOGETHER], number, most) for a in range(0, len(seeds), TOGETHER)])
         if best is not None:
             for a in range(0, len(seeds), SLICE):
                 yield pd.DataFrame({"slice": [a], "keys": [best[a : a + SLICE].tobytes()], "k": [best.shape[1]]})
@@ -330,7 +334,7 @@ def _rounds(blocks: DataFrame, width: int, window: int) -> DataFrame:
         live = {b: np.packbits(left[base[k] : base[k + 1]] > 0) for k, b in enumerate(names)}
         state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term[order], "owner": owner[order], "live": live, "base": of, "sizes": {b: len(x) for b, x in found}})
         lists = {}
-        asked = blocks.select("block", "terms", "owners", "impacts").mapInPandas(_ask(state), "slice int, keys binary, k int")
+        asked = blocks.select("block", "terms", "owners", "impacts").mapInPandas(lambda b, f=_ask(state): common.tidy(f(b)), "slice int, keys binary, k int")
         for r in asked.groupBy("slice").applyInPandas(_merge(most), "slice int, keys binary, k int").collect():
             keys = -np.sort(-np.frombuffer(r["keys"], np.int64).reshape(-1, r["k"]), axis=1)
             for i, row in enumerate(keys):

@@ -202,3 +202,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def release_encoders() -> None:
+    """A worker that has no more to encode, but lives on, needs none."""
+    _encoders.clear()

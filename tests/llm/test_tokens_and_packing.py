@@ -191,3 +191,30 @@ def test_lists_keep_the_best(monkeypatch):
             want = sorted(range(base), key=lambda i: (-score[q, i], (i - seeds[q]) % (1 << 32)))[:most]
             got = (seeds[q] + (packing.REST - (-np.sort(-best[q]) & packing.REST))) & packing.REST
             assert got.tolist() == want
+
+
+def test_asking_needs_no_encoder_and_betters_lists_bit_by_bit(monkeypatch):
+    """Workers live on: what they remember of the texts, and keys of all seeds at once, filled an executor's memory."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from driftloom.llm import packing, tokens
+
+    r = np.random.default_rng(4)
+    blocks, base = [], {}
+    for b in range(3):
+        term, owner = np.divmod(np.unique(r.integers(0, 50 * 40, 600)), 40)
+        blocks.append({"block": b, "terms": term.astype("<u2").tobytes(), "owners": owner.astype("<u2").tobytes(), "impacts": r.integers(1, 90, len(term)).astype("<u2").tobytes()})
+        base[b] = 40 * b
+    q_term, q_owner = np.divmod(np.unique(r.integers(0, 50 * 20, 300)), 20)
+    live = {b: np.packbits(r.random(40) < 0.8) for b in range(3)}
+    state = SimpleNamespace(value={"seeds": np.arange(0, 100, 5), "most": 16, "width": 2, "term": q_term, "owner": q_owner, "live": live, "base": base, "sizes": dict.fromkeys(range(3), 40)})
+    found = []
+    for together in (1000, 3):
+        monkeypatch.setattr(packing, "TOGETHER", together, raising=False)
+        tokens.encoder(tokens.tokenizer_path())
+        (out,) = list(packing._ask(state)(iter([pd.DataFrame(blocks)])))
+        assert not tokens._encoders
+        found.append(np.sort(np.frombuffer(out["keys"].iloc[0], np.int64).reshape(-1, out["k"].iloc[0]), axis=1))
+    assert found[0].shape == (20, 16) and (found[0] == found[1]).all()
