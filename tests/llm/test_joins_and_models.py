@@ -399,7 +399,7 @@ def shuffled_bytes(spark):
 
 def test_a_large_family_is_shuffled_once(spark, monkeypatch):
     """However many blocks a family has: copies for each block made the shuffle grow as the square of a family."""
-    some = near(11, 300, 300, 40)
+    some = near(11, 300, 300, 8)
     table = docs(spark, [(i, t, "", "", 0, "", "", "", "") for i, t in some]).cache()
     table.count()
     took, got = [], []
