@@ -202,7 +202,8 @@ def _matched(docs: DataFrame, sets: DataFrame, posting: DataFrame, asked: DataFr
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
     """``docs`` without the lines that match earlier ones, plus ``n_lines`` (before) and ``removed`` (their numbers from 0)."""
-    gone = common.stored(later_matches(docs, id_col, text, short_lines), "removed_lines", few=True)
+    with common.scratch(docs.sparkSession):
+        gone = common.stored(later_matches(docs, id_col, text, short_lines), "removed_lines", few=True, keep=True)
     few = (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= 4 * BROADCAST_LINES
     columns = [c for c in docs.columns if c not in ("removed", "n_lines")]
     rows = docs.select(common.as_row(columns), F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own"))

@@ -437,3 +437,24 @@ def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit_rows", None)
     model = toxicity.fit(table, labels)
     assert model.trees is not None and model.score(["you idiot"])[0] > model.score(["a calm text"])[0]
+
+
+def test_tables_go_when_nothing_reads_them(spark, tmp_path, monkeypatch):
+    """What stages left in the shared folder added up to a disk's limit on large inputs."""
+    from pathlib import Path
+
+    from driftloom.llm import line_dedup, ngram_join
+
+    monkeypatch.setattr("driftloom.sources.shared.shared_dir", lambda s: f"file://{tmp_path}")
+    line = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(i, f"{line}\n{line} number {i // 2}") for i in range(12)], "doc_id long, text string")
+
+    def left() -> set[str]:
+        return {p.name.rsplit("-", 1)[0] for p in Path(tmp_path).iterdir()}
+
+    out = line_dedup.dedup_lines(docs, short_lines=True)
+    assert left() == {"removed_lines"}
+    assert sum(len(r["removed"]) for r in out.collect()) > 12
+    out = ngram_join.keep_one(docs)
+    assert left() == {"removed_lines", "gone", "repeated"}
+    assert 0 < out.count() < 12
