@@ -5,7 +5,8 @@
    ids go to the shared folder, with each task's counts of documents for each token.
 2. Document frequencies of the whole corpus (a row for each token id at most) give BM25's
    idf.  Remainders are numbered from the longest on and stored in blocks of ``SHARD``, each
-   with its inverted index.
+   with its inverted index: files in the shared folder that workers write and read
+   themselves, since rows of megabytes, read in every round, fill an executor's heap.
 3. Packing goes in rounds.  A round's seeds are the longest unused remainders, all tokens
    of a seed are its query, and every block scores every seed, so that a seed's list holds
    the best unused remainders of the whole corpus.  Then seeds are served in order: unused
@@ -45,7 +46,7 @@ WIDE = 128
 #: Seeds whose lists are bettered together, so that what this takes stays small.
 TOGETHER = 256
 REST = (1 << 32) - 1
-#: Blocks of a task that asks.
+#: Blocks of a task that asks, at most.
 BLOCKS = 16
 #: kind 0: a full window, 1: a remainder, 2: documents (n) that hold a token (start)
 ENCODED = "kind int, doc_id long, start long, doc_tokens long, sequence_id long, n long, ids binary"
@@ -135,8 +136,8 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
     return out
 
 
-def _blocks(shard: int, idf, mean: float, width: int):
-    """Remainders in the order of their rows, as one row for each ``shard`` of them, with their index: token, remainder and impact."""
+def _blocks(folder: str, shard: int, idf, mean: float, width: int):
+    """Remainders in the order of their rows, as two files and one row for each ``shard`` of them: their ids, and their index (token, remainder and impact)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -157,8 +158,42 @@ def _blocks(shard: int, idf, mean: float, width: int):
         sizes, ids = np.array([r.n for r in rows], "<i4"), b"".join(r.ids for r in rows)
         term, owner, impact = impacts(np.frombuffer(ids, f"<u{width}"), np.repeat(np.arange(len(rows)), sizes), sizes, mean, idf.value)
         # whole 64ths of an impact stay far below 2**16: at most 64 * 2.2 * idf
-        index = {"terms": term.astype(f"<u{width}"), "owners": owner.astype("<u4" if shard > 1 << 16 else "<u2"), "impacts": impact.astype("<u2")}
-        return pd.DataFrame({"block": [block], "sizes": [sizes.tobytes()], "null": [null.tobytes()], "docs": [known.tobytes()], "place": [place.tobytes()], "ids": [ids], **{k: [v.tobytes()] for k, v in index.items()}})
+        index = (term.astype(f"<u{width}"), owner.astype("<u4" if shard > 1 << 16 else "<u2"), impact.astype("<u2"))
+        _write(f"{folder}/{block}.index", [x.tobytes() for x in index])
+        _write(f"{folder}/{block}.docs", [sizes.tobytes(), null.tobytes(), known.tobytes(), place.tobytes(), ids])
+        return pd.DataFrame({"block": [block], "sizes": [sizes.tobytes()]})
+
+    return make
+
+
+def _write(uri: str, parts: list[bytes]) -> None:
+    """A file of byte strings: their number, their sizes, and themselves."""
+    files, path = common.file_system(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    own = f"{path}.{np.random.default_rng().integers(1 << 62):x}"
+    with files.open_output_stream(own) as out:
+        out.write(np.array([len(parts), *map(len, parts)], "<i8").tobytes())
+        for part in parts:
+            out.write(part)
+    files.move(own, path)
+
+
+def _read(uri: str) -> list[bytes]:
+    files, path = common.file_system(uri)
+    with files.open_input_stream(path) as src:
+        n = int(np.frombuffer(src.read(8), "<i8")[0])
+        return [src.read(size) for size in np.frombuffer(src.read(8 * n), "<i8").tolist()]
+
+
+def _opened(folder: str, kind: str, of_rows):
+    """Batches of rows to frames of one row each, which has the block (named by ``of_rows``) as well."""
+    columns = {"index": ("terms", "owners", "impacts"), "docs": ("sizes", "null", "docs", "place", "ids")}[kind]
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                block = of_rows(row)
+                yield pd.DataFrame([row | {"block": block} | dict(zip(columns, _read(f"{folder}/{block}.{kind}"), strict=True))])
 
     return make
 
@@ -299,16 +334,18 @@ def serve(seeds: np.ndarray, lists: list[np.ndarray], whole: bool, size: np.ndar
     return out
 
 
-def _rounds(blocks: DataFrame, width: int, window: int) -> DataFrame:
+def _rounds(blocks: DataFrame, folder: str, width: int, window: int) -> DataFrame:
     """``block, pieces`` (binary: place in the block, first token, number of tokens, sequence, offset), several rows a block."""
     spark = blocks.sparkSession
     path = common.work_path(spark, "sequences")
-    found = sorted((r["block"], np.frombuffer(r["sizes"], "<i4")) for r in blocks.select("block", "sizes").collect())
+    found = sorted((r["block"], np.frombuffer(r["sizes"], "<i4")) for r in blocks.collect())
     names = [b for b, _ in found]
     base = np.cumsum([0, *[len(s) for _, s in found]])
     size = np.concatenate([np.zeros(0, np.int32), *[s for _, s in found]])
     begin = np.zeros(len(size), np.int32)
     sequence, held, n_held, most, written = 0, [], 0, LIST, False
+    parts = min(max(1, len(names)), max(2 * spark.sparkContext.defaultParallelism, -(-len(names) // BLOCKS)))
+    every = _opened(folder, "index", lambda row: names[row["id"]])
 
     def flush() -> None:
         rows = np.array([p for part in held for p in part], np.int64).reshape(-1, 5)
@@ -326,7 +363,10 @@ def _rounds(blocks: DataFrame, width: int, window: int) -> DataFrame:
         seeds = seeds[np.lexsort((seeds, -left[seeds]))]
         at = np.searchsorted(base, seeds, side="right") - 1
         texts, of = {}, dict(zip(names, base.tolist(), strict=False))
-        for r in blocks.select("block", "sizes", "ids").where(F.col("block").isin([names[b] for b in np.unique(at)])).mapInPandas(_texts({names[b]: np.sort(seeds[at == b] - base[b]) for b in np.unique(at)}, width), "block long, i int, ids binary").collect():
+        wanted = {names[b]: np.sort(seeds[at == b] - base[b]) for b in np.unique(at)}
+        own, texts_of = _opened(folder, "docs", lambda row, held=list(wanted): held[row["id"]]), _texts(wanted, width)
+        asked = spark.range(0, len(wanted), 1, min(len(wanted), parts))
+        for r in asked.mapInPandas(lambda b, f=own, g=texts_of: common.tidy(g(f(b))), "block long, i int, ids binary").collect():
             texts[of[r["block"]] + r["i"]] = np.frombuffer(r["ids"], f"<u{width}")
         tokens = [np.unique(texts[s]).astype(np.int64) for s in seeds.tolist()]
         term, owner = np.concatenate(tokens), np.repeat(np.arange(len(seeds)), [len(t) for t in tokens])
@@ -334,7 +374,7 @@ def _rounds(blocks: DataFrame, width: int, window: int) -> DataFrame:
         live = {b: np.packbits(left[base[k] : base[k + 1]] > 0) for k, b in enumerate(names)}
         state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term[order], "owner": owner[order], "live": live, "base": of, "sizes": {b: len(x) for b, x in found}})
         lists = {}
-        asked = blocks.select("block", "terms", "owners", "impacts").mapInPandas(lambda b, f=_ask(state): common.tidy(f(b)), "slice int, keys binary, k int")
+        asked = spark.range(0, len(names), 1, parts).mapInPandas(lambda b, f=_ask(state): common.tidy(f(every(b))), "slice int, keys binary, k int")
         for r in asked.groupBy("slice").applyInPandas(_merge(most), "slice int, keys binary, k int").collect():
             keys = -np.sort(-np.frombuffer(r["keys"], np.int64).reshape(-1, r["k"]), axis=1)
             for i, row in enumerate(keys):
@@ -382,7 +422,7 @@ def _cut(width: int):
                 docs = pd.Series(np.frombuffer(row.docs, "<i8")[d], dtype="Int64").mask(np.frombuffer(row.null, bool)[d])
                 place = np.frombuffer(row.place, "<i8").reshape(-1, 2)[d]
                 ids = [term[f : f + k].astype("<u4").tobytes() for f, k in zip((first[d] + a).tolist(), n.tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": docs, "start": place[:, 0] + a, "length": n, "ids": ids, "doc_tokens": place[:, 1], "sequence_id": sequence, "offset": offset})
+                yield from common.slices([pd.DataFrame({"doc_id": docs, "start": place[:, 0] + a, "length": n, "ids": ids, "doc_tokens": place[:, 1], "sequence_id": sequence, "offset": offset})])
 
     return make
 
@@ -393,6 +433,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     path = path or tokenizer_path()
     enc = encoder(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    common.trim(spark)
     with common.small_batches(spark):
         encoded = common.stored(rows.mapInPandas(lambda b, f=_encode(path, end_id, window): common.tidy(f(b)), ENCODED), "encoded")
     # a row for each token id: bounded by the vocabulary
@@ -404,22 +445,23 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     width = enc.dtype.itemsize
     full = encoded.where("kind = 0").mapInPandas(_widen(width), PIECES)
     rest = encoded.where("kind = 1").select("doc_id", "start", "doc_tokens", "n", "ids")
-    n_rest, mean = rest.agg(F.count("*"), F.avg("n")).first()
+    mean = rest.agg(F.avg("n")).first()[0]
     order = (F.col("n").desc(), F.xxhash64("ids"), F.col("doc_id"), F.col("start"))
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = rest.mapInPandas(lambda b, f=_blocks(shard, idf, mean or 1.0, width): common.tidy(f(b)), "block long, sizes binary, null binary, docs binary, place binary, ids binary, terms binary, owners binary, impacts binary")
-    # few blocks a task, since a task's Arrow batch holds them together
+    folder = common.work_path(spark, "blocks")
     with common.small_batches(spark):
-        blocks = common.stored(blocks.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-n_rest // (BLOCKS * shard)))), "blocks")
-    with common.small_batches(spark, 4):
-        found = _rounds(blocks, width, window)
-    pieces = found.join(blocks.drop("terms", "owners", "impacts"), "block")
-    return full.union(pieces.mapInPandas(lambda b, f=_cut(width): common.tidy(f(b)), PIECES))
+        blocks = rest.mapInPandas(lambda b, f=_blocks(folder, shard, idf, mean or 1.0, width): common.tidy(f(b)), "block long, sizes binary")
+        blocks = common.stored(blocks, "block-sizes")
+    found = _rounds(blocks, folder, width, window)
+    pieces = found.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-blocks.count() // BLOCKS)), "block")
+    common.trim(spark)
+    whole = _opened(folder, "docs", lambda row: row["block"])
+    return full.union(pieces.mapInPandas(lambda b, f=_cut(width): common.tidy(f(whole(b))), PIECES))
 
 
 def _widen(width: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in common.slices(batches):
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"), "start": pdf["start"], "length": pdf["n"], "ids": [np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in pdf["ids"]],
                 "doc_tokens": pdf["doc_tokens"], "sequence_id": pdf["sequence_id"], "offset": 0,

@@ -218,3 +218,25 @@ def test_asking_needs_no_encoder_and_betters_lists_bit_by_bit(monkeypatch):
         assert not tokens._encoders
         found.append(np.sort(np.frombuffer(out["keys"].iloc[0], np.int64).reshape(-1, out["k"].iloc[0]), axis=1))
     assert found[0].shape == (20, 16) and (found[0] == found[1]).all()
+
+
+def test_no_block_of_remainders_passes_through_spark(spark, enc, monkeypatch):
+    """Rows of megabytes, read in every round, filled the executors' heaps."""
+    from pyspark.sql import functions as F
+
+    from driftloom.llm import common, packing
+
+    stored, real = {}, common.stored
+
+    def kept(df, name, *a, **k):
+        stored[name] = real(df, name, *a, **k)
+        return stored[name]
+
+    monkeypatch.setattr(common, "stored", kept)
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(200))) for i in range(64)], "doc_id long, text string")
+    pieces = packing.pack(docs, window=1024, shard=32).collect()
+    assert sum(p["length"] for p in pieces) == sum(len(x) + 1 for x in enc.encode_batch([r["text"] for r in docs.collect()]))
+    for name, df in stored.items():
+        binary = [c for c, kind in df.dtypes if kind == "binary"]
+        if name != "encoded" and binary:
+            assert df.select(F.max(F.greatest(F.lit(0), *[F.length(c) for c in binary]))).first()[0] <= 4 * 32
