@@ -132,15 +132,19 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     """``doc, hash, removed``: numbers of the lines to remove, a row for each document that loses some."""
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     cells = rarity(docs, "text")
-    rows = docs.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("at", "line"))
+    # hashed and split once a text; an outer explode, since Spark would split once more to filter before an inner one
+    rows = docs.select("doc", F.xxhash64("text").alias("hash"), F.split(plain(F.col("text")), "\n").alias("parts"))
+    rows = rows.select("doc", "hash", F.posexplode_outer("parts").alias("at", "line"))
     rows = rows.where(F.btrim("line") != "" if short_lines else F.length("line") >= 2 * MIN_WORDS - 1)
     lines = rows.withColumn("cells", cells.scalar()).select("doc", "hash", "at", "line", ranked(F.col("line"), F.col("cells")).alias("r"))
     n = F.size("r")
     key = F.xxhash64("r")
     if short_lines:
         key = F.when(n >= MIN_WORDS, key).otherwise(as_written(F.col("line")))
+    # sets of WIDE tokens and more are held against smaller ones by it, which have at most so many tokens less
+    narrow = F.when(n * PERCENT < WIDE * 100, parity(F.col("r")))
     prefix = F.transform(F.slice("r", F.lit(1), prefix_size(n)), short)
-    lines = lines.select("doc", "hash", "at", key.alias("key"), n.alias("n"), parity(F.col("r")).alias("parity"), parities(F.col("r")).alias("wide"), F.when(n >= MIN_WORDS, prefix).alias("prefix"))
+    lines = lines.select("doc", "hash", "at", key.alias("key"), n.alias("n"), narrow.alias("parity"), parities(F.col("r")).alias("wide"), F.when(n >= MIN_WORDS, prefix).alias("prefix"))
     # filtered as it is read, since a filter before would make every set twice
     lines = common.stored(lines, "lines")
     if not short_lines:

@@ -458,3 +458,22 @@ def test_tables_go_when_nothing_reads_them(spark, tmp_path, monkeypatch):
     out = ngram_join.keep_one(docs)
     assert left() == {"removed_lines", "gone", "repeated"}
     assert 0 < out.count() < 12
+
+
+def test_wide_sets_have_no_second_parity(spark, monkeypatch):
+    """A set that no narrow one can match is held against others by its four words alone; links at the border stay."""
+    from driftloom.llm import common, line_dedup
+
+    kept = {}
+    real = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, *a, **k: kept.setdefault(name, real(df, name, *a, **k)) if name == "lines" else real(df, name, *a, **k))
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for n in (76, 80, 90, 95, 96, 118, 119, 120, 121, 149, 150, 151):
+        rows.append((len(rows), " ".join(words[:n])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {r["doc"] for r in line_dedup.later_matches(docs, short_lines=True).collect()}
+    sizes = [len(t.split()) for _, t in rows]
+    assert removed == {i for i, n in enumerate(sizes) if any(100 * min(m, n) >= 80 * max(m, n) for m in sizes[:i])}
+    parity = {r["n"]: r["parity"] for r in kept["lines"].collect()}
+    assert all((parity[n] is None) == (n >= 120) for n in sizes)
