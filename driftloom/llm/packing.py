@@ -38,7 +38,9 @@ WINDOW, SHARD = 1024, 2048
 K1, B = 1.2, 0.75
 #: A round has at most ``SEEDS`` seeds, their lists ``LIST`` entries at first and ``ASKED`` in all; longer lists mean fewer seeds.
 SEEDS, LIST, ASKED = 2048, 64, 1 << 17
-SLICE, HELD, DENSE, PAIRS = 128, 1 << 20, 4096, 1 << 20
+SLICE, HELD, DENSE, PAIRS = 128, 1 << 17, 4096, 1 << 20
+#: After so many rounds the driver gives back what they took: plans and results of finished jobs.
+REFRESH = 8
 #: Tokens that one pair of ``SPARSE`` shares are scored by a matrix product: a hundred times faster than pair by pair.
 SPARSE = 1024
 #: Remainders of a block that come into most lists at the same time.
@@ -48,7 +50,7 @@ TOGETHER = 256
 REST = (1 << 32) - 1
 #: Blocks of a task that asks, at most.
 BLOCKS = 16
-#: kind 0: a full window, 1: a remainder, 2: documents (n) that hold a token (start)
+#: kind 0: a full window, 1: a remainder, 2: documents (n) that hold a token (start), 3: bytes of an id (n)
 ENCODED = "kind int, doc_id long, start long, doc_tokens long, sequence_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -76,11 +78,11 @@ def _encode(path: str, end_id: int, window: int):
             yield frame(rows)
         at = np.flatnonzero(holds)
         if len(at):
-            yield frame([(2, None, int(t), None, None, int(holds[t]), None) for t in at] + [(2, None, -1, None, None, n_docs, None)])
+            yield frame([(2, None, int(t), None, None, int(holds[t]), None) for t in at] + [(2, None, -1, None, None, n_docs, None), (3, None, None, None, None, enc.dtype.itemsize, None)])
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = (None, "Int64", None, "Int64", "Int64", None, None)
+        kinds = (None, "Int64", "Int64", "Int64", "Int64", None, None)
         names = ("kind", "doc_id", "start", "doc_tokens", "sequence_id", "n", "ids")
         # 64-bit ids beside nulls must not pass through floating point
         return pd.DataFrame({name: pd.array(c, dtype=kind) if kind else list(c) for name, kind, c in zip(names, kinds, cols, strict=True)})
@@ -284,6 +286,7 @@ def _ask(state):
         release_encoders()
         s = state.value
         seeds, most, width, best = s["seeds"], s["most"], s["width"], None
+        q_term, q_owner = s["term"].astype(np.int64), s["owner"].astype(np.int64)
         for pdf in batches:
             for row in pdf.itertuples():
                 impact = np.frombuffer(row.impacts, "<u2")
@@ -294,7 +297,7 @@ def _ask(state):
                 own = live[owner]
                 at = np.cumsum(live) - 1
                 term = np.frombuffer(row.terms, f"<u{width}")[own].astype(np.int64)
-                score = score_all(s["term"], s["owner"], len(seeds), term, at[owner[own]], impact[own].astype(np.float32), int(live.sum()))
+                score = score_all(q_term, q_owner, len(seeds), term, at[owner[own]], impact[own].astype(np.float32), int(live.sum()))
                 number = s["base"][row.block] + np.flatnonzero(live)
                 best = np.concatenate([bettered(None if best is None else best[a : a + TOGETHER], score[a : a + TOGETHER], seeds[a : a + TOGETHER], number, most) for a in range(0, len(seeds), TOGETHER)])
         if best is not None:
@@ -343,12 +346,14 @@ def _rounds(blocks: DataFrame, folder: str, width: int, window: int) -> DataFram
     base = np.cumsum([0, *[len(s) for _, s in found]])
     size = np.concatenate([np.zeros(0, np.int32), *[s for _, s in found]])
     begin = np.zeros(len(size), np.int32)
-    sequence, held, n_held, most, written = 0, [], 0, LIST, False
+    held: list[np.ndarray] = []  # number, first token, number of tokens, sequence, offset
+    sequence, n_rounds, most, written = 0, 0, LIST, False
     parts = min(max(1, len(names)), max(2 * spark.sparkContext.defaultParallelism, -(-len(names) // BLOCKS)))
+    of, sizes = dict(zip(names, base.tolist(), strict=False)), {b: len(x) for b, x in found}
     every = _opened(folder, "index", lambda row: names[row["id"]])
 
     def flush() -> None:
-        rows = np.array([p for part in held for p in part], np.int64).reshape(-1, 5)
+        rows = np.concatenate([np.zeros((0, 5), np.int64), *held])
         block = np.searchsorted(base, rows[:, 0], side="right") - 1
         rows[:, 0] -= base[block]
         order = np.argsort(block, kind="stable")
@@ -356,42 +361,51 @@ def _rounds(blocks: DataFrame, folder: str, width: int, window: int) -> DataFram
         table = [(names[block[part[0]]], rows[part].tobytes()) for part in np.split(order, cuts) if len(part)]
         spark.createDataFrame(table, "block long, pieces binary").coalesce(1).write.mode("append").parquet(path)
 
-    while (left := size - begin).any():
-        n_live = int((left > 0).sum())
-        n_seeds = max(1, min(SEEDS, ASKED // most))
-        seeds = np.sort(np.lexsort((np.arange(len(left)), -left))[: min(n_seeds, n_live)])
-        seeds = seeds[np.lexsort((seeds, -left[seeds]))]
+    def query(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The seeds' distinct tokens, sorted, and for each the seed's place."""
         at = np.searchsorted(base, seeds, side="right") - 1
-        texts, of = {}, dict(zip(names, base.tolist(), strict=False))
         wanted = {names[b]: np.sort(seeds[at == b] - base[b]) for b in np.unique(at)}
         own, texts_of = _opened(folder, "docs", lambda row, held=list(wanted): held[row["id"]]), _texts(wanted, width)
-        asked = spark.range(0, len(wanted), 1, min(len(wanted), parts))
+        asked, texts = spark.range(0, len(wanted), 1, min(len(wanted), parts)), {}
         for r in asked.mapInPandas(lambda b, f=own, g=texts_of: common.tidy(g(f(b))), "block long, i int, ids binary").collect():
-            texts[of[r["block"]] + r["i"]] = np.frombuffer(r["ids"], f"<u{width}")
-        tokens = [np.unique(texts[s]).astype(np.int64) for s in seeds.tolist()]
-        term, owner = np.concatenate(tokens), np.repeat(np.arange(len(seeds)), [len(t) for t in tokens])
+            texts[of[r["block"]] + r["i"]] = np.unique(np.frombuffer(r["ids"], f"<u{width}"))
+        term = np.concatenate([texts[s] for s in seeds.tolist()])
+        owner = np.repeat(np.arange(len(seeds), dtype=np.min_scalar_type(len(seeds))), [len(texts[s]) for s in seeds.tolist()])
         order = np.argsort(term, kind="stable")
+        return term[order], owner[order]
+
+    def neighbours(seeds: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+        """Each seed's list: numbers of unused remainders, the best first."""
+        term, owner = query(seeds)
         live = {b: np.packbits(left[base[k] : base[k + 1]] > 0) for k, b in enumerate(names)}
-        state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term[order], "owner": owner[order], "live": live, "base": of, "sizes": {b: len(x) for b, x in found}})
+        state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term, "owner": owner, "live": live, "base": of, "sizes": sizes})
         lists = {}
         asked = spark.range(0, len(names), 1, parts).mapInPandas(lambda b, f=_ask(state): common.tidy(f(every(b))), "slice int, keys binary, k int")
         for r in asked.groupBy("slice").applyInPandas(_merge(most), "slice int, keys binary, k int").collect():
             keys = -np.sort(-np.frombuffer(r["keys"], np.int64).reshape(-1, r["k"]), axis=1)
             for i, row in enumerate(keys):
                 lists[r["slice"] + i] = (seeds[r["slice"] + i] + (REST - (row & REST))) & REST
-        state.unpersist()
-        done = serve(seeds, [lists[i] for i in range(len(seeds))], most >= n_live, size, begin, window)
-        for pieces in done:
-            offset, rows = 0, []
-            for d, a, n in pieces:
-                rows.append((d, a, n, sequence, offset))
-                offset += n
-            held.append(rows)
-            n_held += len(rows)
-            sequence += 1
-        if n_held >= HELD:
+        state.destroy()  # unpersisted alone, it stays with the driver
+        return [lists[i] for i in range(len(seeds))]
+
+    while (left := size - begin).any():
+        n_live = int((left > 0).sum())
+        n_seeds = max(1, min(SEEDS, ASKED // most))
+        seeds = np.sort(np.lexsort((np.arange(len(left)), -left))[: min(n_seeds, n_live)])
+        seeds = seeds[np.lexsort((seeds, -left[seeds]))]
+        done = serve(seeds, neighbours(seeds, left), most >= n_live, size, begin, window)
+        rows = np.array([p for pieces in done for p in pieces], np.int64).reshape(-1, 3)
+        n_pieces = np.array([len(pieces) for pieces in done], np.int64)
+        upto = np.cumsum(rows[:, 2]) - rows[:, 2]
+        first = np.cumsum(n_pieces) - n_pieces
+        held.append(np.column_stack([rows, np.repeat(sequence + np.arange(len(done)), n_pieces), upto - np.repeat(upto[first], n_pieces)]))
+        sequence += len(done)
+        n_rounds += 1
+        if sum(map(len, held)) >= HELD:
             flush()
-            held, n_held, written = [], 0, True
+            held, written = [], True
+        if n_rounds % REFRESH == 0:
+            common.refresh(spark)
         if 4 * len(done) < len(seeds):  # lists too short for what seeds have in common
             most *= 2
     if held or not written:
@@ -431,18 +445,18 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     """Pieces of sequences: ``doc_id, start, length, ids`` (binary, 32-bit little-endian), ``doc_tokens, sequence_id, offset``."""
     spark: SparkSession = docs.sparkSession
     path = path or tokenizer_path()
-    enc = encoder(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     common.trim(spark)
     with common.small_batches(spark):
         encoded = common.stored(rows.mapInPandas(lambda b, f=_encode(path, end_id, window): common.tidy(f(b)), ENCODED), "encoded")
     # a row for each token id: bounded by the vocabulary
     counts = {r[0]: r[1] for r in encoded.where("kind = 2").groupBy("start").agg(F.sum("n")).collect()}
+    # by tasks, since the driver needs no vocabulary
+    width = encoded.where("kind = 3").agg(F.max("n")).first()[0] or 4
     n = counts.pop(-1, 0)
-    holds = np.zeros(max(enc.tokenizer.get_vocab_size(), end_id + 1))
+    holds = np.zeros(max(counts, default=0) + 1)
     holds[list(counts)] = list(counts.values())
     idf = spark.sparkContext.broadcast(np.log1p((n - holds + 0.5) / (holds + 0.5)))
-    width = enc.dtype.itemsize
     full = encoded.where("kind = 0").mapInPandas(_widen(width), PIECES)
     rest = encoded.where("kind = 1").select("doc_id", "start", "doc_tokens", "n", "ids")
     mean = rest.agg(F.avg("n")).first()[0]

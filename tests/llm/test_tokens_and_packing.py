@@ -240,3 +240,32 @@ def test_no_block_of_remainders_passes_through_spark(spark, enc, monkeypatch):
         binary = [c for c, kind in df.dtypes if kind == "binary"]
         if name != "encoded" and binary:
             assert df.select(F.max(F.greatest(F.lit(0), *[F.length(c) for c in binary]))).first()[0] <= 4 * 32
+
+
+def test_the_driver_keeps_no_vocabulary_and_no_round(spark, enc, monkeypatch):
+    """Its encoder, each round's broadcast and all pieces as tuples filled the driver's memory."""
+    import os
+
+    from pyspark import SparkContext
+
+    from driftloom.llm import packing, tokens
+
+    rounds, real = [], SparkContext.broadcast
+
+    def kept(self, value):
+        out = real(self, value)
+        if isinstance(value, dict) and "seeds" in value:
+            rounds.append((out._path, value))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", kept)
+    monkeypatch.setattr(packing, "SEEDS", 8)
+    monkeypatch.setattr(packing, "REFRESH", 2, raising=False)
+    monkeypatch.setattr(packing, "HELD", 20)
+    tokens.release_encoders()
+    docs_ = spark.createDataFrame([(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(100))) for i in range(64)], "doc_id long, text string")
+    pieces = packing.pack(docs_, window=1024, shard=32).collect()
+    assert not tokens._encoders
+    assert sum(p["length"] for p in pieces) == sum(len(x) + 1 for x in enc.encode_batch([r["text"] for r in docs_.collect()]))
+    assert len(rounds) > 1 and not any(os.path.exists(path) for path, _ in rounds)
+    assert all(value[c].dtype.itemsize <= 2 for _, value in rounds for c in ("term", "owner"))
