@@ -144,6 +144,7 @@ def _blocks(folder: str, shard: int, idf, mean: float, width: int):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        release_encoders()
         block, held = TaskContext.get().partitionId() << 32, []
         for pdf in batches:
             held += list(pdf.astype({"doc_id": "Int64"}).itertuples(index=False))
@@ -463,6 +464,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     order = (F.col("n").desc(), F.xxhash64("ids"), F.col("doc_id"), F.col("start"))
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order)
     folder = common.work_path(spark, "blocks")
+    common.trim(spark)
     with common.small_batches(spark):
         blocks = rest.mapInPandas(lambda b, f=_blocks(folder, shard, idf, mean or 1.0, width): common.tidy(f(b)), "block long, sizes binary")
         blocks = common.stored(blocks, "block-sizes")

@@ -269,3 +269,23 @@ def test_the_driver_keeps_no_vocabulary_and_no_round(spark, enc, monkeypatch):
     assert sum(p["length"] for p in pieces) == sum(len(x) + 1 for x in enc.encode_batch([r["text"] for r in docs_.collect()]))
     assert len(rounds) > 1 and not any(os.path.exists(path) for path, _ in rounds)
     assert all(value[c].dtype.itemsize <= 2 for _, value in rounds for c in ("term", "owner"))
+
+
+def test_blocks_are_written_without_an_encoder(spark, enc, tmp_path):
+    """Workers that write blocks have encoded before, and held their encoders beside them."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyspark
+
+    from driftloom.llm import packing, tokens
+
+    tokens.encoder(tokens.tokenizer_path())
+    rows = pd.DataFrame({"doc_id": [1, 2], "start": 0, "doc_tokens": 3, "n": 3, "ids": [np.array(x, "<u2").tobytes() for x in ([1, 2, 0], [2, 2, 0])]})
+    make = packing._blocks(f"file://{tmp_path}", 2, SimpleNamespace(value=np.ones(3)), 3.0, 2)
+    before, pyspark.TaskContext._taskContext = pyspark.TaskContext._taskContext, SimpleNamespace(partitionId=lambda: 0)
+    try:
+        (out,) = list(make(iter([rows])))
+    finally:
+        pyspark.TaskContext._taskContext = before
+    assert out["block"].tolist() == [0] and not tokens._encoders
