@@ -271,5 +271,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.read(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
-    out = score_toxicity(docs, model)
+    with common.small_batches(spark):  # the setting counts when rows are scored, hence within it
+        out = common.stored(score_toxicity(docs, model).select("doc_id", "score"), "scores")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -477,3 +477,19 @@ def test_wide_sets_have_no_second_parity(spark, monkeypatch):
     assert removed == {i for i, n in enumerate(sizes) if any(100 * min(m, n) >= 80 * max(m, n) for m in sizes[:i])}
     parity = {r["n"]: r["parity"] for r in kept["lines"].collect()}
     assert all((parity[n] is None) == (n >= 120) for n in sizes)
+
+
+class CountsTexts:
+    """A model whose score is the number of texts that it gets at once, in millionths."""
+
+    def score(self, texts):
+        return np.full(len(texts), len(texts) / 1e6)
+
+
+def test_texts_are_scored_in_small_batches(spark, tmp_path, monkeypatch):
+    """10,000 whole texts at a time filled an executor's memory."""
+    spark.range(0, 2500, 1, 1).selectExpr("id doc_id", "'some text' text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: CountsTexts())
+    scores = [r["score"] for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect()]
+    assert len(scores) == 2500 and max(scores) <= 1000 / 1e6
