@@ -4,9 +4,12 @@
    sequences of their own; what is left of it, under a window, is its remainder.  The
    ids go to the shared folder, with each task's counts of documents for each token.
 2. Document frequencies of the whole corpus (a row for each token id at most) give BM25's
-   idf.  Remainders are numbered from the longest on and stored in blocks of ``SHARD``, each
-   with its inverted index: files in the shared folder that workers write and read
-   themselves, since rows of megabytes, read in every round, fill an executor's heap.
+   idf.  Remainders are numbered by cluster and from the longest on, and stored in blocks of
+   ``SHARD``, each with its inverted index: files in the shared folder that workers write and
+   read themselves, since rows of megabytes, read in every round, fill an executor's heap.
+   Clusters (k-means on some ``FITTED`` remainders) only say what lies together: texts of one
+   language have fewer frequent tokens than all, so matrices are smaller; every block still
+   scores every seed.
 3. Packing goes in rounds.  A round's seeds are the longest unused remainders, all tokens
    of a seed are its query, and every block scores every seed, so that a seed's list holds
    the best unused remainders of the whole corpus.  Then seeds are served in order: unused
@@ -48,6 +51,8 @@ WIDE = 128
 #: Seeds whose lists are bettered together, so that what this takes stays small.
 TOGETHER = 256
 REST = (1 << 32) - 1
+#: Clusters, remainders that they are learned from, about, and the smallest number of seeds scored as a group of their own.
+CLUSTERS, FITTED, GROUP = 6, 2048, 128
 #: Blocks of a task that asks, at most.
 BLOCKS = 16
 #: kind 0: a full window, 1: a remainder, 2: documents (n) that hold a token (start), 3: bytes of an id (n)
@@ -262,15 +267,21 @@ def bettered(best: np.ndarray | None, score: np.ndarray, seeds: np.ndarray, numb
         return (score[q, i].astype(np.int64) << 32) | (REST - ((number[i] - seeds[q]) & REST))
 
     n_q, n = score.shape
-    if best is not None and best.shape[1] == most:
+    least, fits = None, WIDE
+    if best is None and n > most:
+        least, fits = np.partition(score, n - most, axis=1)[:, n - most], max(WIDE, 2 * most)
+    elif best is not None and best.shape[1] == most:
+        least = (best.min(1) >> 32).astype(np.float32)
+    if least is not None:
         # what can come in: few of a block, once the lists have filled
-        q, i = np.divmod(np.flatnonzero(score >= (best.min(1) >> 32).astype(np.float32)[:, None]), n)
+        q, i = np.divmod(np.flatnonzero(score >= least[:, None]), n)
         size = np.bincount(q, minlength=n_q)
         if len(q) < n_q * n // 8:
             first, found = np.cumsum(size) - size, keys(q, i)
-            wide = size > WIDE  # seeds that hardly any remainder resembles
+            best = np.zeros((n_q, 0), np.int64) if best is None else best
+            wide = size > fits  # seeds that hardly any remainder resembles
             some = ~wide[q]
-            more = np.full((n_q, WIDE), -1, np.int64)
+            more = np.full((n_q, fits), -1, np.int64)
             more[q[some], (np.arange(len(q)) - np.repeat(first, size))[some]] = found[some]
             out = best_keys(np.concatenate([best, more], 1), most)
             for r in np.flatnonzero(wide).tolist():
@@ -280,6 +291,60 @@ def bettered(best: np.ndarray | None, score: np.ndarray, seeds: np.ndarray, numb
     return every if best is None else best_keys(np.concatenate([best, every], 1), most)
 
 
+def cluster_weights(docs: list[np.ndarray], idf: np.ndarray, n: int = CLUSTERS, rounds: int = 10) -> np.ndarray:
+    """Each token's weight in each of ``n`` clusters of texts: spherical k-means on the tokens that are not rare."""
+    weights = np.zeros((len(idf), n), np.float32)
+    if not docs:
+        return weights
+    # the longer half: short texts resemble nothing and would be clusters of their own
+    middle = np.median([len(d) for d in docs])
+    docs = [d for d in docs if len(d) >= middle]
+    key = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), [len(d) for d in docs]))
+    term, owner = np.divmod(key, len(docs))
+    terms, _, count = groups(term)
+    terms = terms[count * 50 >= len(docs)]
+    own = np.isin(term, terms)
+    at = np.searchsorted(terms, term[own])
+    x = np.zeros((len(docs), len(terms)), np.float32)
+    x[owner[own], at] = idf[terms[at]]
+    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1))[:, None]
+    centre = x[:1]
+    near = x @ centre[0]
+    for _ in range(n - 1):
+        centre = np.concatenate([centre, x[near.argmin()][None]])
+        near = np.maximum(near, x @ centre[-1])
+    for _ in range(rounds):
+        of = (x @ centre.T).argmax(1)
+        centre = np.stack([x[of == k].sum(0) if (of == k).any() else centre[k] for k in range(n)])
+        centre /= np.maximum(1e-9, np.linalg.norm(centre, axis=1))[:, None]
+    weights[terms] = centre.T * idf[terms][:, None]
+    return weights
+
+
+def cluster_of(docs: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """The cluster of each token array; none is empty."""
+    if not docs:
+        return np.zeros(0, np.int32)
+    first = np.cumsum([0, *[len(d) for d in docs[:-1]]])
+    return np.add.reduceat(weights[np.concatenate(docs)], first, axis=0).argmax(1).astype(np.int32)
+
+
+def _clustered(weights, width: int):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_encoders()
+        for pdf in common.slices(batches):
+            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), cluster=cluster_of([np.frombuffer(x, f"<u{width}") for x in pdf["ids"]], weights.value))
+
+    return make
+
+
+def seed_groups(cluster: np.ndarray) -> list[np.ndarray]:
+    """Places of the seeds that are scored together: those of a cluster, small clusters as one."""
+    parts = [np.flatnonzero(cluster == c) for c in np.unique(cluster)]
+    large, small = [p for p in parts if len(p) >= GROUP], [p for p in parts if len(p) < GROUP]
+    return large + ([np.sort(np.concatenate(small))] if small else [])
+
+
 def _ask(state):
     """A task's best remainders for each seed: keys of score and place after the seed."""
 
@@ -288,6 +353,8 @@ def _ask(state):
         s = state.value
         seeds, most, width, best = s["seeds"], s["most"], s["width"], None
         q_term, q_owner = s["term"].astype(np.int64), s["owner"].astype(np.int64)
+        # a group: its seeds and their tokens, each lying together
+        asks = [(range(a, b), q_term[c:d], q_owner[c:d] - a) for a, b, c, d in s.get("groups", [(0, len(seeds), 0, len(q_term))])]
         for pdf in batches:
             for row in pdf.itertuples():
                 impact = np.frombuffer(row.impacts, "<u2")
@@ -298,9 +365,15 @@ def _ask(state):
                 own = live[owner]
                 at = np.cumsum(live) - 1
                 term = np.frombuffer(row.terms, f"<u{width}")[own].astype(np.int64)
-                score = score_all(q_term, q_owner, len(seeds), term, at[owner[own]], impact[own].astype(np.float32), int(live.sum()))
+                owner, impact = at[owner[own]], impact[own].astype(np.float32)
                 number = s["base"][row.block] + np.flatnonzero(live)
-                best = np.concatenate([bettered(None if best is None else best[a : a + TOGETHER], score[a : a + TOGETHER], seeds[a : a + TOGETHER], number, most) for a in range(0, len(seeds), TOGETHER)])
+                found = []
+                for rows, a_term, a_owner in asks:
+                    score = score_all(a_term, a_owner, len(rows), term, owner, impact, len(number))
+                    for a in range(0, len(rows), TOGETHER):
+                        some = slice(rows.start + a, min(rows.start + a + TOGETHER, rows.stop))
+                        found.append(bettered(None if best is None else best[some], score[a : a + TOGETHER], seeds[some], number, most))
+                best = np.concatenate(found)
         if best is not None:
             for a in range(0, len(seeds), SLICE):
                 yield pd.DataFrame({"slice": [a], "keys": [best[a : a + SLICE].tobytes()], "k": [best.shape[1]]})
@@ -338,7 +411,7 @@ def serve(seeds: np.ndarray, lists: list[np.ndarray], whole: bool, size: np.ndar
     return out
 
 
-def _rounds(blocks: DataFrame, folder: str, width: int, window: int) -> DataFrame:
+def _rounds(blocks: DataFrame, folder: str, width: int, window: int, weights: np.ndarray) -> DataFrame:
     """``block, pieces`` (binary: place in the block, first token, number of tokens, sequence, offset), several rows a block."""
     spark = blocks.sparkSession
     path = common.work_path(spark, "sequences")
@@ -362,32 +435,35 @@ def _rounds(blocks: DataFrame, folder: str, width: int, window: int) -> DataFram
         table = [(names[block[part[0]]], rows[part].tobytes()) for part in np.split(order, cuts) if len(part)]
         spark.createDataFrame(table, "block long, pieces binary").coalesce(1).write.mode("append").parquet(path)
 
-    def query(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The seeds' distinct tokens, sorted, and for each the seed's place."""
+    def query(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """The seeds by group, their distinct tokens, sorted within a group, for each the seed's place, and where a group's seeds and tokens begin and end."""
         at = np.searchsorted(base, seeds, side="right") - 1
         wanted = {names[b]: np.sort(seeds[at == b] - base[b]) for b in np.unique(at)}
         own, texts_of = _opened(folder, "docs", lambda row, held=list(wanted): held[row["id"]]), _texts(wanted, width)
         asked, texts = spark.range(0, len(wanted), 1, min(len(wanted), parts)), {}
         for r in asked.mapInPandas(lambda b, f=own, g=texts_of: common.tidy(g(f(b))), "block long, i int, ids binary").collect():
             texts[of[r["block"]] + r["i"]] = np.unique(np.frombuffer(r["ids"], f"<u{width}"))
+        apart = seed_groups(cluster_of([texts[s] for s in seeds.tolist()], weights))
+        seeds, upto = seeds[np.concatenate(apart)], np.cumsum([0, *map(len, apart)])
         term = np.concatenate([texts[s] for s in seeds.tolist()])
         owner = np.repeat(np.arange(len(seeds), dtype=np.min_scalar_type(len(seeds))), [len(texts[s]) for s in seeds.tolist()])
-        order = np.argsort(term, kind="stable")
-        return term[order], owner[order]
+        order = np.lexsort((term, np.searchsorted(upto, owner, side="right")))
+        cuts = np.searchsorted(owner, upto)
+        return seeds, term[order], owner[order], [(*upto[k : k + 2].tolist(), *cuts[k : k + 2].tolist()) for k in range(len(apart))]
 
-    def neighbours(seeds: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    def neighbours(wanted: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
         """Each seed's list: numbers of unused remainders, the best first."""
-        term, owner = query(seeds)
+        seeds, term, owner, by_group = query(wanted)
         live = {b: np.packbits(left[base[k] : base[k + 1]] > 0) for k, b in enumerate(names)}
-        state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term, "owner": owner, "live": live, "base": of, "sizes": sizes})
+        state = spark.sparkContext.broadcast({"seeds": seeds, "most": most, "width": width, "term": term, "owner": owner, "groups": by_group, "live": live, "base": of, "sizes": sizes})
         lists = {}
         asked = spark.range(0, len(names), 1, parts).mapInPandas(lambda b, f=_ask(state): common.tidy(f(every(b))), "slice int, keys binary, k int")
         for r in asked.groupBy("slice").applyInPandas(_merge(most), "slice int, keys binary, k int").collect():
             keys = -np.sort(-np.frombuffer(r["keys"], np.int64).reshape(-1, r["k"]), axis=1)
             for i, row in enumerate(keys):
-                lists[r["slice"] + i] = (seeds[r["slice"] + i] + (REST - (row & REST))) & REST
+                lists[int(seeds[r["slice"] + i])] = (seeds[r["slice"] + i] + (REST - (row & REST))) & REST
         state.destroy()  # unpersisted alone, it stays with the driver
-        return [lists[i] for i in range(len(seeds))]
+        return [lists[s] for s in wanted.tolist()]
 
     while (left := size - begin).any():
         n_live = int((left > 0).sum())
@@ -460,15 +536,20 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
     idf = spark.sparkContext.broadcast(np.log1p((n - holds + 0.5) / (holds + 0.5)))
     full = encoded.where("kind = 0").mapInPandas(_widen(width), PIECES)
     rest = encoded.where("kind = 1").select("doc_id", "start", "doc_tokens", "n", "ids")
-    mean = rest.agg(F.avg("n")).first()[0]
-    order = (F.col("n").desc(), F.xxhash64("ids"), F.col("doc_id"), F.col("start"))
+    mean, n_rest = rest.agg(F.avg("n"), F.count("*")).first()
+    some = rest.where(F.pmod(F.xxhash64("ids"), F.lit(max(1, n_rest // FITTED))) == 0).select("ids").distinct().collect()
+    weights = cluster_weights([np.frombuffer(r[0], f"<u{width}") for r in sorted(some)], idf.value)
+    del some
+    to_all = spark.sparkContext.broadcast(weights)
+    rest = rest.mapInPandas(lambda b, f=_clustered(to_all, width): common.tidy(f(b)), "doc_id long, start long, doc_tokens long, n long, ids binary, cluster int")
+    order = (F.col("cluster"), F.col("n").desc(), F.xxhash64("ids"), F.col("doc_id"), F.col("start"))
     rest = rest.repartitionByRange(*order).sortWithinPartitions(*order)
     folder = common.work_path(spark, "blocks")
     common.trim(spark)
     with common.small_batches(spark):
         blocks = rest.mapInPandas(lambda b, f=_blocks(folder, shard, idf, mean or 1.0, width): common.tidy(f(b)), "block long, sizes binary")
         blocks = common.stored(blocks, "block-sizes")
-    found = _rounds(blocks, folder, width, window)
+    found = _rounds(blocks, folder, width, window, weights)
     pieces = found.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-blocks.count() // BLOCKS)), "block")
     common.trim(spark)
     whole = _opened(folder, "docs", lambda row: row["block"])

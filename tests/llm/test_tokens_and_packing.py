@@ -289,3 +289,59 @@ def test_blocks_are_written_without_an_encoder(spark, enc, tmp_path):
     finally:
         pyspark.TaskContext._taskContext = before
     assert out["block"].tolist() == [0] and not tokens._encoders
+
+
+def test_blocks_hold_texts_of_one_cluster(spark, enc, monkeypatch):
+    """Matrices of a block had the frequent tokens of all languages: now texts of one lie together, and its seeds are scored apart."""
+    from driftloom.llm import packing
+
+    r = random.Random(5)
+    vocab = [["".join(r.choice(letters) for _ in range(5)) for _ in range(60)] for letters in ("abcdefgh", "qrstuvwxyz")]
+    texts = [" ".join(r.choice(vocab[i % 2]) for _ in range(60 + i)) for i in range(64)]
+    docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    scored, real, monkeypatched = [], packing._blocks, monkeypatch.setattr
+
+    def kept(folder, shard, idf, mean, width):
+        scored.append((folder, width))
+        return real(folder, shard, idf, mean, width)
+
+    monkeypatched(packing, "_blocks", kept)
+    monkeypatched(packing, "CLUSTERS", 2)
+    pieces = packing.pack(docs_, window=4096, shard=8)
+    assert {r_["doc_id"] for r_ in pieces.select("doc_id").collect()} == set(range(64))
+    import glob
+
+    folder, width = scored[0]
+    mixed, n = 0, 0
+    for path in glob.glob(folder.removeprefix("file:").replace("//", "/") + "/*.docs"):
+        docs_of = np.frombuffer(packing._read(f"file://{path}")[2], "<i8")
+        mixed, n = mixed + (len(set((docs_of % 2).tolist())) > 1), n + 1
+    assert n >= 8 and mixed <= 1
+
+
+def test_groups_of_seeds_change_no_list(monkeypatch):
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from driftloom.llm import packing
+
+    r = np.random.default_rng(6)
+    blocks, base = [], {}
+    for b in range(4):
+        term, owner = np.divmod(np.unique(r.integers(0, 50 * 40, 600)), 40)
+        blocks.append({"block": b, "terms": term.astype("<u2").tobytes(), "owners": owner.astype("<u2").tobytes(), "impacts": r.integers(1, 90, len(term)).astype("<u2").tobytes()})
+        base[b] = 40 * b
+    q_term, q_owner = np.divmod(np.unique(r.integers(0, 50 * 20, 300)), 20)
+    live = {b: np.packbits(r.random(40) < 0.8) for b in range(4)}
+    state = {"seeds": np.arange(0, 100, 5), "most": 16, "width": 2, "term": q_term, "owner": q_owner, "live": live, "base": base, "sizes": dict.fromkeys(range(4), 40)}
+    sizes, real = [], packing.score_all
+    monkeypatch.setattr(packing, "score_all", lambda *a: sizes.append(a[2]) or real(*a))
+    found = []
+    for cuts in ([0, 20], [0, 3, 4, 11, 20]):
+        order = np.lexsort((q_term, np.searchsorted(cuts, q_owner, side="right")))
+        by_group = [(a, b, int((q_owner < a).sum()), int((q_owner < b).sum())) for a, b in zip(cuts, cuts[1:], strict=False)]
+        (out,) = list(packing._ask(SimpleNamespace(value=state | {"term": q_term[order], "owner": q_owner[order], "groups": by_group}))(iter([pd.DataFrame(blocks)])))
+        found.append(np.sort(np.frombuffer(out["keys"].iloc[0], np.int64).reshape(20, -1), axis=1))
+    assert found[0].shape == (20, 16) and (found[0] == found[1]).all()
+    assert sizes[:4] == [20] * 4 and sizes[4:] == [3, 1, 7, 9] * 4
